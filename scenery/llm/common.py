@@ -66,7 +66,7 @@ def running(
     order: list[Column],
     n_rows: int,
     sums: dict[str, Column] | None = None,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 4_000,
 ) -> DataFrame:
     """Adds `rank` (from 1) and running sums within a group, without one task per group.
 

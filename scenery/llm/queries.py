@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenery.llm import pii, quality, sharding
+from scenery.llm import decontaminate, mixing, near_dedup, pii, quality, sharding, warc
+from scenery.llm.common import materialise
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scenery.llm.common import materialise
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), items).drop("text_hash")
 
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
     statistics = materialise(quality.base_statistics(docs).drop("text"), "quality-statistics")
     judged = quality.judge(statistics, quality.estimate(statistics))
@@ -32,9 +40,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir), "doc_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ SEED = "scenery-shards"
 SHARDS = 16
 
 
-def shard(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_bucket: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_bucket: int = 4_000) -> DataFrame:
     """Adds size, text_crc32, shard and slot (gapless from 0 within a shard).
 
     Ranks come from `running`, so neither a source nor the whole table passes through
