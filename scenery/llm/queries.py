@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenery.llm import decontaminate, mixing, near_dedup, pii, quality, sharding, warc
+from scenery.llm import decontaminate, line_dedup, lm, mixing, near_dedup, pii, quality, sharding, warc
 from scenery.llm.common import materialise
 
 
@@ -19,6 +19,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(documents(spark, sf_dir), items).drop("text_hash")
@@ -51,6 +59,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
