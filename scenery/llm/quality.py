@@ -197,12 +197,11 @@ def judge(statistics: DataFrame, estimates: DataFrame, lang: str = "lang", sourc
 def clean(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns of the input.
 
-    The statistics are taken once for the estimates, written without the texts, and once
-    more beside the texts, which then meet the small table of estimates where they lie:
-    cheaper than moving every text through a join.
+    The statistics are written beside the documents, so that the texts are read once and
+    the verdict is a filter on what was written.
     """
     columns = docs.columns
     own = docs.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), F.col(lang).alias("__row_lang"), F.col(source).alias("__row_source"), F.col(text).alias("__text"))
-    statistics = base_statistics(own, "__text").drop("__text")
-    judged = judge(statistics, estimate(materialise(statistics.drop("__row"), "quality-statistics"), "__row_lang", "__row_source"), "__row_lang", "__row_source")
+    statistics = materialise(base_statistics(own, "__text").drop("__text"), "quality-rows")
+    judged = judge(statistics, estimate(statistics.drop("__row"), "__row_lang", "__row_source"), "__row_lang", "__row_source")
     return judged.where("kept").select("__row.*")
