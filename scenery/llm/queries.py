@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenery.llm import decontaminate, line_dedup, lm, mixing, near_dedup, pii, quality, sharding, warc
+from scenery.llm import decontaminate, html_text, line_dedup, lm, mixing, near_dedup, pii, quality, sharding, warc
 from scenery.llm.common import materialise
 
 
@@ -39,6 +39,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
