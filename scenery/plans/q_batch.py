@@ -102,10 +102,10 @@ def w_interleave(spark, sf):
     return s.select("uid", "pos", F.row_number().over(Window.partitionBy("uid").orderBy("k", F.desc("is_valid"))).alias("turn"))
 
 
-@query("p15_online_filter", _w("k AS (SELECT uid FROM rollouts GROUP BY uid HAVING avg(score) > 0.3 AND avg(score) < 0.6)") + "SELECT uid, pos, score FROM rollouts WHERE uid IN (SELECT uid FROM k)")
+@query("p15_online_filter", _w("k AS (SELECT uid FROM rollouts GROUP BY uid HAVING avg(score) > 0.3333 AND avg(score) < 0.6123)") + "SELECT uid, pos, score FROM rollouts WHERE uid IN (SELECT uid FROM k)")
 def p_online(spark, sf):
     """P15 and J16."""
-    return batch.keep_between(rollouts(spark, sf), "uid", "score", 0.3, 0.6).select("uid", "pos", "score")
+    return batch.keep_between(rollouts(spark, sf), "uid", "score", 0.3333, 0.6123).select("uid", "pos", "score")
 
 
 @query("p16_overlong", R + "SELECT uid, pos, length FROM rollouts WHERE length <= 40")
