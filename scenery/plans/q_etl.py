@@ -113,7 +113,7 @@ def zip_rows(spark, sf):
     return lookup.zip_columns(r.select("row_id", "uid", "pos", "score"), r.select("row_id", "score", "length"), "row_id").select("uid", "pos", "score", "length")
 
 
-@query("j21_skipped_labels", "SELECT DISTINCT p_brand AS label FROM part WHERE p_size IN (1, 2, 22)")
+@query("j21_skipped_labels", "SELECT DISTINCT p_brand AS label FROM part WHERE p_size IN (0, 1, 2, 3, 11, 13, 15, 16, 17, 20, 21, 22, 23, 26, 28, 29, 31, 34, 37, 38, 39, 40, 81)")
 def skipped_labels(spark, sf):
     """Labels whose class is no object."""
     from scenery.sources.readers import INVALID_CLASSES

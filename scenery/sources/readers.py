@@ -13,7 +13,7 @@ OBJECT = "object_id long, label string, size string, `3d_bbox` array<double>, `3
 FRAME_OBJECT = "object_id long, label string, size string, visibility double, truncated boolean, occluded boolean, `2d_bbox` array<int>, camera_location array<double>, `3d_bbox` array<double>, `3d_location` array<double>"
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 # Classes that are no objects.
-INVALID_CLASSES = (1, 2, 22)
+INVALID_CLASSES = (0, 1, 2, 3, 11, 13, 15, 16, 17, 20, 21, 22, 23, 26, 28, 29, 31, 34, 37, 38, 39, 40, 81)
 
 
 def scenes(spark: SparkSession, path: str) -> DataFrame:
