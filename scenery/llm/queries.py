@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenery.llm import decontaminate, html_text, line_dedup, lm, mixing, near_dedup, pii, quality, sharding, warc
+from scenery.llm import decontaminate, html_text, line_dedup, lm, mixing, near_dedup, oracles, pii, quality, sharding, warc
 from scenery.llm.common import materialise
 
 
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontaminate": oracles.DECONTAMINATE, "op7_sharding": oracles.SHARDING, "op9_warc": oracles.WARC}
