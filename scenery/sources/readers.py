@@ -23,6 +23,11 @@ def scenes(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("room_size", size)
 
 
+def _bare(c):
+    """Without blanks and line breaks at either end."""
+    return F.btrim(c, F.lit(" \t\r\n"))
+
+
 def _struct(fields: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (x.strip().rsplit(" ", 1) for x in fields.split(", ")))
 
@@ -46,17 +51,17 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
 
 def matrices(spark: SparkSession, path: str) -> DataFrame:
     """Text files of 16 numbers; frame from the name. Files of another length give null."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    m = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    m = F.transform(F.split(_bare(F.col("value")), r"\s+"), lambda x: x.try_cast("double"))
     good = (F.size(m) == 16) & ~F.exists(m, lambda x: x.isNull())
     return raw.select("path", F.regexp_extract("path", r"(\d+)\.[A-Za-z0-9]+$", 1).try_cast("int").alias("frame_id"), F.when(good, m).alias("m"))
 
 
 def axis_alignment(spark: SparkSession, path: str) -> DataFrame:
     """The axisAlignment line of key = value files; the identity where it is missing or broken."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     line = F.regexp_extract("value", r"(?m)^\s*axisAlignment\s*=\s*(.*)$", 1)
-    m = F.transform(F.split(F.trim(line), r"\s+"), lambda x: x.try_cast("double"))
+    m = F.transform(F.split(_bare(line), r"\s+"), lambda x: x.try_cast("double"))
     good = (F.size(m) == 16) & ~F.exists(m, lambda x: x.isNull())
     return raw.select("path", F.when(good, m).otherwise(F.array(*[F.lit(v) for v in IDENTITY])).alias("axis_align"))
 
@@ -128,14 +133,14 @@ def harmonised_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def trajectory(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a time stamp, an angle-axis and a translation; any other length is an error."""
-    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("t", F.split(F.trim("value"), r"\s+"))
+    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("t", F.split(_bare(F.col("value")), r"\s+"))
     ok = F.assert_true(F.size("t") == 7, F.concat(F.lit("a trajectory line has 7 numbers: "), F.col("value")))
     names = ["ts", "ax", "ay", "az", "tx", "ty", "tz"]
     return raw.where(ok.isNull()).select(*[F.get("t", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]).withColumn("ts", F.round("ts", 3))
 
 
 def pincam(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("t"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(_bare(F.col("value")), r"\s+").alias("t"))
     names = ["width", "height", "fx", "fy", "cx", "cy"]
     return raw.select("path", file_time(F.col("path")).alias("ts"), *[F.get("t", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
 
