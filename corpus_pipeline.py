@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scenery.llm import decontaminate, mixing, near_dedup, quality, sharding
-from scenery.llm.common import materialise
+from scenery.llm.common import materialise, packed, unpacked
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and slot."""
-    return sharding.shard(docs).drop("size", "text_crc32")
+    return unpacked(sharding.shard(packed(docs, "doc_id", "text", "source")), "shard", "slot")
 
 
 STAGES = [

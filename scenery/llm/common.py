@@ -68,7 +68,7 @@ def running(
     sums: dict[str, Column] | None = None,
     rows_per_bucket: int = 4_000,
 ) -> DataFrame:
-    """Adds `rank` (from 1) and running sums within a group, without one task per group.
+    """Adds `__rank` (from 1) and running sums within a group, without one task per group.
 
     `position` must lie in [0, 1] and rise with `order`. Rows are dealt into as many
     buckets of positions as their number asks for, so a group that holds a third of
@@ -92,12 +92,26 @@ def running(
     rows = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.join(start, keys)
     out = out.withColumns(
-        {"rank": F.row_number().over(own) + F.col("__b_n")}
+        {"__rank": F.row_number().over(own) + F.col("__b_n")}
         | {k: F.sum(c).over(rows) + F.col(f"__b_{k}") for k, c in sums.items()}
     )
     return out.drop("__bucket", "__b_n", *[f"__b_{k}" for k in sums])
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The rows as one column, `__row`, beside the columns an operator needs.
+
+    Whatever the operator adds, no column of the input is lost or mistaken for its own.
+    """
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *needed)
+
+
+def unpacked(rows: DataFrame, *added: str) -> DataFrame:
+    """The columns of the input, and those the operator adds; an added one replaces its namesake."""
+    names = rows.schema["__row"].dataType.names
+    return rows.select(*[F.col("__row")[n].alias(n) for n in names if n not in added], *added)
+
+
 def chi_square(p: int, level: float) -> float:
     """Quantile of the chi-square distribution by Wilson and Hilferty's approximation."""
     from statistics import NormalDist

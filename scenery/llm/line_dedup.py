@@ -155,11 +155,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Replaces the text by what is left of it, and adds n_lines, n_removed and removed.
+    """Replaces the text by what is left of it, and adds n_lines, n_removed and removed, in place of columns of these names.
 
     n_lines counts lines with a word; removed lists the deleted ones by position among
     those. Other lines stay as they are, line breaks included.
     """
+    docs = docs.drop("n_lines", "n_removed", "removed")
     rows = _keyed(docs, doc_id, text).join(removals(docs, doc_id, text).withColumnRenamed("later", "__key"), "__key", "left")
     rows = rows.withColumn("__all", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     blank = lambda x: F.btrim(x, F.lit(SPACE)) == ""

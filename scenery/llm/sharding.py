@@ -22,7 +22,7 @@ SHARDS = 16
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_bucket: int = 4_000) -> DataFrame:
-    """Adds size, text_crc32, shard and slot (gapless from 0 within a shard).
+    """Adds size, text_crc32, shard and slot (gapless from 0 within a shard), in place of columns of these names.
 
     Ranks come from `running`, so neither a source nor the whole table passes through
     one task: only counts per source and bucket do. Columns that are not asked for
@@ -41,11 +41,11 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, doc_id: str
     sizes = out.groupBy("__stratum").agg(F.count(F.lit(1)).alias("__rows"))
     ties = [F.col("__order"), F.col(doc_id), F.col("text_crc32"), F.col("size")]
     out = running(out, "__stratum", unit(F.col("__order")), ties, n_rows, rows_per_bucket=rows_per_bucket)
-    out = out.withColumnRenamed("rank", "__rank").join(sizes, "__stratum")
+    out = out.withColumnRenamed("__rank", "__place").join(sizes, "__stratum")
     # The seeded offset spreads sources of a few rows over all shards.
     offset = unit(seeded_hex(seed, F.col("__stratum")))
-    out = out.withColumn("__fraction", (F.col("__rank") - 1 + offset) / F.col("__rows"))
-    out = running(out, None, F.col("__fraction"), [F.col("__fraction"), F.col("__stratum"), F.col("__rank")], n_rows, rows_per_bucket=rows_per_bucket)
-    out = out.withColumn("shard", F.expr(f"int(((rank - 1) * {n_shards}L) div {max(n_rows, 1)}L)"))
-    out = out.withColumn("slot", F.expr(f"rank - 1 - (shard * {n_rows}L + {n_shards - 1}) div {n_shards}L"))
-    return out.drop("__stratum", "__order", "__rank", "__rows", "__fraction", "rank")
+    out = out.withColumn("__fraction", (F.col("__place") - 1 + offset) / F.col("__rows"))
+    out = running(out, None, F.col("__fraction"), [F.col("__fraction"), F.col("__stratum"), F.col("__place")], n_rows, rows_per_bucket=rows_per_bucket)
+    out = out.withColumn("shard", F.expr(f"int(((__rank - 1) * {n_shards}L) div {max(n_rows, 1)}L)"))
+    out = out.withColumn("slot", F.expr(f"__rank - 1 - (shard * {n_rows}L + {n_shards - 1}) div {n_shards}L"))
+    return out.drop("__stratum", "__order", "__place", "__rows", "__fraction", "__rank")
