@@ -172,11 +172,12 @@ def features(node: Node) -> tuple[str, ...]:
     """What is seen of an element, as values that are counted."""
     tag = node.tag if node.tag in KNOWN else "?"
     share = node.links / node.words if node.words else 0.0
+    links = 0 if share == 0 else 1 if share < 0.35 else 2 if share < 0.8 else 3
     return (
-        f"tag={tag}",
+        f"tag={tag}, marks={node.marks}",
+        f"tag={tag}, links={links}",
         f"marks={node.marks}",
         f"words={_size(node.words)}",
-        f"links={0 if share == 0 else 1 if share < 0.35 else 2 if share < 0.8 else 3}",
         f"commas={min(3, node.commas)}",
         f"depth={min(6, node.depth)}",
     )
@@ -370,6 +371,7 @@ def main_text(html: str | None, model: TreeModel) -> str:
         now.clear()
 
     # An element is left out with all below it if it is hidden by kind or more likely not content.
+    # A link or other inline element within a block goes with the block, unless its own class speaks against it.
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         item, closing = stack.pop()
@@ -380,7 +382,8 @@ def main_text(html: str | None, model: TreeModel) -> str:
         if closing:
             end()
             continue
-        out = item.tag in HIDDEN or (item.tag not in VOID and content[id(item)] < 0.5)
+        judged = item.tag not in VOID and (block or item.marks < 0 or item.parent is root)
+        out = item.tag in HIDDEN or (judged and content[id(item)] < 0.5)
         if block:
             end()
         if out:
