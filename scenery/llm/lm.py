@@ -87,6 +87,23 @@ def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
     return materialise(part.groupBy("token").agg(F.sum("c").alias("c")).where("c > 0"), "lm-counts")
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """At most so many of the most frequent words, in order, without the end token.
+
+    Counts are binned first, so that the driver gets the words above a bin and nothing
+    else: a sorted limit would send it that many words from every task.
+    """
+    words = counts.where(F.col("token") != END).withColumn("bin", F.floor(F.log2("c") * 16))
+    held, least = 0, None
+    for r in sorted(words.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["bin"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["bin"]
+    rows = [] if least is None else words.where(F.col("bin") >= least).select("token", "c").collect()
+    return sorted(((r["token"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """What every worker needs of the counts: bounded, whatever the corpus."""
 
@@ -337,8 +354,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     train = rows.where(~F.col("held_out"))
     counts = count_tokens(train)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("n_end")).first()
-    top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(KNOWN_WORDS).collect()
-    words = Vocabulary([(r["token"], r["c"]) for r in top], total["n"], total["v"], total["n_end"])
+    words = Vocabulary(most_frequent(counts, KNOWN_WORDS), total["n"], total["v"], total["n_end"])
     vocabulary = spark.sparkContext.broadcast(words)
     model = spark.sparkContext.broadcast(fit(train, vocabulary))
     scored = materialise(rows.mapInArrow(_scorer(vocabulary, _Numbered(model)), SCORED), "lm-scored")
