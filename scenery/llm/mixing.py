@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenery.llm.common import materialise, nullable_key, running, seeded_hex, words_of
+from scenery.llm.common import materialise, nullable_key, packed, running, seeded_hex, unpacked, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_READS = 3
@@ -107,13 +107,13 @@ def min_cost_flow(capacity: dict[tuple[str, ...], int], quota: dict[str, float],
 
 
 def mix(docs: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Adds size, source_size, target, copies and taken.
+    """Adds size, source_size, target, copies and taken, in place of columns of these names.
 
     members: an array of the keys of the sources a document belongs to; by default its
     own source alone. source_size and target are those of the document's own source.
     """
     members = F.array(nullable_key(F.col(source))) if members is None else F.array_sort(F.array_distinct(members))
-    rows = docs.withColumns(
+    rows = docs.drop("size", "source_size", "target", "copies", "taken").withColumns(
         {
             "size": F.size(words_of(F.col(text))).cast("long"),
             "__members": members,
@@ -145,6 +145,7 @@ def mix(docs: DataFrame, members: Column | None = None, weights: Sequence[float]
     ranked = materialise(ranked.join(quotas, "__members").select("__members", "__h", "size", "upto", "__rest"), "mix-ranked")
     # Whole documents in seeded order as far as they fit, then the one that best fills the gap.
     fits = ranked.where("upto <= __rest").groupBy("__members").agg(F.max("__h").alias("__to"), F.max("upto").alias("__filled"))
+    fits = materialise(fits, "mix-fits")
     over = ranked.where("upto > __rest").join(fits, "__members", "left")
     gap = F.col("__rest") - F.coalesce("__filled", F.lit(0))
     extra = over.where((F.col("size") > 0) & (F.col("size") < 2 * gap)).groupBy("__members").agg(F.min_by("__h", F.struct(F.abs(gap - F.col("size")), F.col("__h"))).alias("__extra"))
@@ -159,6 +160,5 @@ def mix(docs: DataFrame, members: Column | None = None, weights: Sequence[float]
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of the input."""
-    columns = docs.columns
-    out = mix(docs).where("copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    rows = mix(packed(docs, "doc_id", "text", "source")).where("copies > 0")
+    return unpacked(rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
