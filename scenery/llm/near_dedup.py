@@ -13,8 +13,9 @@ with probability (1 - 0.8^4)^24 = 3e-6. Equal shingle sets are one node. Within
 bucket every node is linked to a pivot, so a bucket of any size gives a linear number of
 candidate links. Links are verified on the shingles themselves. Where a group's members
 differ from each other, not all are near its pivot; so further turns look at the finer
-buckets of nodes that share two bands, and link the classes that meet there, until a
-turn finds no new link or TURNS have passed. Classes are
+buckets of nodes that share two bands, and link the classes that meet there. The turns
+only save work: in the end every pair that shares a band and still lies in two classes
+is checked, unless counts alone show that it can't be similar. Classes are
 the connected components.
 
 Defined results: words are runs of non-space characters; a text of one to four words
@@ -43,6 +44,8 @@ M = BANDS * ROWS
 HORIZON = M * (np.log(M) + 3.0)
 TURNS = 3
 OFFSETS = 4
+#: Members of a bucket that one row meets in one task when pairs are settled.
+BLOCK = 256
 WORDS_AT_ONCE = 400_000
 SIGNATURE = "doc_id long, text_hash long, node string, n int, hashes array<int>, counts array<short>, bands array<long>"
 
@@ -285,6 +288,46 @@ def _finer(nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return flat.join(ends.select("band", "value", "p.b", "p.l"), ["band", "value"]).where("label <> l").select(F.col("node").alias("a"), "b")
 
 
+def _bounds(nodes: DataFrame) -> DataFrame:
+    """node, its numbers of shingles and of occurrences, and how many of each no other node holds."""
+    flat = nodes.select("node", F.explode(F.arrays_zip("hashes", "counts")).alias("v")).select("node", "v.hashes", F.col("v.counts").cast("long").alias("c"))
+    alone = flat.groupBy("hashes").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.min("c").alias("c")).where("df = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"), F.sum("c").alias("uw"))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
+    keys = F.transform("bands", lambda v, i: F.xxhash64(i, v))
+    sized = nodes.select("node", keys.alias("keys"), F.size("hashes").cast("long").alias("n"), total.alias("w"))
+    return sized.join(alone, "node", "left").fillna(0, ["u", "uw"])
+
+
+def _unsettled(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair of nodes of different classes that share a band, once, but for those whose counts rule them out.
+
+    Of a pair's n and m shingles at most min(n - u, m - v) are common, where u and v are
+    those that no other node holds; the probability Jaccard is at most the sum of the
+    smaller probabilities, so at most 1 less what either has alone. A bucket's largest
+    class needs no pairs within it; its other members meet the bucket in blocks.
+    """
+    flat = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = flat.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("__n"), F.count(F.lit(1)).alias("k"))
+    flat = materialise(flat.join(per.where("k > 1").drop("k"), ["band", "value"]), "dedup-unsettled")
+    facts = materialise(_bounds(nodes.join(flat.select("node").distinct(), "node", "left_semi")), "dedup-bounds")
+    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
+    full = flat.join(facts, "node").withColumn("blocks", blocks)
+    names = ["node", "label", "keys", "n", "w", "u", "uw"]
+    minor = full.where("label <> major").select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in names])
+    every = full.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), (F.col("label") == F.col("major")).alias("is_major"), *[F.col(c).alias(f"b_{c}") for c in names])
+    common = F.least(F.col("a_n") - F.col("a_u"), F.col("b_n") - F.col("b_u"))
+    plain = common >= THRESHOLD * (F.col("a_n") + F.col("b_n") - common) - 1e-6
+    weighted = 1 - F.greatest(F.col("a_uw") / F.col("a_w"), F.col("b_uw") / F.col("b_w")) >= THRESHOLD - 1e-6
+    near = common >= (THRESHOLD - 0.2) * (F.col("a_n") + F.col("b_n") - common) - 1e-6
+    # A pair that shares several buckets is met in the one of the smallest key.
+    first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.xxhash64("band", "value")
+    pairs = minor.join(every, ["band", "value", "block"]).where(F.col("a_label") != F.col("b_label"))
+    pairs = pairs.where(F.col("is_major") | (F.col("a_node") < F.col("b_node"))).where(plain | (weighted & near)).where(first)
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 NO_ID = 2**63 - 1
 
 
@@ -306,6 +349,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, turns: int) -> DataFrame:
             break
         links = links.unionByName(more)
         labels = components(links)
+    more = _checked(_unsettled(buckets, nodes, labels), nodes)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     return signed.select("doc_id", "text_hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

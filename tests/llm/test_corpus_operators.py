@@ -74,6 +74,29 @@ def test_near_dedup_chain(spark):
     assert {r["class_id"] for r in got} == {min(rows[k][0] for k in m) for m in brute_classes(rows).values()}
 
 
+def variants(n):
+    """Variants of one text, each with three to six changed words; some are near many others, some near few or none."""
+    rng = np.random.default_rng(5)
+    base = data.prose(70, 300).split()
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for i in rng.choice(300, rng.integers(3, 7), replace=False):
+            words[i] = f"new{k}x{i}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("turns", [0, near_dedup.TURNS])
+def test_near_dedup_variants(spark, monkeypatch, turns):
+    """The members of a large group are in one class whether or not they are near a pivot, and with however few turns."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 50, raising=False)
+    rows = variants(200)
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), turns=turns).collect()
+    want = {k: min(m) for m in brute_classes(rows).values() for k in m}
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)
