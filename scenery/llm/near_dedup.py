@@ -9,7 +9,10 @@ the process ends early: the work is one draw per shingle and some thousand arriv
 whatever the number of registers.
 
 Registers are grouped in BANDS bands of ROWS; a pair of similarity 0.8 shares no band
-with probability (1 - 0.8^4)^24 = 3e-6. Equal shingle sets are one node. Within a band's
+with probability (1 - 0.8^4)^24 = 3e-6. Repeats can part the vectors of texts whose shingle sets
+are near, so a text with repeats also gets the bands of its plain shingle set; without
+repeats the two are the same. Pairs of set similarity 0.8 meet there: the probability
+Jaccard of plain sets is at least their set Jaccard. Equal shingle sets are one node. Within a band's
 bucket every node is linked to a pivot, so a bucket of any size gives a linear number of
 candidate links. Links are verified on the shingles themselves. Where a group's members
 differ from each other, not all are near its pivot; so further turns look at the finer
@@ -161,6 +164,12 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([h for h, _ in sets]) if sets else np.empty(0, np.uint64)
         c = np.concatenate([c for _, c in sets]) if sets else np.empty(0, np.int64)
         bands = _bands(prob_min_hash(h, c.astype(np.float64), owner, len(sets)))
+        # Texts with repeats have a second row of bands, right after the first: those of the plain set.
+        again = np.flatnonzero(np.bincount(owner, c > 1, len(sets)) > 0)
+        of = np.isin(owner, again)
+        plain = _bands(prob_min_hash(h[of], np.ones(of.sum()), np.searchsorted(again, owner[of]), len(again)))
+        bands = np.insert(bands, again + 1, plain, axis=0)
+        ends = np.r_[0, np.cumsum(1 + np.isin(np.arange(len(sets)), again))] * BANDS
         nodes = [xxhash.xxh3_128_hexdigest(a.tobytes() + b.tobytes()) if len(a) else None for a, b in sets]
         # Links are checked on the upper halves of the hashes, which are in order, so equal halves are neighbours.
         half = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -176,7 +185,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(n, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat)),
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.view(np.int64).ravel())),
             ],
             names=[x.split()[0] for x in SIGNATURE.split(", ")],
         )
@@ -196,7 +205,10 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> float:
-    """The larger of the shingle sets' Jaccard and the probability Jaccard of the weighted shingles."""
+    """The shingle sets' Jaccard, and where that is from 0.6 to 0.8 the probability Jaccard if it is larger.
+
+    A class is defined by the set Jaccard; weights can only add pairs whose sets are close as well.
+    """
     if min(len(a), len(b)) < (THRESHOLD - 0.2) * max(len(a), len(b)):
         return 0.0
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -270,9 +282,15 @@ def _pivots(buckets: DataFrame) -> DataFrame:
     return buckets.join(ends, ["band", "value"]).select(F.col("node").alias("a"), "b").where("a <> b")
 
 
+def _placed(values, start: int = 0):
+    """Bands with their numbers, each once; the second row of bands has the numbers of the first."""
+    out = F.transform(values, lambda v, i: F.struct((i % BANDS + start).alias("band"), v.alias("value")))
+    return F.when(F.size(values) > BANDS, F.array_distinct(out)).otherwise(out)
+
+
 def _band_pairs(offset: int):
-    """Every band hashed with the one `offset` further on."""
-    return F.transform("bands", lambda v, i: F.xxhash64(v, F.get("bands", (i + offset) % BANDS)))
+    """Every band hashed with the one `offset` further on in its row."""
+    return F.transform("bands", lambda v, i: F.xxhash64(v, F.get("bands", i - i % BANDS + (i + offset) % BANDS)))
 
 
 def _finer(nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -281,8 +299,8 @@ def _finer(nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     A pair of similarity 0.8 shares two given bands with probability 0.17, and so hardly
     ever none of the OFFSETS * BANDS pairs of a turn; chance neighbours rarely share one.
     """
-    two = F.concat(*[_band_pairs(1 + OFFSETS * turn + k) for k in range(OFFSETS)])
-    flat = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.posexplode(two).alias("band", "value"))
+    two = F.concat(*[_placed(_band_pairs(1 + OFFSETS * turn + k), k * BANDS) for k in range(OFFSETS)])
+    flat = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.inline(two))
     first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), F.col("node").alias("b"), F.col("label").alias("l")))
     ends = flat.groupBy("band", "value").agg(first.alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return flat.join(ends.select("band", "value", "p.b", "p.l"), ["band", "value"]).where("label <> l").select(F.col("node").alias("a"), "b")
@@ -294,7 +312,7 @@ def _bounds(nodes: DataFrame) -> DataFrame:
     alone = flat.groupBy("hashes").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.min("c").alias("c")).where("df = 1")
     alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"), F.sum("c").alias("uw"))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
-    keys = F.transform("bands", lambda v, i: F.xxhash64(i, v))
+    keys = F.transform("bands", lambda v, i: F.xxhash64(i % BANDS, v))
     sized = nodes.select("node", keys.alias("keys"), F.size("hashes").cast("long").alias("n"), total.alias("w"))
     return sized.join(alone, "node", "left").fillna(0, ["u", "uw"])
 
@@ -336,7 +354,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, turns: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     signed = materialise(rows.mapInArrow(_sign, SIGNATURE), "dedup-signatures")
     worded = signed.where("node IS NOT NULL")
-    flat = worded.select("node", "bands").dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "value"))
+    flat = worded.select("node", "bands").dropDuplicates(["node"]).select("node", F.inline(_placed(F.col("bands"))))
     shared = flat.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = materialise(flat.join(shared, ["band", "value"]), "dedup-buckets")
     nodes = worded.select("node", "hashes", "counts", "bands").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])

@@ -97,6 +97,19 @@ def test_near_dedup_variants(spark, monkeypatch, turns):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_near_dedup_repeated_line(spark):
+    """A line that one copy repeats parts the weighted vectors, not the sets; and the other way round."""
+    rows = []
+    for k in range(6):
+        text = data.prose(400 + k, 300)
+        rows += [(10 * k, text), (10 * k + 1, text + "\n" + "\n".join([data.prose(500 + k, 10)] * 200))]
+    sentence = " ".join([data.prose(600, 10)] * 200)
+    rows += [(900 + k, sentence + " " + data.prose(700 + k, 100)) for k in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), turns=0).collect()}
+    assert got == {rows[k][0]: rows[min(m)][0] for m in brute_classes(rows).values() for k in m}
+    assert all(got[10 * k + 1] == 10 * k for k in range(6))
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)
