@@ -4,6 +4,7 @@ Lines are hashed; a line that several documents hold names its earliest document
 partner of every later one, starting from each later document's rarest shared lines.
 A document and a partner are aligned with patience diff: lines that are unique in both
 anchor the longest increasing chain, and equal lines around an anchor join its block.
+Passages that hold no such line are found as runs of lines that stand in both.
 Aligned common blocks of at least MIN_WORDS words are deleted from the later document.
 
 Every document that shares a line is aligned with the line's earliest holder, however
@@ -91,23 +92,73 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def common_runs(a: list[int], b: list[int], words: list[int], least: int) -> set[int]:
+    """Positions in b within any run of lines that stands somewhere in a too and holds at least `least` words.
+
+    A suffix automaton of a gives for every place in b the longest run that ends there;
+    the work is linear in both however often lines repeat.
+    """
+    after: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for x in a:
+        new, p = len(after), last
+        after.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and x not in after[p]:
+            after[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = after[p][x]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = len(after)
+                after.append(dict(after[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and after[p].get(x) == q:
+                    after[p][x] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    total = [0]
+    for w in words:
+        total.append(total[-1] + w)
+    starts, state, n = [], 0, 0
+    for j, x in enumerate(b):
+        while state and x not in after[state]:
+            state = link[state]
+            n = length[state]
+        state, n = (after[state][x], n + 1) if x in after[state] else (0, 0)
+        starts.append(j + 1 - n if total[j + 1] - total[j + 1 - n] >= least else j + 1)
+    found, first = set(), len(b)
+    for j in range(len(b) - 1, -1, -1):
+        first = min(first, starts[j])
+        if first <= j:
+            found.add(j)
+        else:
+            first = len(b)
+    return found
+
+
 def common_lines(a: list[int], b: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
     """Positions in b of the lines in aligned blocks that hold at least `least` words.
 
     What is left of b is aligned again until nothing more is found, so blocks whose order
-    differs between the two documents are found as well.
+    differs between the two documents are found as well; then come runs without an anchor.
     """
-    found: list[int] = []
-    rest = list(range(len(b)))
-    while rest:
+    found: set[int] = set()
+    held = set(a)
+    while True:
+        rest = [k for k in range(len(b)) if k not in found]
         blocks = patience(a, [b[k] for k in rest])
-        new = [k for _, j, n in blocks if sum(words[x] for x in rest[j : j + n]) >= least for k in rest[j : j + n]]
+        new = {k for _, j, n in blocks if sum(words[x] for x in rest[j : j + n]) >= least for k in rest[j : j + n]}
+        if not new and any(b[k] in held for k in rest):
+            new = common_runs(a, b, words, least) - found
         if not new:
-            break
-        found += new
-        gone = set(new)
-        rest = [k for k in rest if k not in gone]
-    return sorted(found)
+            return sorted(found)
+        found |= new
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

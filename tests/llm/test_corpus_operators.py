@@ -289,6 +289,20 @@ def test_patience_diff():
     assert line_dedup.patience([], [1]) == []
 
 
+def test_repeated_passages():
+    """Lines that stand twice on either side, and every run of lines that stands in both."""
+    p, q, r, x, y, z, passage = range(7)
+    assert line_dedup.common_lines([p, passage, q], [x, passage, y, passage, z], [9] * 5) == [1, 3]
+    assert line_dedup.common_lines([p, passage, r, passage, q], [x, passage, z], [9] * 3) == [1]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = rng.integers(0, 5, rng.integers(0, 14)).tolist(), rng.integers(0, 5, rng.integers(0, 14)).tolist()
+        words = [1 + k for k in b]
+        runs = {tuple(a[i:k]) for i in range(len(a)) for k in range(i + 1, len(a) + 1)}
+        want = {j for i in range(len(b)) for k in range(i + 1, len(b) + 1) if tuple(b[i:k]) in runs and sum(words[i:k]) >= 5 for j in range(i, k)}
+        assert line_dedup.common_runs(a, b, words, 5) == want <= set(line_dedup.common_lines(a, b, words))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
