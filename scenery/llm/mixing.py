@@ -106,6 +106,35 @@ def min_cost_flow(capacity: dict[tuple[str, ...], int], quota: dict[str, float],
     return flow
 
 
+def _later(ranked: DataFrame, gaps: DataFrame, n_units: int) -> tuple[DataFrame, DataFrame]:
+    """Documents that fit after the first that didn't, and the gaps that remain, each below its smallest document.
+
+    A round takes documents of up to half the gap in seeded order until one doesn't fit;
+    where there are none it takes one larger document that fits. So two rounds at least
+    halve a gap, and their number grows with the logarithm of the largest.
+    """
+    left, chosen = ranked, []
+    while True:
+        near = left.select("__members", "__h", "size").join(gaps, "__members").where("size > 0 AND size <= gap")
+        near = materialise(near, "mix-near")
+        n_units = min(n_units, near.count())
+        if not n_units:
+            break
+        small = running(near.where("2 * size <= gap"), "__members", F.col("__h") / float(16**15), [F.col("__h")], n_units, {"upto": F.col("size")})
+        one = near.groupBy("__members").agg(F.min("size").alias("least"), F.first("gap").alias("gap"), F.min(F.struct("__h", "size")).alias("v")).where("2 * least > gap")
+        taken = small.where("upto <= gap").select("__members", "__h", "size").unionByName(one.select("__members", "v.*"))
+        taken = materialise(taken, "mix-later")
+        chosen.append(taken)
+        filled = taken.groupBy("__members").agg(F.sum("size").alias("filled"))
+        gaps = gaps.join(filled, "__members", "left").select("__members", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap"))
+        gaps = materialise(gaps, "mix-gaps")
+        left = near.join(taken.select("__members", "__h"), ["__members", "__h"], "left_anti")
+    out = ranked.select("__members", "__h").limit(0)
+    for taken in chosen:
+        out = out.unionByName(taken.select("__members", "__h"))
+    return materialise(out, "mix-more"), gaps
+
+
 def mix(docs: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Adds size, source_size, target, copies and taken, in place of columns of these names.
 
@@ -143,19 +172,23 @@ def mix(docs: DataFrame, members: Column | None = None, weights: Sequence[float]
     n_units = sum(r["n"] for r in patterns)
     ranked = running(units, "__members", F.col("__h") / float(16**15), [F.col("__h")], n_units, {"upto": F.col("size")})
     ranked = materialise(ranked.join(quotas, "__members").select("__members", "__h", "size", "upto", "__rest"), "mix-ranked")
-    # Whole documents in seeded order as far as they fit, then the one that best fills the gap.
+    # Whole documents in seeded order as far as they fit, later ones that still do, then the one that best fills the gap.
     fits = ranked.where("upto <= __rest").groupBy("__members").agg(F.max("__h").alias("__to"), F.max("upto").alias("__filled"))
     fits = materialise(fits, "mix-fits")
-    over = ranked.where("upto > __rest").join(fits, "__members", "left")
-    gap = F.col("__rest") - F.coalesce("__filled", F.lit(0))
+    over = ranked.where("upto > __rest").select("__members", "__h", "size")
+    gaps = quotas.join(fits, "__members", "left").select("__members", (F.col("__rest") - F.coalesce("__filled", F.lit(0))).alias("gap"))
+    more, gaps = _later(over, materialise(gaps, "mix-gaps"), n_units)
+    over = over.join(more, ["__members", "__h"], "left_anti").join(gaps, "__members")
+    gap = F.col("gap")
     extra = over.where((F.col("size") > 0) & (F.col("size") < 2 * gap)).groupBy("__members").agg(F.min_by("__h", F.struct(F.abs(gap - F.col("size")), F.col("__h"))).alias("__extra"))
     decided = materialise(quotas.join(fits, "__members", "left").join(extra, "__members", "left").select("__members", "__reads", "__to", "__extra"), "mix-decided")
     sources = materialise(spark.createDataFrame([(s, sizes[s], goal[s]) for s in order], "__source string, source_size long, target double"), "mix-sources")
     out = rows.withColumn("__source", nullable_key(F.col(source))).join(decided, "__members", "left").join(sources, "__source", "left")
-    once = F.coalesce(F.col("__h") <= F.col("__to"), F.lit(False)) | F.coalesce(F.col("__h") == F.col("__extra"), F.lit(False))
+    out = out.join(more.withColumn("__more", F.lit(True)), ["__members", "__h"], "left")
+    once = F.coalesce(F.col("__h") <= F.col("__to"), F.lit(False)) | F.coalesce(F.col("__h") == F.col("__extra"), F.lit(False)) | F.coalesce("__more", F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("__reads") + once.cast("int")).otherwise(0)
     out = out.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.drop("__members", "__h", "__reads", "__to", "__extra", "__source")
+    return out.drop("__members", "__h", "__reads", "__to", "__extra", "__more", "__source")
 
 
 def mixture(docs: DataFrame) -> DataFrame:

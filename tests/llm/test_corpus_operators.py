@@ -240,6 +240,18 @@ def test_mixing(spark):
     assert mixing.mix(data.empty(spark)).collect() == []
 
 
+def test_mixing_passes_over_what_does_not_fit(spark):
+    """One document far longer than the target comes early in the order; the others fill the target all the same."""
+    import hashlib
+
+    early = min(range(5000, 5100), key=lambda i: hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:15])
+    rows = [(i, "w " * 100, "a") for i in range(1000)] + [(early, "w " * 50_000, "a")] + [(9000 + i, "w " * 1000, "b") for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 16.5)).collect()
+    target = {r["source"]: r["target"] for r in got}
+    assert target["a"] == pytest.approx(20_000)
+    assert abs(sum(r["taken"] for r in got if r["source"] == "a") - 20_000) <= 100
+
+
 def test_mixing_overlapping_sources(spark):
     from pyspark.sql import functions as F
 
