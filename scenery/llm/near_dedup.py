@@ -8,24 +8,29 @@ vectors. Arrivals later than a document's latest register can no longer change i
 the process ends early: the work is one draw per shingle and some thousand arrivals,
 whatever the number of registers.
 
-Registers are grouped in BANDS bands of ROWS; a pair of similarity 0.8 shares no band
-with probability (1 - 0.8^4)^24 = 3e-6. Repeats can part the vectors of texts whose shingle sets
-are near, so a text with repeats also gets the bands of its plain shingle set; without
-repeats the two are the same. Pairs of set similarity 0.8 meet there: the probability
-Jaccard of plain sets is at least their set Jaccard. Equal shingle sets are one node. Within a band's
-bucket every node is linked to a pivot, so a bucket of any size gives a linear number of
-candidate links. Links are verified on the shingles themselves. Where a group's members
-differ from each other, not all are near its pivot; so further turns look at the finer
-buckets of nodes that share two bands, and link the classes that meet there. The turns
-only save work: in the end every pair that shares a band and still lies in two classes
-is checked, unless counts alone show that it can't be similar. Classes are
-the connected components.
+Two texts are similar when the probability Jaccard of their weighted shingles, or the
+Jaccard of their plain shingle sets, is at least THRESHOLD. Registers are grouped in
+BANDS bands of ROWS; a pair of similarity 0.8 shares no band with probability
+(1 - 0.8^4)^24 = 3e-6. A text with repeats also gets the registers of its plain set;
+the probability Jaccard of plain sets is at least their set Jaccard.
+
+Equal shingle multisets are one node. Within a band's bucket every node is linked to a
+pivot, its most central member: the one whose buckets hold most nodes. So a bucket of
+any size gives a linear number of candidate links, and in a group of variants the
+pivot is the variant nearest to all. Links are verified on the shingles themselves;
+classes are connected components. Nodes that share a bucket and still lie in two
+classes are then compared register by register, block against block, and every pair
+that agrees in enough registers is verified too: a pair of similarity 0.8 fails that
+comparison with probability 4e-6.
 
 Defined results: words are runs of non-space characters; a text of one to four words
-is a single shingle; null and wordless texts are classes of their own; equal texts,
-repeated rows included, share a class; a class is named by its smallest doc_id; rows
-with a null doc_id take part and never name a class unless all its ids are null; an
-empty table gives no rows.
+is a single shingle; null and wordless texts are classes of their own; a text of any
+length counts whole, and is one row of signatures and at most one of shingles; equal
+texts, repeated rows included, share a class; a class is named by its smallest doc_id;
+rows with a null doc_id take part and never name a class unless all its ids are null;
+of equally central nodes the one of the smaller hash is the pivot, which decides no
+class; other columns, whatever their names, are not read, and `clean` returns them as
+they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,19 +43,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenery.llm.common import materialise
+from scenery.llm.common import discard, materialise
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 M = BANDS * ROWS
 HORIZON = M * (np.log(M) + 3.0)
-TURNS = 3
-OFFSETS = 4
-#: Members of a bucket that one row meets in one task when pairs are settled.
-BLOCK = 256
+#: Registers, of M, that two nodes must share to be verified when pairs are settled.
+LEAST_SHARED = 57
+#: Members of a bucket in one block when pairs are settled; a task holds two blocks.
+BLOCK = 2048
+#: Parts into which the links of one pivot are dealt for verification.
+PARTS = 64
+ROUNDS = 200
 WORDS_AT_ONCE = 400_000
-SIGNATURE = "doc_id long, text_hash long, node string, n int, hashes array<int>, counts array<short>, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, node string, keys array<long>, registers binary"
+SHINGLES = "node string, hashes array<long>, counts array<long>"
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -154,41 +163,30 @@ def _bands(registers: np.ndarray) -> np.ndarray:
     out = np.zeros((len(registers), BANDS), np.uint64)
     for k in range(ROWS):
         out = _mix(out + registers[:, k::ROWS] * _ODD[k])
-    return out
+    return _mix(out + np.arange(BANDS, dtype=np.uint64) * _ODD[4])
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(ids: list, hashes: list, sets: list) -> pa.RecordBatch:
-        n = [len(h) for h, _ in sets]
-        owner = np.repeat(np.arange(len(sets)), n)
-        h = np.concatenate([h for h, _ in sets]) if sets else np.empty(0, np.uint64)
-        c = np.concatenate([c for _, c in sets]) if sets else np.empty(0, np.int64)
-        bands = _bands(prob_min_hash(h, c.astype(np.float64), owner, len(sets)))
-        # Texts with repeats have a second row of bands, right after the first: those of the plain set.
+        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+        h = np.concatenate([h for h, _ in sets])
+        c = np.concatenate([c for _, c in sets])
+        registers = prob_min_hash(h, c.astype(np.float64), owner, len(sets))
+        bands = _bands(registers)
+        # Texts with repeats have a second row of registers, those of the plain set.
         again = np.flatnonzero(np.bincount(owner, c > 1, len(sets)) > 0)
         of = np.isin(owner, again)
-        plain = _bands(prob_min_hash(h[of], np.ones(of.sum()), np.searchsorted(again, owner[of]), len(again)))
-        bands = np.insert(bands, again + 1, plain, axis=0)
-        ends = np.r_[0, np.cumsum(1 + np.isin(np.arange(len(sets)), again))] * BANDS
+        plain = prob_min_hash(h[of], np.ones(of.sum()), np.searchsorted(again, owner[of]), len(again))
+        second = dict(zip(again.tolist(), range(len(again)), strict=True))
+        more = _bands(plain)
+        keys, kept = [], []
+        for i, (a, _) in enumerate(sets):
+            k = second.get(i)
+            keys.append(None if not len(a) else bands[i].view(np.int64) if k is None else np.unique(np.r_[bands[i], more[k]]).view(np.int64))
+            kept.append(registers[i].astype("<u2").tobytes() + (b"" if k is None else plain[k].astype("<u2").tobytes()))
         nodes = [xxhash.xxh3_128_hexdigest(a.tobytes() + b.tobytes()) if len(a) else None for a, b in sets]
-        # Links are checked on the upper halves of the hashes, which are in order, so equal halves are neighbours.
-        half = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        first = np.flatnonzero(np.r_[True, (half[1:] != half[:-1]) | (owner[1:] != owner[:-1])][: len(h)])
-        flat = half[first]
-        counts = np.minimum(np.add.reduceat(c, first), 32767).astype(np.int16) if len(h) else np.empty(0, np.int16)
-        cut = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=len(sets)))]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(hashes, pa.int64()),
-                pa.array(nodes, pa.string()),
-                pa.array(n, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat)),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.view(np.int64).ravel())),
-            ],
-            names=[x.split()[0] for x in SIGNATURE.split(", ")],
-        )
+        columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SIGNATURE.split(", ")])
 
     for batch in batches:
         ids, hashes, sets, held = [], [], [], 0
@@ -204,19 +202,31 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done(ids, hashes, sets)
 
 
-def similar(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> float:
-    """The shingle sets' Jaccard, and where that is from 0.6 to 0.8 the probability Jaccard if it is larger.
+def _shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each node's text, a few texts at a time."""
+    names = [x.split()[0] for x in SHINGLES.split(", ")]
+    for batch in batches:
+        nodes, sets, held = [], [], 0
+        for i, (node, text) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True)):
+            nodes.append(node.as_py())
+            sets.append(shingles(text.as_py() or b""))
+            held += len(sets[-1][0])
+            if held >= WORDS_AT_ONCE or i == batch.num_rows - 1:
+                cut = pa.array(np.r_[0, np.cumsum([len(h) for h, _ in sets])], pa.int32())
+                hashes = pa.ListArray.from_arrays(cut, pa.array(np.concatenate([h for h, _ in sets]).view(np.int64)))
+                counts = pa.ListArray.from_arrays(cut, pa.array(np.concatenate([c for _, c in sets])))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), hashes, counts], names=names)
+                nodes, sets, held = [], [], 0
 
-    A class is defined by the set Jaccard; weights can only add pairs whose sets are close as well.
-    """
-    if min(len(a), len(b)) < (THRESHOLD - 0.2) * max(len(a), len(b)):
-        return 0.0
+
+def similar(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> float:
+    """The larger of the shingle sets' Jaccard and of the probability Jaccard of the shingles with their counts."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0
     plain = len(i) / (len(a) + len(b) - len(i))
-    if plain >= THRESHOLD or plain < THRESHOLD - 0.2 or (ca.max(initial=1) == 1 and cb.max(initial=1) == 1):
-        return plain
+    if ca.max() == 1 and cb.max() == 1 and len(a) == len(b):
+        return plain  # the two are the same
     x, y = ca / ca.sum(), cb / cb.sum()
     only_a, only_b = x.sum() - x[i].sum(), y.sum() - y[j].sum()
     xi, yi = x[i].astype(float), y[j].astype(float)
@@ -227,19 +237,30 @@ def similar(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> flo
     return max(plain, float(np.sum(1.0 / ((lower + only_b) / ys + (upper + only_a) / xs))))
 
 
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        part = [batch.column(k) for k in range(2, 6)]
-        flat = [c.values.to_numpy(zero_copy_only=False) for c in part]
-        cut = [c.offsets.to_numpy(zero_copy_only=False) for c in part]
-        ok = [
-            similar(*[flat[k][cut[k][r] : cut[k][r + 1]] for k in range(4)]) >= THRESHOLD
-            for r in range(batch.num_rows)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+def _arrays(batch: pa.RecordBatch, *columns: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Values and offsets of list columns."""
+    part = [batch.column(k) for k in columns]
+    return [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy(zero_copy_only=False)) for c in part]
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a pivot's part follow the pivot's own row: each is compared with that."""
+    head = None
+    for batch in batches:
+        (h, hc), (c, cc) = _arrays(batch, 3, 4)
+        a, b = batch.column(2), batch.column(0)
+        ok = []
+        for r in range(batch.num_rows):
+            own = h[hc[r] : hc[r + 1]], c[cc[r] : cc[r + 1]]
+            if not a[r].is_valid:
+                head = own[0].copy(), own[1].copy()
+                ok.append(False)
+            else:
+                ok.append(similar(*own, *head) >= THRESHOLD)
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, for every node that has an edge.
 
     Alternates large stars and small stars; every step is a grouped minimum and a join,
@@ -247,129 +268,132 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "dedup-edges")
     before = None
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").distinct(), "dedup-edges")
+        last, now = now, materialise(small.where("u <> v").distinct(), "dedup-edges")
+        discard(last)
         # A round that changes nothing leaves stars, each around its smallest node.
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (2**31))).first()
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     tree = now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
-    return materialise(tree.unionByName(tree.select(F.col("label").alias("node"), "label").distinct()), "dedup-labels")
+    out = materialise(tree.unionByName(tree.select(F.col("label").alias("node"), "label").distinct()), "dedup-labels")
+    discard(now)
+    return out
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that are similar enough, on the shingles themselves."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "dedup-pairs")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("counts").alias(f"c{x}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "ca", "hb", "cb")
-    return materialise(full.mapInArrow(_verify, "a string, b string"), "dedup-links")
+    """The pairs (a, b) that are similar enough, on the shingles themselves.
+
+    b's shingles travel once for each of its PARTS of partners, not once for each pair;
+    a task streams through the partners, so a pivot may have any number of them.
+    """
+    part = F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int").alias("part")
+    pairs = materialise(pairs.where("a <> b").select("b", part, "a").distinct(), "dedup-pairs")
+    heads = pairs.select("b", "part").distinct().join(nodes.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("string").alias("a"), "hashes", "counts")
+    rows = pairs.join(nodes.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "hashes", "counts")
+    both = heads.unionByName(rows).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    out = materialise(both.mapInArrow(_verify, "a string, b string"), "dedup-links")
+    discard(pairs)
+    return out
 
 
 def _pivots(buckets: DataFrame) -> DataFrame:
-    """Every member of a bucket linked to one pivot, the bucket's first in a random order that all bands share.
+    """Every member of a bucket linked to its most central one.
 
     A large group falls into much the same buckets band after band, so most of its links
     are to the same pivots and are checked once.
     """
-    salt = F.struct(F.xxhash64("node").alias("k"), F.col("node").alias("node"))
-    ends = buckets.groupBy("band", "value").agg(F.min(salt)["node"].alias("b"))
-    return buckets.join(ends, ["band", "value"]).select(F.col("node").alias("a"), "b").where("a <> b")
+    central = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    rank = F.struct(F.col("weight"), F.xxhash64("node").alias("h"), F.col("node").alias("b"))
+    ends = buckets.join(central, "node").groupBy("key").agg(F.max(rank)["b"].alias("b"))
+    return buckets.join(ends, "key").select(F.col("node").alias("a"), "b").where("a <> b")
 
 
-def _placed(values, start: int = 0):
-    """Bands with their numbers, each once; the second row of bands has the numbers of the first."""
-    out = F.transform(values, lambda v, i: F.struct((i % BANDS + start).alias("band"), v.alias("value")))
-    return F.when(F.size(values) > BANDS, F.array_distinct(out)).otherwise(out)
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a bucket, of different classes, that agree in LEAST_SHARED registers.
 
+    The rows of a cell of the blocks' grid lie together, those of the first block before the second's.
+    """
+    cell, sides = None, ([], [])
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        one, two = sides
+        if not one or not two:
+            return
+        regs = [[np.stack([np.frombuffer(r[3][:cut] if cut else r[3][-2 * M :], "<u2") for r in side]) for cut in (2 * M, 0)] for side in sides]
+        labels = np.array([r[1] for r in two], object)
+        nodes = np.array([r[0] for r in two], object)
+        major = np.array([r[2] for r in two])
+        for k, (node, label, _, _) in enumerate(one):
+            same = np.maximum(*[(regs[1][w] == regs[0][w][k]).sum(axis=1) for w in (0, 1)])
+            # Of two members outside the largest class, each is in a first block: take the pair once.
+            near = (same >= LEAST_SHARED) & (labels != label) & (major | (nodes > node))
+            if near.any():
+                b = nodes[near].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(b)), pa.array(b)], names=["a", "b"])
 
-def _band_pairs(offset: int):
-    """Every band hashed with the one `offset` further on in its row."""
-    return F.transform("bands", lambda v, i: F.xxhash64(v, F.get("bands", i - i % BANDS + (i + offset) % BANDS)))
+    for batch in batches:
+        for key, i, j, second, node, label, is_major, registers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (key, i, j) != cell:
+                yield from pairs()
+                cell, sides = (key, i, j), ([], [])
+            sides[second].append((node, label, is_major, registers))
+    yield from pairs()
 
 
-def _finer(nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Links between classes within finer buckets: those that share two bands, other pairs of bands in each turn.
+def _unsettled(buckets: DataFrame, uniq: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair of nodes of different classes that share a bucket and agree in enough registers.
 
-    A pair of similarity 0.8 shares two given bands with probability 0.17, and so hardly
-    ever none of the OFFSETS * BANDS pairs of a turn; chance neighbours rarely share one.
+    A bucket's largest class needs no pairs within it; its other members meet the whole
+    bucket, block against block, so that no task holds more than two blocks.
     """
-    two = F.concat(*[_placed(_band_pairs(1 + OFFSETS * turn + k), k * BANDS) for k in range(OFFSETS)])
-    flat = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.inline(two))
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), F.col("node").alias("b"), F.col("label").alias("l")))
-    ends = flat.groupBy("band", "value").agg(first.alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return flat.join(ends.select("band", "value", "p.b", "p.l"), ["band", "value"]).where("label <> l").select(F.col("node").alias("a"), "b")
-
-
-def _bounds(nodes: DataFrame) -> DataFrame:
-    """node, its numbers of shingles and of occurrences, and how many of each no other node holds."""
-    flat = nodes.select("node", F.explode(F.arrays_zip("hashes", "counts")).alias("v")).select("node", "v.hashes", F.col("v.counts").cast("long").alias("c"))
-    alone = flat.groupBy("hashes").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.min("c").alias("c")).where("df = 1")
-    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"), F.sum("c").alias("uw"))
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
-    keys = F.transform("bands", lambda v, i: F.xxhash64(i % BANDS, v))
-    sized = nodes.select("node", keys.alias("keys"), F.size("hashes").cast("long").alias("n"), total.alias("w"))
-    return sized.join(alone, "node", "left").fillna(0, ["u", "uw"])
-
-
-def _unsettled(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pair of nodes of different classes that share a band, once, but for those whose counts rule them out.
-
-    Of a pair's n and m shingles at most min(n - u, m - v) are common, where u and v are
-    those that no other node holds; the probability Jaccard is at most the sum of the
-    smaller probabilities, so at most 1 less what either has alone. A bucket's largest
-    class needs no pairs within it; its other members meet the bucket in blocks.
-    """
-    flat = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = flat.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("__n"), F.count(F.lit(1)).alias("k"))
-    flat = materialise(flat.join(per.where("k > 1").drop("k"), ["band", "value"]), "dedup-unsettled")
-    facts = materialise(_bounds(nodes.join(flat.select("node").distinct(), "node", "left_semi")), "dedup-bounds")
-    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
-    full = flat.join(facts, "node").withColumn("blocks", blocks)
-    names = ["node", "label", "keys", "n", "w", "u", "uw"]
-    minor = full.where("label <> major").select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in names])
-    every = full.select("band", "value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), (F.col("label") == F.col("major")).alias("is_major"), *[F.col(c).alias(f"b_{c}") for c in names])
-    common = F.least(F.col("a_n") - F.col("a_u"), F.col("b_n") - F.col("b_u"))
-    plain = common >= THRESHOLD * (F.col("a_n") + F.col("b_n") - common) - 1e-6
-    weighted = 1 - F.greatest(F.col("a_uw") / F.col("a_w"), F.col("b_uw") / F.col("b_w")) >= THRESHOLD - 1e-6
-    near = common >= (THRESHOLD - 0.2) * (F.col("a_n") + F.col("b_n") - common) - 1e-6
-    # A pair that shares several buckets is met in the one of the smallest key.
-    first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.xxhash64("band", "value")
-    pairs = minor.join(every, ["band", "value", "block"]).where(F.col("a_label") != F.col("b_label"))
-    pairs = pairs.where(F.col("is_major") | (F.col("a_node") < F.col("b_node"))).where(plain | (weighted & near)).where(first)
-    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    flat = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    per = flat.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n_label"))
+    per = per.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    flat = materialise(flat.join(per, "key").withColumn("is_major", F.col("label") == F.col("major")).drop("major"), "dedup-unsettled")
+    full = flat.join(uniq.select("node", "registers"), "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    rest = ["node", "label", "is_major", "registers"]
+    one = full.where("NOT is_major").select("key", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), *rest)
+    two = full.select("key", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), *rest)
+    cells = one.unionByName(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.mapInArrow(_compare, "a string, b string")
 
 
 NO_ID = 2**63 - 1
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str, turns: int) -> DataFrame:
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_hash, node and label of every document; wordless texts have neither node nor label."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     signed = materialise(rows.mapInArrow(_sign, SIGNATURE), "dedup-signatures")
-    worded = signed.where("node IS NOT NULL")
-    flat = worded.select("node", "bands").dropDuplicates(["node"]).select("node", F.inline(_placed(F.col("bands"))))
-    shared = flat.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = materialise(flat.join(shared, ["band", "value"]), "dedup-buckets")
-    nodes = worded.select("node", "hashes", "counts", "bands").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    nodes = materialise(nodes, "dedup-nodes")
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("t"))
+    uniq = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"), F.first("keys").alias("keys"), F.first("registers").alias("registers"))
+    uniq = materialise(uniq.select("node", "row.*", "keys", "registers"), "dedup-nodes")
+    flat = uniq.select("node", F.explode("keys").alias("key"))
+    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialise(flat.join(shared, "key"), "dedup-buckets")
+    # Only nodes that share a bucket need their shingles: they are taken from one text of each.
+    asked = uniq.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "k", "t")
+    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("t"), "text").join(asked, ["k", "t"])
+    nodes = materialise(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_shingled, SHINGLES), "dedup-shingles")
     links = _checked(_pivots(buckets), nodes)
     labels = components(links)
-    for turn in range(turns):
-        more = _checked(_finer(nodes, labels, turn), nodes)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    more = _checked(_unsettled(buckets, nodes, labels), nodes)
+    more = _checked(_unsettled(buckets, uniq, labels), nodes)
     if not more.isEmpty():
+        discard(labels)
         labels = components(links.unionByName(more))
+    discard(nodes, buckets, links, more, uniq)
     return signed.select("doc_id", "text_hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -380,9 +404,9 @@ def _first_of_class(labelled: DataFrame) -> DataFrame:
     return materialise(out.where("n_in_class > 1"), "dedup-classes")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", turns: int = TURNS) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, n_in_class, and kept, which is true for one document of each class."""
-    labelled = _labelled(docs, doc_id, text, turns)
+    labelled = _labelled(docs, doc_id, text)
     out = labelled.join(_first_of_class(labelled), "label", "left")
     own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("t"))
     return out.select(
@@ -393,9 +417,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", turns:
     )
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", turns: int = TURNS) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document of each class and all others without near copies, with the columns of the input."""
-    labelled = _labelled(docs, doc_id, text, turns).where("label IS NOT NULL")
+    labelled = _labelled(docs, doc_id, text).where("label IS NOT NULL")
     own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("t"))
     # A document goes where it is not the first of its class; a row that repeats one counts once.
     found = labelled.join(_first_of_class(labelled), "label").select(own.alias("own"), (F.col("first") == own).alias("stays"))
