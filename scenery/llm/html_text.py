@@ -13,7 +13,12 @@ page is downloaded and no corpus page is used for training.
 Defined results: null and empty html give no text; markup that does not parse as
 elements is text; unclosed and stray tags are repaired as browsers do for paragraphs,
 list items, table parts and headings; raw text of scripts and styles, comments and
-declarations never count; a page without any content element gives the empty string.
+declarations never count: a comment that is not closed runs to the page's end, and a
+marked section or malformed declaration ends at its first `>`. A page without any
+content element gives the empty string. An element as likely content as not is
+content; pages of any length and depth are read whole, one at a time; repeated rows are
+read alike; an input column named text or n_chars is replaced, others are returned as
+they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,6 +136,13 @@ class _Builder(HTMLParser):
         if data:
             self.now.children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
 
 def parse(html: str) -> Node:
     builder = _Builder()
@@ -251,6 +263,19 @@ class TreeModel:
         return out
 
 
+# Names the generator gives to its elements, as sites write them; what is seen of them goes by the words above.
+LAYOUT = {
+    "nav": "site-nav main-menu topnav nav-primary breadcrumbs pagination-links",
+    "head": "page-header masthead site-banner top-bar headline-bar",
+    "foot": "site-footer footer-links colophon copyright legal-line",
+    "side": "sidebar-right related-posts widget-area secondary share-buttons tag-cloud",
+    "ad": "ad-slot advert sponsored-box promo-banner cookie-notice newsletter-signup overlay",
+    "comments": "comments-area comment-list reader-comments disqus_thread replies responses",
+    "form": "search-box login-form subscribe contact-us",
+    "main": "post-content entry article-body main-column story-text content page-content prose blog",
+}
+
+
 def _words(rng: random.Random, n: int) -> str:
     out = ["".join(rng.choice("aeioubcdlmnprst") for _ in range(rng.randint(2, 9))) + ("," if rng.random() < 0.08 else "") for _ in range(n)]
     return " ".join(out).capitalize() + "."
@@ -267,18 +292,18 @@ def labelled_pages(n: int = MAIN_PAGES, seed: int = SEED) -> Iterator[tuple[str,
         return "<ul>" + "".join(f'<li><a href="/{i}">{text(1, 3)}</a></li>' for i in range(k)) + "</ul>"
 
     def boiler(kind: str) -> str:
-        name = rng.choice(sorted(BAD_WORDS)) if rng.random() < 0.85 else ""
+        name = rng.choice(LAYOUT[kind].split()) if rng.random() < 0.85 else ""
         mark = f' class="{name}"' if name else ""
         tag = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside"}.get(kind, "div") if rng.random() < 0.75 else "div"
         if tag == "div" and not name:
-            mark = ' id="' + rng.choice(["ad", "menu", "footer", "sidebar", "comments"]) + '"'
+            mark = f' id="{rng.choice(LAYOUT[kind].split())}"'
         body = {
             "nav": lambda: links(rng.randint(2, 9)),
             "head": lambda: f"<p>{text(2, 8)}</p>" + links(rng.randint(0, 4)),
             "foot": lambda: rng.choice([text(3, 14), f"<p>{text(3, 14)}</p>" + links(2)]),
             "side": lambda: f"<h3>{text(1, 4)}</h3>" + links(rng.randint(2, 6)),
             "ad": lambda: rng.choice([text(3, 25), f"<p>{text(3, 25)}</p>"]),
-            "comments": lambda: f"<h2>{text(1, 3)}</h2>" + "".join(f"<div><b>{text(1, 2)}</b><p>{text(3, 40)}</p></div>" for _ in range(rng.randint(1, 4))),
+            "comments": lambda: f"<{(t := rng.choice(['h2', 'h3', 'h4']))}>{text(1, 3)}</{t}>" + "".join(f"<div><b>{text(1, 2)}</b><p>{text(3, 40)}</p></div>" for _ in range(rng.randint(1, 4))),
             "form": lambda: f"<form><label>{text(1, 3)}</label><input><button>{text(1, 2)}</button></form>",
         }[kind]()
         return f"<{tag}{mark}>{body}</{tag}>"
@@ -306,9 +331,10 @@ def labelled_pages(n: int = MAIN_PAGES, seed: int = SEED) -> Iterator[tuple[str,
 
     for _ in range(n):
         tag = rng.choice(["article"] * 6 + ["main", "div", "section"])
-        mark = f' class="{rng.choice(sorted(GOOD_WORDS))}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
+        mark = f' class="{rng.choice(LAYOUT["main"].split())}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
         style = rng.choice(["mixed"] * 7 + ["short"] * 2 + ["long"])
-        blocks = [f"<h1 data-content>{text(1, 10)}</h1>"] * (rng.random() < 0.9) + [block(style) for _ in range(rng.choice([0, 1, 2, 4, 8, 16]) * (4 if style == "short" else 1))]
+        title = rng.choice(["h1", "h1", "h2"])
+        blocks = [f"<{title} data-content>{text(1, 10)}</{title}>"] * (rng.random() < 0.9) + [block(style) for _ in range(rng.choice([0, 1, 2, 4, 8, 16]) * (4 if style == "short" else 1))]
         for kind in ("ad", "comments", "form", "side"):
             if rng.random() < 0.12:
                 blocks.insert(rng.randint(0, len(blocks)), boiler(kind))
