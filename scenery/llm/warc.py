@@ -10,8 +10,12 @@ within a range a loser tree merges them, k ways, into capture histories.
 
 Defined results: a null html is an empty payload; null urls stay null and sort first;
 a null page_id counts as smaller than any other and never is revisited while another
-has the same payload; rows that repeat the largest page_id are all responses; an
-empty table writes no records.
+has the same payload; rows that repeat the largest page_id are all responses; captures
+of equal key and time are in order of page_id, archive and offset; pages of any length
+are written whole, in archives bounded by their bytes; a capture's date is the epoch and
+page_id modulo 2^31 seconds, in UTC whatever the session's zone; a url is read back as it
+was given; other columns, whatever their names, are not read; an empty table writes no
+records and gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -33,8 +36,12 @@ from scenery.llm.common import materialise, shared_dir
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 RECORD_END = "\r\n\r\n"
-EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+EPOCH = "2024-01-01 00:00:00"
 ID = "urn:scenery:page:"
+#: The url as given, in base 64, where WARC-Target-URI has to differ from it.
+GIVEN_URL = "Scenery-Given-URL"
+#: Bytes of payload that an archive holds at most, unless one payload is longer, and records.
+BYTES_PER_FILE = 64 << 20
 RECORDS_PER_FILE = 2048
 ROWS_PER_RANGE = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +53,9 @@ def base32_of_sha1(hex_digits: Column) -> Column:
     return F.translate(F.concat(*[group(i) for i in range(8)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One row per page: its record's type, what it refers to, and the record itself."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+def records(pages: DataFrame, size_class: Column) -> DataFrame:
+    """One row per page: its record, and the class of size that it is written with."""
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), size_class.alias("size_class"))
     rows = rows.withColumn("digest", base32_of_sha1(F.sha1(F.col("payload").cast("binary"))))
     # Only payloads that occur more than once need a look-up; the table is as large as their number.
     shared = rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -58,7 +65,11 @@ def records(pages: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(RECORD_END))
     rows = rows.withColumns({"revisit": revisit, "block": F.when(revisit, http).otherwise(F.concat(http, "payload"))})
-    when = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # A timestamp without zone, so that no session's zone can shift it.
+    seconds = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31)).cast("int")
+    when = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    when = F.concat(F.replace(when.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     name = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     head = F.concat(
         F.lit(VERSION + CRLF),
@@ -66,18 +77,31 @@ def records(pages: DataFrame) -> DataFrame:
         line("WARC-Record-ID", name(F.col("page_id"))),
         F.when(F.col("revisit"), line("WARC-Refers-To", name(F.col("first")))).otherwise(""),
         line("WARC-Date", when),
-        F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20")), F.lit("")),
+        F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
+        F.when(uri != F.col("url"), line(GIVEN_URL, F.replace(F.base64(F.col("url").cast("binary")), F.lit(CRLF), F.lit("")))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit(CRLF),
     )
-    return rows.select(F.concat(head, "block").alias("value"))
+    return rows.select("size_class", F.concat(head, "block").alias("value"))
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Writes archives of at most RECORDS_PER_FILE records each."""
-    records(pages).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Writes archives of at most RECORDS_PER_FILE records and about BYTES_PER_FILE bytes each.
+
+    Payloads are written by classes of size, each with as many records to an archive as
+    its longest allow.
+    """
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    shift = F.greatest(F.lit(0), F.ceil(F.log2(size.cast("double") * RECORDS_PER_FILE / BYTES_PER_FILE)).cast("int"))
+    steps = RECORDS_PER_FILE.bit_length() - 1
+    shift = F.when(size == 0, 0).otherwise(F.least(shift, F.lit(steps)))
+    found = [r["k"] for r in pages.select(shift.alias("k")).distinct().collect()]
+    rows = records(pages, shift)
+    for k in sorted(found) or [0]:
+        out = rows.where(F.col("size_class") == k).select("value")
+        out.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE >> k).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -135,6 +159,8 @@ def _captures(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if (len(payload), found) != (size, digest):
                         raise ValueError(f"{path}: the payload at {offset} doesn't match its digest")
                 url = headers.get("WARC-Target-URI")
+                if GIVEN_URL in headers:
+                    url = base64.b64decode(headers[GIVEN_URL]).decode()
                 rows.append((path, url_key(url), headers["WARC-Date"], _page(headers["WARC-Record-ID"]), url, offset, length, size, digest, headers["WARC-Type"], _page(headers.get("WARC-Refers-To"))))
             rows.sort(key=_order)
             yield _frame(rows)
@@ -195,15 +221,13 @@ class LoserTree:
 
 
 def _merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the slices of the runs that lie in one range, which arrive run by run and in order."""
     runs: dict[str, list[tuple]] = {}
     for batch in batches:
         for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
             runs.setdefault(row[0], []).append(row)
-    for run in runs.values():  # blocks of a run may arrive out of turn
-        if any(_order(a) > _order(b) for a, b in zip(run, run[1:], strict=False)):
-            run.sort(key=_order)
     rows = []
-    for row in LoserTree([runs[k] for k in sorted(runs)]):
+    for row in LoserTree(list(runs.values())):
         rows.append(row)
         if len(rows) == 10_000:
             yield _frame(rows)
@@ -216,7 +240,10 @@ def index(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     runs = materialise(files.mapInPandas(_captures, RUN), "warc-runs")
     ranges = max(1, -(-runs.count() // ROWS_PER_RANGE))
-    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInPandas(_merge, RUN)
+    place = ["url_key", "captured", F.col("page_id").asc_nulls_first()]
+    # Ranges of about ROWS_PER_RANGE captures bound what a merge holds; the offset parts captures that tie in all else.
+    slices = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "offset").sortWithinPartitions("run", *place, "offset")
+    return slices.mapInPandas(_merge, RUN)
 
 
 def archive(pages: DataFrame) -> DataFrame:

@@ -135,6 +135,22 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages(spark, [])).collect() == []
 
 
+def test_warc_large_ids_zones_and_sizes(spark, monkeypatch):
+    """Ids beyond any date, a session in New York, urls with blanks, and payloads of many megabytes."""
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 4 << 20)
+    rows = [(2**62, "http://a.example/b c", "x"), (-(2**62), None, "y"), (5, "http://a.example/é", "z")] + [(100 + i, f"u{i}", f"{i} " * (1_500_000 if i < 3 else 20)) for i in range(40)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert {(r["page_id"], r["url"], r["payload_bytes"]) for r in got} == {(i, u, len(h)) for i, u, h in rows}
+    assert {r["page_id"]: r["captured"] for r in got}[5] == "2024-01-01T00:00:05Z"
+    big = [r["run"] for r in got if r["payload_bytes"] > 1 << 20]
+    assert len(set(big)) == len(big) == 3
+
+
 def test_url_keys():
     assert warc.url_key("http://www.Sub.Example.com:80/A?b=C#d") == "com,example,sub)/a?b=c"
     assert warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
@@ -158,6 +174,42 @@ def test_main_text_drops_what_is_around():
     assert html_text.main_text("<div>" * 3000 + "x", model) is not None
 
 
+def test_main_text_of_malformed_pages():
+    model = html_text.trained()
+    page = "<html><body><article><p>One two three, four.</p>{}<p>Five six seven.</p></article></body></html>"
+    for junk in ("<![foo[x]]>", "<![1]>", "<![endif]-->", "<!>", "<!foo bar>", "<?php x ?>", "</>", "<![CDATA[y]]>", "<!--[if IE]>z<![endif]-->"):
+        got = html_text.main_text(page.format(junk), model)
+        assert got.startswith("One two three, four.") and got.endswith("Five six seven."), junk
+    assert html_text.main_text("<p>a</p><![foo[x]]>", model) is not None and html_text.main_text("<![1]>b", model) is not None
+    assert "never" not in html_text.main_text(page.format("<!-- never closed"), model)
+
+
+# Pages written by hand, in other layouts than the generator's, with the text a reader would keep.
+BY_HAND = [
+    (
+        '<html><body><div id="wrapper"><div id="top"><a href="/">Daily</a> | <a href="/w">World</a> | <a href="/s">Sport</a></div><div class="story"><h1>River rises</h1>'
+        "<p>The river rose by two metres overnight, officials said on Monday.</p><p>No one was hurt, and the bridge stays open.</p></div>"
+        '<div id="sidebar"><h4>Most read</h4><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></div><div class="footer">All rights reserved.</div></div></body></html>',
+        "River rises The river rose by two metres overnight, officials said on Monday. No one was hurt, and the bridge stays open.",
+    ),
+    (
+        "<!doctype html><main><section><h2>Making bread</h2><ol><li>Mix flour, water and salt.<li>Wait for an hour.</ol><blockquote>Patience, said the baker, is half of it.</blockquote></section></main>"
+        '<aside class="related-links"><a href="/x">More recipes</a></aside><script>track("x")</script>',
+        "Making bread Mix flour, water and salt. Wait for an hour. Patience, said the baker, is half of it.",
+    ),
+    (
+        '<body><header><nav><a href="/a">A</a><a href="/b">B</a></nav></header><article class="post"><h1>A trip</h1><p>We left at dawn, by train, and saw the <em>sea</em> by noon.</p></article>'
+        '<section id="comments"><h3>2 comments</h3><div><b>Al</b><p>Lovely!</p></div><div><b>Bo</b><p>When was that?</p></div></section><footer><p>Contact us</p></footer></body>',
+        "A trip We left at dawn, by train, and saw the sea by noon.",
+    ),
+]
+
+
+@pytest.mark.parametrize("html, want", BY_HAND)
+def test_main_text_of_pages_written_by_hand(html, want):
+    assert html_text.main_text(html, html_text.trained()) == want
+
+
 def test_main_text_on_held_out_pages():
     model, right, all_ = html_text.trained(), 0, 0
     for html, in [(h,) for h in html_text.labelled_pages(60, seed=99)]:
