@@ -1,17 +1,18 @@
 """SQL twins, for DuckDB, of the training-data queries that SQL can express."""
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
-SHINGLES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
+SHINGLES = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' ')))"
 
+#: k is an item's number of words up to five; documents have windows of every such number.
 DECONTAMINATE = f"""
 WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
-iw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, {SHINGLES} AS s FROM dw WHERE len(w) >= 5),
-it AS (SELECT DISTINCT item_id, {SHINGLES} AS s FROM iw WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS n_item FROM it GROUP BY 1)
+iw AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, {SHINGLES} AS s FROM dw, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+it AS (SELECT DISTINCT item_id, k, {SHINGLES} AS s FROM iw),
+n AS (SELECT item_id, k, count(*) AS n_item FROM it GROUP BY 1, 2)
 SELECT doc_id, n.item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
-FROM ds JOIN it ON ds.s = it.s JOIN n ON n.item_id = it.item_id
-GROUP BY 1, 2 HAVING 5 * count(*) >= 4 * any_value(n_item)"""
+FROM ds JOIN it ON ds.s = it.s AND ds.k = it.k JOIN n ON n.item_id = it.item_id AND n.k = it.k
+GROUP BY 1, 2, it.k HAVING 5 * count(*) >= 4 * any_value(n_item)"""
 
 #: CRC-32 byte by byte over a table of 256 that is made by the polynomial's rule.
 SHARDING = """

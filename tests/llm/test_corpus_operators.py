@@ -174,16 +174,22 @@ def test_similarity(x, y):
 
 def test_decontaminate(spark):
     rng = [data.prose(300 + i, 20 + i) for i in range(12)]
-    items = [(i, t) for i, t in enumerate(rng)] + [(90, None), (91, ""), (92, "only four words here"), (0, rng[0])]
+    items = [(i, t) for i, t in enumerate(rng)] + [(90, None), (91, ""), (92, "only four words here"), (0, rng[0]), (93, "solitary"), (94, "..."), (95, "Two-words")]
     docs = [(1, "before " + rng[0].upper() + " after"), (2, rng[1][: len(rng[1]) // 2]), (3, data.prose(1, 5000) + " " + rng[5] + " " + rng[6]), (4, None), (5, ""), (6, "only four words here"), (7, rng[3].replace(" ", " - ")), (None, rng[2]), (7, rng[3].replace(" ", " - "))]
     drop = rng[4].split()
     docs.append((8, " ".join(drop[: len(drop) - 2])))
+    docs += [(9, "A SOLITARY word"), (10, "two words"), (11, "solitary"), (12, "two other words"), (13, data.prose(350, 60_000) + " " + rng[7] + " two words " + rng[8])]
     schema = "doc_id long, text string, item_id string, n_shared string"
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], schema)
     bench = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string")
     norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    want = {(i, k, len(five(norm(t)) & s), len(s)) for i, t in docs for k, u in items if (s := five(norm(u))) and 5 * len(five(norm(t)) & s) >= 4 * len(s)}
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for k, u in items:
+        n = min(5, len(norm(u)))
+        s = runs(norm(u), n) if n else set()
+        want |= {(i, k, len(got & s), len(s)) for i, t in docs if s and 5 * len(got := runs(norm(t), n) & s) >= 4 * len(s)}
+    assert {k for _, k, *_ in want} >= {92, 93, 95, 0, 7, 8}
     got = [(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.contaminated(df, bench).collect()]
     assert set(got) == want and len(got) == len(want) and want
     kept = decontaminate.clean(df, bench)
