@@ -1,21 +1,25 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed; a line that several documents hold names its earliest document as a
-partner of every later one, starting from each later document's rarest shared lines.
+Lines are hashed, and every line names the shortest run of lines of MIN_WORDS words or
+more that begins there, and the shortest that ends there: any block that is long enough
+to be deleted is covered by such runs. A run that several documents hold names its
+earliest holder as the partner of each later one, however many hold it, so frequent
+lines need no cap, and a group of any size gives one alignment per later document and
+earliest holder, never all pairs. Rarer runs tell a document's other partners apart.
 A document and a partner are aligned with patience diff: lines that are unique in both
 anchor the longest increasing chain, and equal lines around an anchor join its block.
-Passages that hold no such line are found as runs of lines that stand in both.
+What is left is aligned again, so that moved blocks are found; passages that hold no
+line unique on both sides are then found as runs of lines that stand in both.
 Aligned common blocks of at least MIN_WORDS words are deleted from the later document.
-
-Every document that shares a line is aligned with the line's earliest holder, however
-many hold it, so frequent lines need no cap and a group of any size gives one
-alignment per later document and earliest holder, never all pairs.
+So a line goes exactly if a run of lines around it, of MIN_WORDS words or more, stands
+in an earlier document as well.
 
 Defined results: lines are split at \\n; a line without a word is never counted, matched
-or deleted; null and empty texts have no lines; the earlier document is the one of the
-smaller doc_id, a null doc_id coming last, and of the smaller text hash among equals;
-rows that repeat a doc_id and text are one document and are cleaned alike; an empty
-table gives no rows.
+or deleted; null and empty texts have no lines; texts of any length are hashed and
+aligned whole; the earlier document is the one of the smaller doc_id, a null doc_id
+coming last, and of the smaller text hash among equals; rows that repeat a doc_id and
+text are one document and are cleaned alike; an empty table gives no rows; input columns
+named n_lines, n_removed or removed are replaced, others are returned as they are.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenery.llm.common import SPACE, SPACES, materialise
+from scenery.llm.common import SPACE, SPACES, discard, materialise
 
 #: Blocks of fewer words are too short to be a passage and stay.
 MIN_WORDS = 5
-NO_ID = 2**63 - 1
+#: Parts into which the later documents of one partner are dealt for alignment.
+PARTS = 64
 
 
 def _chain(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -147,14 +152,15 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int = MIN_
 
     What is left of b is aligned again until nothing more is found, so blocks whose order
     differs between the two documents are found as well; then come runs without an anchor.
+    A line that was found parts what stands before it from what stands after it.
     """
     found: set[int] = set()
     held = set(a)
     while True:
-        rest = [k for k in range(len(b)) if k not in found]
-        blocks = patience(a, [b[k] for k in rest])
-        new = {k for _, j, n in blocks if sum(words[x] for x in rest[j : j + n]) >= least for k in rest[j : j + n]}
-        if not new and any(b[k] in held for k in rest):
+        rest: list = [(k,) if k in found else x for k, x in enumerate(b)]
+        blocks = patience(a, rest)
+        new = {k for _, j, n in blocks if sum(words[j : j + n]) >= least for k in range(j, j + n)}
+        if not new and any(x in held for x in rest):
             new = common_runs(a, b, words, least) - found
         if not new:
             return sorted(found)
@@ -162,11 +168,16 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int = MIN_
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Later documents of a partner's part follow the partner's own row: each is aligned with that."""
+    theirs: list[int] = []
     for batch in batches:
         rows = batch.to_pydict()
         ids, gone = [], []
-        for key, ours, words, theirs in zip(rows["later"], rows["lines"], rows["words"], rows["partner_lines"], strict=True):
-            found = common_lines(theirs, ours, words)
+        for key, lines, words in zip(rows["later"], rows["lines"], rows["words"], strict=True):
+            if key is None:
+                theirs = lines
+                continue
+            found = common_lines(theirs, lines, words)
             if found:
                 ids.append(key)
                 gone.append(found)
@@ -175,8 +186,28 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Adds a key that sorts as the documents do and tells equal ids with different texts apart."""
-    order = F.lpad(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("decimal(20,0)").cast("string"), 20, "0")
-    return docs.withColumn("__key", F.concat_ws(":", order, F.hex(F.xxhash64(text))))
+    place = F.coalesce(F.col(doc_id).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(str(2**64)).cast("decimal(20,0)"))
+    return docs.withColumn("__key", F.concat_ws(":", F.lpad(place.cast("decimal(20,0)").cast("string"), 20, "0"), F.hex(F.xxhash64(text))))
+
+
+def _runs(lines: str, words: str) -> Column:
+    """Hashes of the shortest runs of MIN_WORDS words or more that begin or end at each line."""
+
+    def shortest(i: Column, step: int) -> Column:
+        out, total, run = F.lit(None).cast("long"), F.lit(0), []
+        cases = []
+        for k in range(MIN_WORDS):
+            at = i + step * k
+            inside = (at >= 0) & (at < F.size(words))
+            total = total + F.when(inside, F.get(words, at))
+            run = [*run, F.get(lines, at)]
+            cases.append((total >= MIN_WORDS, F.xxhash64(*(run if step > 0 else run[::-1]))))
+        for enough, value in reversed(cases):
+            out = F.when(enough, value).otherwise(out)
+        return out
+
+    both = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array(shortest(i, 1), shortest(i, -1))))
+    return F.array_distinct(F.array_compact(both))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,19 +221,20 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.transform("__lines", lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE)), SPACES))).alias("words"),
     )
     hashed = materialise(rows.dropDuplicates(["__key"]), "lines-hashed")
-    long = hashed.select("__key", F.explode(F.arrays_zip("lines", "words")).alias("v")).where(F.col("v.words") >= MIN_WORDS)
-    # Lines below the bound can only matter inside a block, which needs such a line or several short ones.
-    short = hashed.select("__key", F.explode(F.filter(F.zip_with(F.slice("lines", F.lit(1), F.size("lines") - 1), F.slice("lines", F.lit(2), F.size("lines")), lambda x, y: F.xxhash64(x, y)), lambda x: x.isNotNull())).alias("line"))
-    marks = long.select("__key", F.col("v.lines").alias("line")).unionByName(short)
-    holders = marks.groupBy("line").agg(F.min("__key").alias("partner"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    pairs = marks.join(holders, "line").where("__key > partner").groupBy("__key", "partner").agg(F.min("df").alias("rarest"))
-    pairs = materialise(pairs.select(F.col("__key").alias("later"), "partner", "rarest"), "lines-pairs")
-    ours = hashed.select(F.col("__key").alias("later"), "lines", "words")
-    theirs = hashed.select(F.col("__key").alias("partner"), F.col("lines").alias("partner_lines"))
-    aligned = pairs.join(ours, "later").join(theirs, "partner").select("later", "lines", "words", "partner_lines")
-    found = aligned.mapInArrow(_align, "later string, gone array<long>")
+    marks = hashed.select("__key", F.explode(_runs("lines", "words")).alias("run"))
+    holders = marks.groupBy("run").agg(F.min("__key").alias("partner"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df")
+    pairs = marks.join(holders, "run").where("__key > partner").select("partner", F.col("__key").alias("later")).distinct()
+    # A partner's lines travel once for each of its PARTS of later documents, and a task streams through those.
+    pairs = materialise(pairs.withColumn("part", F.pmod(F.xxhash64("later"), F.lit(PARTS)).cast("int")), "lines-pairs")
+    heads = pairs.select("partner", "part").distinct().join(hashed.withColumnRenamed("__key", "partner"), "partner")
+    heads = heads.select("partner", "part", F.lit(None).cast("string").alias("later"), "lines", "words")
+    rest = pairs.join(hashed.withColumnRenamed("__key", "later"), "later").select("partner", "part", "later", "lines", "words")
+    both = heads.unionByName(rest).repartition("partner", "part").sortWithinPartitions("partner", "part", F.col("later").asc_nulls_first())
+    found = both.select("later", "lines", "words").mapInArrow(_align, "later string, gone array<long>")
     out = found.groupBy("later").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
-    return materialise(out, "lines-removed")
+    out = materialise(out, "lines-removed")
+    discard(hashed, pairs)
+    return out
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

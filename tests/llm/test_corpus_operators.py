@@ -298,22 +298,60 @@ def test_mixing_overlapping_sources(spark):
 
 
 def brute_lines(rows):
-    """Each later document aligned with the earliest holder of each of its shared marks."""
+    """All pairs: a line goes where a run of lines around it, of five words or more, stands in an earlier document."""
     order = sorted(rows, key=lambda r: (math.inf if r[0] is None else r[0]))
-    lines = {k: [x for x in (t or "").split("\n") if WORD.search(x)] for k, (_, t) in enumerate(order)}
-    words = {k: [len(WORD.findall(x)) for x in v] for k, v in lines.items()}
-    holder = {}
+    lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for _, t in order]
+    words = [[len(WORD.findall(x)) for x in v] for v in lines]
     out = {}
-    for k in lines:
-        marks = [x for x, w in zip(lines[k], words[k]) if w >= line_dedup.MIN_WORDS] + [(a, b) for a, b in zip(lines[k], lines[k][1:])]
-        partners = {holder[m] for m in marks if m in holder}
-        code = {x: i for i, x in enumerate(dict.fromkeys(x for v in lines.values() for x in v))}
-        out[order[k][0]] = sorted({j for p in partners for j in line_dedup.common_lines([code[x] for x in lines[p]], [code[x] for x in lines[k]], words[k])})
-        for m in marks:
-            holder.setdefault(m, k)
+    for k, (i, _) in enumerate(order):
+        gone = set()
+        for p in range(k):
+            at = defaultdict(list)
+            for x, line in enumerate(lines[p]):
+                at[line].append(x)
+            for j, line in enumerate(lines[k]):
+                for x in at[line]:
+                    n = 0
+                    while j + n < len(lines[k]) and x + n < len(lines[p]) and lines[k][j + n] == lines[p][x + n]:
+                        n += 1
+                    if sum(words[k][j : j + n]) >= 5:
+                        gone |= set(range(j, j + n))
+        out[i] = sorted(gone)
     return out
 
 
+def test_line_dedup_partners(spark):
+    """Blocks of short lines, of which each part has an earlier holder of its own; and ids below nought."""
+    rows = [(1, "aa bb\ncc dd"), (2, "cc dd\nee ff"), (3, "aa bb\ncc dd\nee ff"), (4, "aa bb\ncc dd\nee ff"), (-12, "one two three four five six"), (-10, "x\none two three four five six\ny")]
+    rows += [(20, "long line of five words\nz"), (21, "long line of five words\nw"), (22, "long line of five words\nw")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert got[4] == [0, 1, 2] and got[-12] == [] and got[-10] == [1] and got[22] == [0, 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b c", "d e f", "g h i j k", "l m n o p q", ""]), max_size=9), min_size=2, max_size=2))
+def test_alignment_finds_every_common_run(pair):
+    rows = [(k, "\n".join(v)) for k, v in enumerate(pair)]
+    code = {x: i for i, x in enumerate(["a", "b c", "d e f", "g h i j k", "l m n o p q"])}
+    a, b = ([code[x] for x in v if x] for v in pair)
+    assert line_dedup.common_lines(a, b, [len(x.split()) for x in pair[1] if x]) == brute_lines(rows)[1]
+
+
+def test_line_dedup_on_the_corpus(spark, sf):
+    """Whole documents, all pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.clean(docs).collect()}
+    assert got == brute_lines([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_line_dedup_very_long_texts(spark):
+    long = data.prose(810, 60_000)
+    rows = [(1, long), (2, data.prose(811, 40) + "\n" + long)]
+    got = {r["doc_id"]: r for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == data.prose(811, 40)
+
+
 def test_line_dedup(spark):
     shared = data.prose(50, 72)
     rows = [(1, data.prose(51, 60) + "\n" + shared + "\n" + data.prose(52, 24)), (2, data.prose(53, 30) + "\n" + shared), (3, shared + "\n\n" + data.prose(54, 12)), (4, data.prose(55, 60)), (5, None), (6, ""), (7, "short\nlines\nonly"), (8, "short\nlines\nonly"), (9, "one two three four five\n" * 4), (None, shared)]
