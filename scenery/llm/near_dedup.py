@@ -19,9 +19,12 @@ pivot, its most central member: the one whose buckets hold most nodes. So a buck
 any size gives a linear number of candidate links, and in a group of variants the
 pivot is the variant nearest to all. Links are verified on the shingles themselves;
 classes are connected components. Nodes that share a bucket and still lie in two
-classes are then compared register by register, block against block, and every pair
-that agrees in enough registers is verified too: a pair of similarity 0.8 fails that
-comparison with probability 4e-6.
+classes are then settled. Shingles that no other such node holds bound what a node can
+share with any: a node with too many of its own is alone, for certain. The others meet
+block against block; every pair that the bounds allow and that agrees in enough
+registers is verified on the spot, unless the block's links already join its classes,
+so a task gives fewer links than it has rows. A pair of similarity 0.8 fails the
+comparison of registers with probability 4e-6.
 
 Defined results: words are runs of non-space characters; a text of one to four words
 is a single shingle; null and wordless texts are classes of their own; a text of any
@@ -52,8 +55,9 @@ M = BANDS * ROWS
 HORIZON = M * (np.log(M) + 3.0)
 #: Registers, of M, that two nodes must share to be verified when pairs are settled.
 LEAST_SHARED = 57
-#: Members of a bucket in one block when pairs are settled; a task holds two blocks.
+#: Members of a bucket, and shingles they hold, in one block when pairs are settled; a task holds two blocks.
 BLOCK = 2048
+BLOCK_SHINGLES = 2_000_000
 #: Parts into which the links of one pivot are dealt for verification.
 PARTS = 64
 ROUNDS = 200
@@ -182,7 +186,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kept = [], []
         for i, (a, _) in enumerate(sets):
             k = second.get(i)
-            keys.append(None if not len(a) else bands[i].view(np.int64) if k is None else np.unique(np.r_[bands[i], more[k]]).view(np.int64))
+            keys.append(None if not len(a) else (bands[i] if k is None else np.r_[bands[i], more[k]]).view(np.int64))
             kept.append(registers[i].astype("<u2").tobytes() + (b"" if k is None else plain[k].astype("<u2").tobytes()))
         nodes = [xxhash.xxh3_128_hexdigest(a.tobytes() + b.tobytes()) if len(a) else None for a, b in sets]
         columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
@@ -225,7 +229,7 @@ def similar(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> flo
     if not len(i):
         return 0.0
     plain = len(i) / (len(a) + len(b) - len(i))
-    if ca.max() == 1 and cb.max() == 1 and len(a) == len(b):
+    if ca.max() == 1 and cb.max() == 1:
         return plain  # the two are the same
     x, y = ca / ca.sum(), cb / cb.sum()
     only_a, only_b = x.sum() - x[i].sum(), y.sum() - y[j].sum()
@@ -317,57 +321,107 @@ def _pivots(buckets: DataFrame) -> DataFrame:
     return buckets.join(ends, "key").select(F.col("node").alias("a"), "b").where("a <> b")
 
 
+CELL = ["key", "i", "j", "side", "node", "label", "is_major", "n", "u", "w", "uw", "registers", "keys", "hashes", "counts"]
+
+
+def _cell(one: list[tuple], two: list[tuple], key: int) -> Iterator[tuple[str, str]]:
+    """Links between different classes in two blocks of a bucket, of which no one follows from the others."""
+
+    def side(rows: list[tuple]) -> tuple:
+        node, label, major, n, u, w, uw, registers, keys, _, _ = zip(*rows, strict=True)
+        r = [np.stack([np.frombuffer(x[: 2 * M] if k else x[-2 * M :], "<u2") for x in registers]) for k in (1, 0)]
+        b = [np.stack([x[:BANDS] if k else x[-BANDS:] for x in keys]) for k in (1, 0)]
+        return np.array(node, object), np.array(label, object), np.array(major), b, r, *[np.array(x, float) for x in (n, u, w, uw)]
+
+    nodes, labels, _, bands, registers, n, u, w, uw = side(one)
+    nodes2, labels2, major2, bands2, registers2, n2, u2, w2, uw2 = side(two)
+    joined: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for k in range(len(one)):
+        # Of two members outside the largest class, each is in a first block: take the pair once.
+        at = np.flatnonzero((labels2 != labels[k]) & (major2 | (nodes2 > nodes[k])))
+        common = np.minimum(n[k] - u[k], n2[at] - u2[at])
+        plain = common >= THRESHOLD * (n[k] + n2[at] - common) - 1e-6
+        weighted = np.maximum(uw[k] / w[k], uw2[at] / w2[at]) <= 1 - THRESHOLD + 1e-6
+        at = at[plain | (weighted & ((w[k] > n[k]) | (w2[at] > n2[at])))]
+        at = at[np.maximum(*[(registers2[x][at] == registers[x][k]).sum(axis=1) for x in (0, 1)]) >= LEAST_SHARED]
+        if not len(at):
+            continue
+        # A pair that shares several buckets is checked in the one of its first band.
+        here = np.flatnonzero((bands[0][k] == key) | (bands[1][k] == key))[0]
+        shared = np.logical_or.reduce([bands[x][k] == bands2[y][at] for x in (0, 1) for y in (0, 1)])
+        for j in at[shared.argmax(axis=1) == here].tolist():
+            a, b = root(labels[k]), root(labels2[j])
+            if a != b and similar(*one[k][-2:], *two[j][-2:]) >= THRESHOLD:
+                joined[a] = b
+                yield nodes[k], nodes2[j]
+
+
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a bucket, of different classes, that agree in LEAST_SHARED registers.
+    """Goes through the cells of the blocks' grid; the rows of a cell lie together."""
+    cell, sides, found = None, ([], []), []
 
-    The rows of a cell of the blocks' grid lie together, those of the first block before the second's.
-    """
-    cell, sides = None, ([], [])
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        one, two = sides
-        if not one or not two:
-            return
-        regs = [[np.stack([np.frombuffer(r[3][:cut] if cut else r[3][-2 * M :], "<u2") for r in side]) for cut in (2 * M, 0)] for side in sides]
-        labels = np.array([r[1] for r in two], object)
-        nodes = np.array([r[0] for r in two], object)
-        major = np.array([r[2] for r in two])
-        for k, (node, label, _, _) in enumerate(one):
-            same = np.maximum(*[(regs[1][w] == regs[0][w][k]).sum(axis=1) for w in (0, 1)])
-            # Of two members outside the largest class, each is in a first block: take the pair once.
-            near = (same >= LEAST_SHARED) & (labels != label) & (major | (nodes > node))
-            if near.any():
-                b = nodes[near].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(b)), pa.array(b)], names=["a", "b"])
+    def out() -> pa.RecordBatch:
+        links = list(_cell(*sides, cell[0])) if sides[0] and sides[1] else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for key, i, j, second, node, label, is_major, registers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        flat = _arrays(batch, *range(len(CELL) - 3, len(CELL)))
+        for r, (key, i, j, second, *row) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:-3]], strict=True)):
             if (key, i, j) != cell:
-                yield from pairs()
+                found = out()
+                if found.num_rows:
+                    yield found
                 cell, sides = (key, i, j), ([], [])
-            sides[second].append((node, label, is_major, registers))
-    yield from pairs()
+            sides[second].append((*row, *[v[c[r] : c[r + 1]].copy() for v, c in flat]))
+    yield out()
+
+
+def _bounds(nodes: DataFrame) -> DataFrame:
+    """node, its numbers of shingles n and of occurrences w, and how many of each (u, uw) no other node holds."""
+    sized = nodes.select("node", F.xxhash64("node").alias("nid"), F.size("hashes").cast("long").alias("n"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("w"))
+    flat = nodes.select(F.xxhash64("node").alias("nid"), F.explode(F.arrays_zip("hashes", "counts")).alias("v")).select("nid", "v.hashes", F.col("v.counts").alias("c"))
+    alone = flat.groupBy("hashes").agg(F.count(F.lit(1)).alias("df"), F.max("nid").alias("nid"), F.max("c").alias("c")).where("df = 1")
+    alone = alone.groupBy("nid").agg(F.count(F.lit(1)).alias("u"), F.sum("c").alias("uw"))
+    return sized.join(alone, "nid", "left").drop("nid").fillna(0, ["u", "uw"])
 
 
-def _unsettled(buckets: DataFrame, uniq: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pair of nodes of different classes that share a bucket and agree in enough registers.
+def _unsettled(buckets: DataFrame, uniq: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between nodes of different classes that share a bucket.
 
     A bucket's largest class needs no pairs within it; its other members meet the whole
-    bucket, block against block, so that no task holds more than two blocks.
+    bucket, block against block, so that no task holds more than two blocks. Of a pair's
+    n and m shingles at most min(n - u, m - v) are common, where u and v are those that
+    no other node holds; the probability Jaccard is at most 1 less what either has alone.
     """
-    flat = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    per = flat.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n_label"))
-    per = per.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    flat = materialise(flat.join(per, "key").withColumn("is_major", F.col("label") == F.col("major")).drop("major"), "dedup-unsettled")
-    full = flat.join(uniq.select("node", "registers"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rest = ["node", "label", "is_major", "registers"]
-    one = full.where("NOT is_major").select("key", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), *rest)
-    two = full.select("key", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), *rest)
+    flat = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The members of buckets of several classes, with their number and whether they are of the largest class."""
+        per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n_label"))
+        per = per.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        return rows.join(per, "key").withColumn("is_major", F.col("label") == F.col("major")).drop("major")
+
+    open_ = materialise(mixed(flat).select("key", "node", "label"), "dedup-open")
+    facts = _bounds(nodes.join(open_.select("node").distinct(), "node", "left_semi"))
+    near = 1 - THRESHOLD + 1e-6
+    facts = materialise(facts.where((F.col("u") <= near * F.col("n")) | (F.col("uw") <= near * F.col("w"))), "dedup-bounds")
+    left = materialise(mixed(open_.join(facts.select("node"), "node", "left_semi")), "dedup-unsettled")
+    discard(open_)
+    full = left.join(facts, "node")
+    size = full.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    full = full.join(size, "key").join(uniq.select("node", "keys", "registers"), "node").join(nodes, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = full.where("NOT is_major").select("key", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), *CELL[4:])
+    two = full.select("key", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), *CELL[4:])
     cells = one.unionByName(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_compare, "a string, b string")
+    return materialise(cells.mapInArrow(_compare, "a string, b string"), "dedup-links")
 
 
 NO_ID = 2**63 - 1
@@ -380,7 +434,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("t"))
     uniq = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"), F.first("keys").alias("keys"), F.first("registers").alias("registers"))
     uniq = materialise(uniq.select("node", "row.*", "keys", "registers"), "dedup-nodes")
-    flat = uniq.select("node", F.explode("keys").alias("key"))
+    flat = uniq.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialise(flat.join(shared, "key"), "dedup-buckets")
     # Only nodes that share a bucket need their shingles: they are taken from one text of each.
@@ -389,7 +443,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     nodes = materialise(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_shingled, SHINGLES), "dedup-shingles")
     links = _checked(_pivots(buckets), nodes)
     labels = components(links)
-    more = _checked(_unsettled(buckets, uniq, labels), nodes)
+    more = _unsettled(buckets, uniq, nodes, labels)
     if not more.isEmpty():
         discard(labels)
         labels = components(links.unionByName(more))
