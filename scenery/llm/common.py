@@ -83,18 +83,21 @@ def running(
     n_rows: int,
     sums: dict[str, Column] | None = None,
     rows_per_bucket: int = 4_000,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Adds `__rank` (from 1) and running sums within a group, without one task per group.
 
     `position` must lie in [0, 1] and rise with `order`. Rows are dealt into as many
     buckets of positions as their number asks for, so a group that holds a third of
     all rows still spreads over many tasks; only the buckets' totals, one row per
-    group and bucket, are summed in order.
+    group and bucket, are summed in order. Where positions are uneven, `bucket` gives
+    the bucket itself; it too must rise with `order`.
     """
     sums = sums or {}
     buckets = max(1, math.ceil(n_rows / rows_per_bucket))
     keys = ([group] if group else []) + ["__bucket"]
-    dealt = df.withColumn("__bucket", F.least(F.floor(position * buckets), F.lit(buckets - 1)).cast("long"))
+    even = F.least(F.floor(position * buckets), F.lit(buckets - 1))
+    dealt = df.withColumn("__bucket", (even if bucket is None else bucket).cast("long"))
     totals = dealt.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()]
     )
