@@ -3,25 +3,36 @@
 Counting, training and scoring each read every text once, in numpy over Arrow batches:
 
 1. Token counts of all training texts, pre-summed in each batch, then by token.
-2. Every task trains its own copy of the model on all the training texts it reads, by
-   noise-contrastive estimation with noise words shared in a minibatch; the copies are
-   averaged, weighted by their tokens, as ordinary sums over parameter rows.
-3. Scoring: a context of two words predicts a vector; its products with all target
-   vectors, in batches, give the normaliser, which each worker keeps per context.
-
-The model's vocabulary is the MODEL_WORDS most frequent words, the end token and one
-class for all other words; a word of that class gets the class's probability times its
-smoothed share of it, so the probabilities of all words add up to one. Counts of the
-KNOWN_WORDS most frequent words go to the workers, which is a table of bounded size;
-other words, each of them rare, are looked up by a join.
-
-Defined results: a null or empty text is the end token alone; a null doc_id counts as
-the empty text when it is drawn; repeated rows are scored alike and each counts in
-training; without training texts every word is unknown and the model is uniform.
+2. ROUNDS rounds of training. A training text belongs to one round and one shard, by its
+   hash; a shard's share of a round is one run of noise-contrastive estimation that
+   starts from the average of the round before. So every text is learned from once, the
+   rounds build on each other, and the result does not depend on how rows are dealt to
+   tasks. The number of shards grows with the corpus, the tokens of each do not shrink.
+3. Scoring: a context of two words predicts a vector; its products with the target
+   vectors, in batches, give normalised probabilities.
+
+The model's vocabulary grows with the corpus: about V^(2/3) units for V distinct words,
+the most frequent words, the end token, and hash buckets for all other words. A word of
+a bucket gets the bucket's probability times its smoothed share of the bucket, one share
+being left for unseen words, so the probabilities of all words add up to one. Units fall
+into about the root of their number of groups; a probability is that of the group times
+that of the unit within its group, both normalised exactly, both trained by
+noise-contrastive estimation. Counts of the KNOWN_WORDS most frequent words go to the
+workers, which is a table of bounded size; other words are looked up by a join, with
+the same result.
+
+Defined results: a null or empty text is the end token alone; a text of any length is
+read whole, a few megabytes at a time; a null doc_id counts as the empty text when it is
+drawn; repeated rows are scored alike and each counts in training; words of equal counts
+are taken by their hash; other columns, whatever their names, are not read; without
+training texts every word is unknown and the model is uniform; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -32,16 +43,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenery.llm.common import materialise
+from scenery.llm.common import discard, materialise
 
 END = "\n"  # no word holds white space
-MODEL_WORDS = 1022
-V = MODEL_WORDS + 2
-END_ID, OTHER_ID = 0, 1
+END_ID = 0
 DIM = 16
+#: Words that are units of their own, at least, where there are so many.
+LEAST_WORDS = 1024
+#: Words whose counts the workers hold, unless the model's own words are more.
 KNOWN_WORDS = 1 << 17
-NOISE = 32
-BATCH = 8192
+ROUNDS = 4
+#: Tokens of a shard in a round, at least, and for each parameter of the model.
+SHARD_TOKENS = 1_000_000
+TOKENS_PER_PARAMETER = 8
+GROUP_NOISE, UNIT_NOISE = 16, 4
+BATCH = 4096
 RATE = 0.1
 SEED = 7
 PIECE = 4 << 20  # bytes of a text that are split into words at once
@@ -88,96 +104,196 @@ def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
-    """At most so many of the most frequent words, in order, without the end token.
+    """About so many of the most frequent words, never more, in order, without the end token.
 
     Counts are binned first, so that the driver gets the words above a bin and nothing
-    else: a sorted limit would send it that many words from every task.
+    else: a sorted limit would send it that many words from every task. Of the bin that
+    does not fit whole, words come in order of their hash.
     """
     words = counts.where(F.col("token") != END).withColumn("bin", F.floor(F.log2("c") * 16))
-    held, least = 0, None
+    words = words.withColumn("part", F.crc32(F.col("token").cast("binary")) % 4096)
+    held, least, edge = 0, None, None
     for r in sorted(words.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["bin"]):
-        held += r["n"]
-        if held > most:
+        if held + r["n"] > most:
+            edge = r["bin"]
             break
-        least = r["bin"]
-    rows = [] if least is None else words.where(F.col("bin") >= least).select("token", "c").collect()
-    return sorted(((r["token"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+        held, least = held + r["n"], r["bin"]
+    chosen = F.col("bin") >= least if least is not None else F.lit(False)
+    if edge is not None:
+        up_to = -1
+        for r in sorted(words.where(F.col("bin") == edge).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["part"]):
+            if held + r["n"] > most:
+                break
+            held, up_to = held + r["n"], r["part"]
+        chosen = chosen | ((F.col("bin") == edge) & (F.col("part") <= up_to))
+    return sorted(((r["token"], r["c"]) for r in words.where(chosen).select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
 
 
 class Vocabulary:
-    """What every worker needs of the counts: bounded, whatever the corpus."""
+    """What every worker needs of the counts. Units: the end token, the most frequent words, buckets of the others."""
 
-    def __init__(self, top: list[tuple[str, int]], n: int, v: int, n_end: int):
+    def __init__(self, top: list[tuple[str, int]], n_words: int, buckets: list[tuple[int, int]], n: int, v: int, n_end: int):
+        """buckets: for each, how many words it holds that are no units, and how often those occur."""
         self.index = {END.encode(): 0} | {t.encode(): i + 1 for i, (t, _) in enumerate(top)}
         self.c = np.array([n_end, *[c for _, c in top]], np.float64)
-        self.model = np.full(len(self.c) + 1, OTHER_ID, np.int32)  # the last: words that aren't in it
-        self.model[0] = END_ID
-        m = min(MODEL_WORDS, len(top))
-        self.model[1 : m + 1] = np.arange(2, m + 2)
-        self.n, self.v, self.n_model = n, v, m
-        inside = self.c[1 : m + 1].sum() + n_end
-        #: Smoothed size of the class of other words, an unseen one included.
-        self.other = (n - inside) + (v - m - (n_end > 0)) + 1
-        noise = np.zeros(V)
-        noise[END_ID], noise[OTHER_ID], noise[2 : m + 2] = n_end + 1, n - inside + 1, self.c[1 : m + 1] + 1
-        self.noise = noise / noise.sum()
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, repeat(len(self.c))), np.int32, len(words))
+        self.n, self.v, self.n_words, self.n_buckets = n, v, n_words, len(buckets)
+        self.unit = np.arange(len(self.c), dtype=np.int32)
+        for i, (t, _) in enumerate(top[n_words:], n_words + 1):
+            self.unit[i] = self.bucket(t.encode())
+        self.n_units = 1 + n_words + len(buckets)
+        #: Smoothed size of each bucket, an unseen word included.
+        self.other = np.array([c + k + 1 for k, c in buckets], np.float64)
+        self.noise = np.r_[n_end + 1, self.c[1 : n_words + 1] + 1, self.other]
+
+    def bucket(self, word: bytes) -> int:
+        return 1 + self.n_words + zlib.crc32(word) % self.n_buckets
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the counts, one past the end for words that aren't there, and units."""
+        at = np.fromiter(map(self.index.get, words, repeat(len(self.c))), np.int32, len(words))
+        units = self.unit[np.minimum(at, len(self.c) - 1)]
+        for i in np.flatnonzero(at == len(self.c)).tolist():
+            units[i] = self.bucket(words[i])
+        return at, units
+
+
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("n_end")).first()
+    n_words = max(LEAST_WORDS, math.ceil(total["v"] ** (2 / 3)))
+    top = most_frequent(counts, max(KNOWN_WORDS, n_words))
+    n_words = min(n_words, len(top))
+    n_buckets = max(1, min(n_words, (total["v"] - n_words) // 8))
+    words, times = [0] * n_buckets, [0] * n_buckets
+    place = (F.crc32(F.col("token").cast("binary")) % n_buckets).alias("k")
+    for r in counts.where(F.col("token") != END).groupBy(place).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect():
+        words[r["k"]], times[r["k"]] = r["n"], r["c"]
+    for t, c in top[:n_words]:
+        k = zlib.crc32(t.encode()) % n_buckets
+        words[k] -= 1
+        times[k] -= c
+    return Vocabulary(top, n_words, list(zip(words, times, strict=True)), total["n"], total["v"], total["n_end"])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Model:
-    """Context vectors R, a matrix for each of two context places, target vectors Q and biases b."""
+    """Context vectors R, a matrix for each of two context places, target vectors and biases of groups (G, a) and units (Q, b).
+
+    Unit u is in group u modulo the number of groups.
+    """
+
+    NAMES = ("R", "Q", "G", "C", "b", "a")
 
     def __init__(self, noise: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.R = rng.normal(0, 0.05, (V, DIM)).astype(np.float32)
-        self.Q = rng.normal(0, 0.05, (V, DIM)).astype(np.float32)
+        self.groups = max(1, math.isqrt(len(noise) - 1) + 1)
+        self.width = -(-len(noise) // self.groups)
+        n = self.groups * self.width
+        self.noise = np.r_[noise, np.zeros(n - len(noise))] / noise.sum()
+        self.mass = self.noise.reshape(self.width, self.groups).sum(axis=0)
+        own = self.noise / self.mass[np.arange(n) % self.groups]
+        self.own = np.maximum(own, 1e-12)
+        self.R = rng.normal(0, 0.05, (n, DIM)).astype(np.float32)
+        self.Q = rng.normal(0, 0.05, (n, DIM)).astype(np.float32)
+        self.G = rng.normal(0, 0.05, (self.groups, DIM)).astype(np.float32)
         self.C = np.stack([np.eye(DIM), 0.5 * np.eye(DIM)]).astype(np.float32)
-        self.b = np.log(np.maximum(noise, 1e-12)).astype(np.float32)
-        self.used = noise > 0
-
-    def rows(self) -> np.ndarray:
-        return np.concatenate([self.R, self.Q, self.C.reshape(-1, DIM), self.b.reshape(-1, DIM)]).astype(np.float64)
-
-    def load(self, rows: np.ndarray) -> Model:
-        rows = rows.astype(np.float32)
-        self.R, self.Q, rest = rows[:V], rows[V : 2 * V], rows[2 * V :]
-        self.C, self.b = rest[: 2 * DIM].reshape(2, DIM, DIM), rest[2 * DIM :].reshape(V)
+        self.b = np.where(self.noise > 0, np.log(self.own), -np.inf).astype(np.float32)
+        self.a = np.log(self.mass).astype(np.float32)
+
+    def size(self) -> int:
+        return sum(getattr(self, k).size for k in self.NAMES)
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES]).astype(np.float64)
+
+    def load(self, values: np.ndarray) -> Model:
+        at = 0
+        for k in self.NAMES:
+            old = getattr(self, k)
+            new = values[at : at + old.size].astype(np.float32).reshape(old.shape)
+            setattr(self, k, np.where(np.isfinite(old), new, old))
+            at += old.size
         return self
 
-    def train(self, batches: Iterator[np.ndarray], noise: np.ndarray, seed: int) -> int:
-        """Adagrad over minibatches of (second to last, last, next) ids; returns the tokens seen."""
-        rng = np.random.default_rng([SEED, seed])
-        names = ["R", "Q", "C", "b"]
-        seen = {n: np.full_like(getattr(self, n), 1e-3) for n in names}
-        offset = np.log(NOISE * np.maximum(noise, 1e-12)).astype(np.float32)
-        cum, total = np.cumsum(noise), 0
-        spread = np.arange(DIM)
+    def train(self, batches: Iterator[np.ndarray], seed: int, rate: float = RATE) -> int:
+        """Adagrad over minibatches of (second to last, last, next) units; returns the tokens seen.
 
-        def scatter(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-            return np.bincount((at[:, None] * DIM + spread).ravel(), values.ravel(), V * DIM).reshape(V, DIM)
+        A row's gradient is the mean over its uses in the minibatch, so rare words move as far as frequent ones.
+        """
+        rng = np.random.default_rng([SEED, seed])
+        seen = {k: np.full(getattr(self, k).shape, 1e-3 if k == "C" else 1e-2, np.float32) for k in self.NAMES}
+        groups, total, spread = self.groups, 0, np.arange(DIM)
+        by_group = np.arange(len(self.noise)).reshape(self.width, groups).T.ravel()
+        cum = np.cumsum(self.noise[by_group])
+        start = np.r_[0, cum[self.width - 1 :: self.width][:-1]]
+        off_group = np.log(GROUP_NOISE * self.mass).astype(np.float32)
+        off_unit = np.log(UNIT_NOISE * self.own).astype(np.float32)
+        bias = np.where(np.isfinite(self.b), self.b, 0).astype(np.float32)
+
+        def scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+            sums = np.bincount((at[:, None] * DIM + spread).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
+            return sums / np.maximum(np.bincount(at, minlength=n), 1)[:, None]
+
+        def step(k: str, g: np.ndarray, to: np.ndarray) -> None:
+            g = g.astype(np.float32)
+            seen[k] += g * g
+            to += rate * g / np.sqrt(seen[k])
 
         for x in batches:
             w2, w1, t = x[:, 0], x[:, 1], x[:, 2]
             total += len(x)
-            k = np.minimum(np.searchsorted(cum, rng.random(NOISE)), V - 1)
+            g = t % groups
             r1, r2 = self.R[w1], self.R[w2]
             h = r1 @ self.C[0] + r2 @ self.C[1]
-            up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, self.Q[t]) + self.b[t] - offset[t], -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(h @ self.Q[k].T + self.b[k] - offset[k], -30, 30)))
-            dh = up[:, None] * self.Q[t] + down @ self.Q[k]
-            dq = scatter(t, up[:, None] * h)
-            np.add.at(dq, k, down.T @ h)
-            db = np.bincount(t, up, V)
-            np.add.at(db, k, down.sum(axis=0))
-            dr = scatter(w1, dh @ self.C[0].T) + scatter(w2, dh @ self.C[1].T)
-            for n, g in zip(names, (dr, dq, np.stack([r1.T @ dh, r2.T @ dh]), db), strict=True):
-                g = g / len(x)
-                seen[n] += g * g
-                getattr(self, n)[...] += (RATE * g / np.sqrt(seen[n])).astype(np.float32)
+            k = np.minimum(np.searchsorted(np.cumsum(self.mass), rng.random(GROUP_NOISE)), groups - 1)
+            up = _sigmoid(off_group[g] - np.einsum("ij,ij->i", h, self.G[g]) - self.a[g])
+            down = -_sigmoid(h @ self.G[k].T + self.a[k] - off_group[k])
+            dh = up[:, None] * self.G[g] + down @ self.G[k]
+            at = np.r_[g, np.repeat(k, len(x))]
+            dg = scatter(at, np.concatenate([up[:, None] * h, (down.T[:, :, None] * h).reshape(-1, DIM)]), groups)
+            da = np.bincount(at, np.r_[up, down.T.ravel()], groups) / np.maximum(np.bincount(at, minlength=groups), 1)
+            drawn = start[g][:, None] + rng.random((len(x), UNIT_NOISE)) * self.mass[g][:, None]
+            last = (g[:, None] + 1) * self.width - 1
+            u = np.concatenate([t[:, None], by_group[np.clip(np.searchsorted(cum, drawn), last - self.width + 1, last)]], axis=1)
+            q = self.Q[u]
+            s = np.einsum("ij,ikj->ik", h, q) + bias[u] - off_unit[u]
+            pull = -_sigmoid(s)
+            pull[:, 0] += 1
+            # A padding unit that rounding drew has no probability and learns nothing.
+            pull *= self.noise[u] > 0
+            dh += np.einsum("ik,ikj->ij", pull, q)
+            flat = u.ravel()
+            dq = scatter(flat, (pull[:, :, None] * h[:, None, :]).reshape(-1, DIM), len(self.noise))
+            db = np.bincount(flat, pull.ravel(), len(self.noise)) / np.maximum(np.bincount(flat, minlength=len(self.noise)), 1)
+            dr = scatter(np.r_[w1, w2], np.concatenate([dh @ self.C[0].T, dh @ self.C[1].T]), len(self.noise))
+            dc = np.stack([r1.T @ dh, r2.T @ dh]) / len(x)
+            for name, grad, to in (("R", dr, self.R), ("Q", dq, self.Q), ("G", dg, self.G), ("C", dc, self.C), ("b", db, bias), ("a", da, self.a)):
+                step(name, grad, to)
+        self.b = np.where(np.isfinite(self.b), bias, self.b)
         return total
 
+    def log10(self, rows: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of units after two others."""
+        w2, w1, t = rows[:, 0], rows[:, 1], rows[:, 2]
+        h = self.R[w1] @ self.C[0] + self.R[w2] @ self.C[1]
+        g, out = t % self.groups, np.empty(len(t), np.float64)
+
+        def share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            top = logits.max(axis=1)
+            return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+
+        for i in range(0, len(t), 8192):
+            out[i : i + 8192] = share(h[i : i + 8192] @ self.G.T + self.a, g[i : i + 8192])
+        order = np.argsort(g, kind="stable")
+        cut = np.searchsorted(g[order], np.arange(self.groups + 1))
+        for k in range(self.groups):
+            at = order[cut[k] : cut[k + 1]]
+            if len(at):
+                out[at] += share(h[at] @ self.Q[k :: self.groups].T + self.b[k :: self.groups], t[at] // self.groups)
+        return out / LN10
+
 
 def _contexts(ids: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Rows of (second to last, last, next); starts and before: where a piece begins, and the two ids before it."""
@@ -213,7 +329,7 @@ def _pieces_of(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, at_onc
                     last.append(coming is None)
                     words += now
                     if coming is not None:
-                        ids = vocabulary.model[vocabulary.ids(now[-2:])]
+                        ids = vocabulary.ids(now[-2:])[1]
                         tail = (tail[1], ids[0]) if len(ids) == 1 else (ids[0], ids[1])
                 now = coming
                 if len(words) >= at_once:
@@ -223,80 +339,97 @@ def _pieces_of(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, at_onc
         yield words, np.array(starts), np.array(before, np.int32).reshape(-1, 2), np.array(owner), np.array(last)
 
 
-PARAMETERS = "row int, n double, " + ", ".join(f"v{i} double" for i in range(DIM))
+PARAMETERS = "part int, n double, v array<double>"
+#: Parameters that are averaged together, as one row.
+PART = 4096
+
 
+def _trainer(vocabulary, model, turn: int, batch_size: int):
+    """Trains a copy of the model on each shard; the rows of a shard lie together and in order."""
 
-def _trainer(vocabulary):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        model = Model(v.noise)
-
-        def minibatches() -> Iterator[np.ndarray]:
-            for words, starts, before, _, _ in _pieces_of(batches, v, 16 * BATCH):
-                rows = _contexts(v.model[v.ids(words)], starts, before)
-                for i in range(0, len(rows), BATCH):
-                    yield rows[i : i + BATCH]
-
-        n = model.train(minibatches(), v.noise, TaskContext.get().partitionId())
-        if n:
-            rows = model.rows()
-            columns = [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(n)))]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(rows[:, i] * n) for i in range(DIM)]], names=[x.split()[0] for x in PARAMETERS.split(", ")])
+        ahead = (r for batch in batches for r in (batch.slice(i, 1) for i in range(batch.num_rows)))
+        now = next(ahead, None)
+        while now is not None:
+            shard = now.column(0)[0].as_py()
+
+            def texts() -> Iterator[pa.RecordBatch]:
+                nonlocal now
+                while now is not None and now.column(0)[0].as_py() == shard:  # noqa: B023
+                    yield now
+                    now = next(ahead, None)
+
+            def minibatches() -> Iterator[np.ndarray]:
+                for words, starts, before, _, _ in _pieces_of(texts(), v, 16 * batch_size):  # noqa: B023
+                    rows = _contexts(v.ids(words)[1], starts, before)
+                    for i in range(0, len(rows), batch_size):
+                        yield rows[i : i + batch_size]
+
+            own = Model(v.noise)
+            if model is not None:
+                own.load(model.value)
+            n = own.train(minibatches(), shard * ROUNDS + turn, RATE / (1 + turn))
+            values = np.where(np.isfinite(values := own.values()), values, 0.0) * n
+            parts = [values[i : i + PART] for i in range(0, len(values), PART)]
+            cut = pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32())
+            columns = [pa.array(range(len(parts)), pa.int32()), pa.array([float(n)] * len(parts)), pa.ListArray.from_arrays(cut, pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "v"])
 
     return run
 
 
-def fit(train: DataFrame, vocabulary, text: str = "text") -> Model:
-    """The average of the tasks' models; only its parameters reach the driver."""
-    parts = train.select(F.col(text).alias("text")).mapInArrow(_trainer(vocabulary), PARAMETERS)
-    rows = parts.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)]).collect()
-    model = Model(vocabulary.value.noise)
-    if not rows:
-        return model
-    found = np.array([[r[f"v{i}"] / r["n"] for i in range(DIM)] for r in sorted(rows, key=lambda r: r["row"])])
-    return model.load(found)
+def _sum_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up what a task has of each part, so that little is left to shuffle."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for part, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = v.values.to_numpy(zero_copy_only=False)
+            if part in sums:
+                sums[part][0] += n
+                sums[part][1] = sums[part][1] + own
+            else:
+                sums[part] = [n, own]
+    for part, (n, v) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([v], pa.list_(pa.float64()))], names=["part", "n", "v"])
+
+
+def fit(train: DataFrame, vocabulary, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """ROUNDS rounds, each the average of its shards' models; only averages reach the driver, part by part."""
+    spark, words = train.sparkSession, vocabulary.value
+    model = Model(words.noise)
+    a_round = words.n / ROUNDS
+    shards = max(1, math.ceil(a_round / max(SHARD_TOKENS, TOKENS_PER_PARAMETER * model.size())))
+    batch_size = int(min(BATCH, max(128, a_round / shards // 500)))
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    rows = train.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(key), F.lit(ROUNDS)).alias("turn"), key.alias("key"), F.col(text).alias("text"))
+    now = None
+    for turn in range(ROUNDS):
+        # One row at a time is taken from a batch, so that the next shard's rows stay for its own run.
+        own = rows.where(F.col("turn") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "text")
+        parts = materialise(own.mapInArrow(_trainer(vocabulary, now, turn, batch_size), PARAMETERS), "lm-shards")
+        done = parts.repartition(F.col("part")).mapInArrow(_sum_parts, PARAMETERS)
+        found = sorted(done.collect(), key=lambda r: r["part"])
+        discard(parts)
+        if found:
+            model.load(np.concatenate([np.array(r["v"]) / r["n"] for r in found]))
+            now = spark.sparkContext.broadcast(model.values())
+    return model
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>"
 
 
-class Scorer:
-    """Normalised log10 probabilities of ids after two others; keeps each context's normaliser."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.after = [model.R @ model.C[0], model.R @ model.C[1]]
-        self.norm = np.full(V * V, np.nan, np.float32)
-
-    def __call__(self, rows: np.ndarray) -> np.ndarray:
-        w2, w1, t = rows[:, 0], rows[:, 1], rows[:, 2]
-        context = w2.astype(np.int64) * V + w1
-        unknown = np.unique(context[np.isnan(self.norm[context])])
-        for i in range(0, len(unknown), 2048):
-            c = unknown[i : i + 2048]
-            logits = (self.after[0][c % V] + self.after[1][c // V]) @ self.model.Q.T + self.model.b
-            logits[:, ~self.model.used] = -np.inf
-            top = logits.max(axis=1)
-            self.norm[c] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        h = self.after[0][w1] + self.after[1][w2]
-        return (np.einsum("ij,ij->i", h, self.model.Q[t]) + self.model.b[t] - self.norm[context]).astype(np.float64) / LN10
-
-
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(vocabulary, model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        if model.id not in _SCORERS:  # one per worker process and model
-            _SCORERS.clear()
-            _SCORERS[model.id] = Scorer(model.value)
-        scorer = _SCORERS[model.id]
+        v, scorer = vocabulary.value, model.value
         heads: list[tuple] = []
         first = TaskContext.get().partitionId() << 40
         known = np.r_[v.c > 0, False]
         log_c = np.r_[np.log10(v.c + 1), 0.0]
-        base_part, other_part = np.log10(v.n + v.v + 1), np.log10(v.other)
+        base_part = np.log10(v.n + v.v + 1)
+        # A bucket's word has its share of the bucket; its own count comes later if the worker has none.
+        other = np.r_[np.zeros(1 + v.n_words), np.log10(v.other)]
 
         def watched() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -305,10 +438,9 @@ def _scorer(vocabulary, model):
 
         open_: dict[int, list] = {}
         for words, starts, before, owner, last in _pieces_of(watched(), v, 200_000):
-            at = v.ids(words)
-            model_ids = v.model[at]
-            p = scorer(_contexts(model_ids, starts, before))
-            p += np.where(model_ids == OTHER_ID, log_c[at] - other_part, 0.0)
+            at, units = v.ids(words)
+            p = scorer.log10(_contexts(units, starts, before))
+            p += np.where(units > v.n_words, log_c[at] - other[units], 0.0)
             sums = [np.add.reduceat(x, starts) for x in (log_c[at] - base_part, p, known[at].astype(np.int64))]
             size = np.diff(np.r_[starts, len(words)])
             missing = np.flatnonzero(at == len(v.c))
@@ -353,36 +485,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     train = rows.where(~F.col("held_out"))
     counts = count_tokens(train)
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("n_end")).first()
-    words = Vocabulary(most_frequent(counts, KNOWN_WORDS), total["n"], total["v"], total["n_end"])
-    vocabulary = spark.sparkContext.broadcast(words)
+    vocabulary = spark.sparkContext.broadcast(vocabulary_of(counts))
     model = spark.sparkContext.broadcast(fit(train, vocabulary))
-    scored = materialise(rows.mapInArrow(_scorer(vocabulary, _Numbered(model)), SCORED), "lm-scored")
+    scored = materialise(rows.mapInArrow(_scorer(vocabulary, model), SCORED), "lm-scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("v")).select("rid", F.col("v.rare").alias("token"), F.col("v.times").alias("times"))
     found = rare.join(counts, "token").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("more_known"))
     out = scored.drop("rare", "times").join(found, "rid", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(vocabulary.value.n)).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
-
-
-class _Numbered:
-    """A broadcast model under a number that tells it from others in a worker's memory."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, f"{broadcast._jbroadcast.id()}"
-
-    def __reduce__(self):
-        return _rebuilt, (self.broadcast, self.id)
-
-    @property
-    def value(self) -> Model:
-        return self.broadcast.value
-
-
-def _rebuilt(broadcast, number) -> _Numbered:
-    out = object.__new__(_Numbered)
-    out.broadcast, out.id = broadcast, number
-    return out

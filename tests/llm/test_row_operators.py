@@ -276,17 +276,66 @@ def test_lm_probabilities_add_up_and_learn():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    noise = np.zeros(lm.V)
-    noise[:12] = 1 / 12
+    noise = np.ones(12)
     ids = np.cumsum(np.r_[2, rng.integers(1, 3, 40_000)]) % 10 + 2  # each id follows one of two
     rows = np.stack([ids[:-2], ids[1:-1], ids[2:]], axis=1).astype(np.int32)
     model = lm.Model(noise)
-    before = lm.Scorer(lm.Model(noise))(rows).mean()
-    model.train((rows[i : i + 500] for _ in range(6) for i in range(0, len(rows), 500)), noise, 1)
-    scorer = lm.Scorer(model)
-    assert scorer(rows).mean() > before + 0.3
-    every = np.array([[3, 4, t] for t in range(lm.V) if noise[t] > 0], np.int32)
-    assert (10 ** scorer(every)).sum() == pytest.approx(1.0, abs=1e-4)
+    before = model.log10(rows).mean()
+    model.train((rows[i : i + 500] for _ in range(6) for i in range(0, len(rows), 500)), 1)
+    assert model.log10(rows).mean() > before + 0.3
+    every = np.array([[3, 4, t] for t in range(12)], np.int32)
+    assert (10 ** model.log10(every)).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_words_of_a_vocabulary_add_up():
+    """Units and buckets, seen and unseen words: the probabilities of all words after any context are one."""
+    import numpy as np
+
+    top = [(f"w{i}", 50 - i) for i in range(30)]
+    tail = [(f"t{i}", 2) for i in range(40)]
+    buckets = [(0, 0)] * 4
+    for t, c in tail:
+        k = lm.zlib.crc32(t.encode()) % 4
+        buckets[k] = (buckets[k][0] + 1, buckets[k][1] + c)
+    v = lm.Vocabulary(top, 30, buckets, 5000, 71, 100)
+    model = lm.Model(v.noise)
+    words = [lm.END.encode(), *[t.encode() for t, _ in top + tail]]
+    units = v.ids(words)[1]
+    p = 10 ** model.log10(np.stack([np.full(len(units), 3), np.full(len(units), 5), units], axis=1))
+    c = np.array([0, *[0] * 30, *[c for _, c in tail]])
+    seen = np.where(units > 30, p * (c + 1) / np.r_[np.ones(31), v.other][units], p).sum()
+    first = {u: q for u, q in zip(units.tolist(), p.tolist()) if u > 30}
+    unseen = sum(q / v.other[u - 31] for u, q in first.items())
+    assert len(first) == 4 and seen + unseen == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_ties_leave_a_vocabulary(spark):
+    counts = spark.range(20_000).selectExpr("concat('w', id) AS token", "1L AS c")
+    found = lm.most_frequent(counts, 5_000)
+    assert 4_900 <= len(found) <= 5_000 and {c for _, c in found} == {1}
+
+
+def test_lm_learns_whatever_the_partitions(spark, monkeypatch):
+    """Half of all words follow from the word before: held-out texts score well above their word counts, however rows are dealt."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    follows = {w: rng.choice(words) for w in words}
+    rows = []
+    for i in range(1500):
+        text = [rng.choice(words)]
+        while len(text) < 60:
+            text.append(follows[text[-1]] if rng.random() < 0.5 else rng.choice(words))
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 10_000)
+    monkeypatch.setattr(lm, "TOKENS_PER_PARAMETER", 0)
+    got = []
+    for n in (1, 5):
+        scored = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        got.append({r["doc_id"]: r["score"] for r in scored})
+        held = [r for r in scored if r["held_out"]]
+        gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+        assert gain > 0.05, gain
+    assert got[0] == pytest.approx(got[1], rel=1e-5)
 
 
 def test_lm_pieces():
