@@ -76,12 +76,12 @@ def dir4(x: Column, y: Column) -> Column:
 
 
 def dir6(x: Column, y: Column, z: Column) -> Column:
-    """The dominant signed axis of a camera-frame vector."""
+    """The dominant signed axis of a camera-frame vector; of equal ones x comes first, then z."""
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
     return (
         F.when((ax >= ay) & (ax >= az), F.when(x > 0, "right").otherwise("left"))
-        .when(ay >= az, F.when(y < 0, "up").otherwise("down"))
-        .otherwise(F.when(z > 0, "front").otherwise("back"))
+        .when(az >= ay, F.when(z > 0, "front").otherwise("back"))
+        .otherwise(F.when(y < 0, "up").otherwise("down"))
     )
 
 
@@ -197,19 +197,19 @@ def signed_yaw(f1x: Column, f1z: Column, f2x: Column, f2z: Column) -> Column:
 
 
 def motion(yaw: Column, x: Column, y: Column, z: Column) -> Column:
-    """A camera's motion: a turn of 8 degrees or more, else its strongest axis, two where the second is strong."""
-    names = [F.when(x > 0, "right").otherwise("left"), F.when(y < 0, "up").otherwise("down"), F.when(z > 0, "forward").otherwise("backward")]
-    order = [0, 2, 1]  # lateral, depth, vertical
-    size = [F.abs(x), F.abs(y), F.abs(z)]
+    """A camera's motion: a turn of 8 degrees or more, else its strongest axis, two where the second is strong.
+
+    Of equal axes the lateral one is stronger, then depth; two are named in that order.
+    """
+    names = [F.when(x > 0, "right").otherwise("left"), F.when(z > 0, "front").otherwise("back"), F.when(y < 0, "up").otherwise("down")]
+    size = [F.abs(x), F.abs(z), F.abs(y)]
     length = F.sqrt(x * x + y * y + z * z)
-    first = F.greatest(*size)
-    ranked = F.sort_array(F.array(*size), asc=False)
-    second = F.element_at(ranked, 2)
-    both = (second / first >= 0.35) & (second / length >= 0.25)
-    parts = [F.when((size[i] == first) | (both & (size[i] == second)), names[i]) for i in order]
-    single = F.coalesce(*[F.when(size[i] == first, names[i]) for i in order])
-    moved = F.when(both, F.concat_ws("-", *parts)).otherwise(single)
-    return F.when(F.abs(yaw) >= MOTION_DEGREES, F.when(yaw > 0, "left").otherwise("right")).when(length < 1e-8, "same").otherwise(moved)
+    ranked = F.array_sort(F.array(*[F.struct((-size[i]).alias("k"), F.lit(i).alias("i"), names[i].alias("name")) for i in range(3)]))
+    first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+    strong = (-second["k"] >= 1e-8) & (second["k"] / first["k"] >= 0.35) & (-second["k"] / length >= 0.25)
+    both = F.when(first["i"] < second["i"], F.concat_ws("-", first["name"], second["name"])).otherwise(F.concat_ws("-", second["name"], first["name"]))
+    moved = F.when(-first["k"] < 1e-8, "same").when(strong, both).otherwise(first["name"])
+    return F.when(F.abs(yaw) >= MOTION_DEGREES, F.when(yaw > 0, "left").otherwise("right")).otherwise(moved)
 
 
 def box_corners(c: Vector, half: Vector) -> Column:

@@ -203,3 +203,57 @@ def balance(rows: DataFrame, batch: str, length: str, order: str, k: int) -> Dat
         return pdf.assign(part=part)
 
     return rows.groupBy(batch).applyInPandas(one, f"{fields}, part int")
+
+
+def scheduler_statistics(rows: DataFrame, targets: dict[str, float], key: str = "uid", task: str = "task", pos: str = "pos") -> DataFrame:
+    """By task: n, the questions' weights, and sums of their weighted accuracies, as they are and remapped to targets.
+
+    A question's task and weight (at least 1) are those of its first row; invalid rows count
+    as 0, rows without accuracy not at all, and padding rows are left out.
+    """
+    live = rows.where(~F.col("is_padding"))
+    acc = F.when(~F.col("is_valid"), 0.0).otherwise(F.col("accuracy"))
+    one = live.groupBy(key).agg(F.min_by(task, pos).alias("task"), F.min_by("duplicate_weight", pos).alias("__w"), F.avg(acc).alias("__a"))
+    one = one.where("__a IS NOT NULL AND task <> '' AND task <> 'unknown'").withColumn("__w", F.greatest(F.lit(1.0), F.col("__w")))
+    goal = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else F.create_map().cast("map<string,double>")
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    remapped = clip(clip(F.col("__a")) / F.coalesce(F.try_element_at(goal, F.col("task")), F.lit(1.0)))
+    return one.groupBy("task").agg(F.sum("__w").alias("n"), F.sum(F.col("__a") * F.col("__w")).alias("acc_sum"), F.sum(remapped * F.col("__w")).alias("scheduler_acc_sum"))
+
+
+def sampling_weights(statistics: DataFrame, prior: float = 0.35, prior_count: float = 2.0, least: float = 0.05) -> DataFrame:
+    """weight of each task, larger for harder ones, smoothed by a prior; and probability. One row per task."""
+    weight = F.greatest(F.lit(least), 1 - (F.col("scheduler_acc_sum") + prior * prior_count) / (F.col("n") + prior_count))
+    rows = statistics.withColumn("weight", weight)
+    return rows.withColumn("probability", F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1))))
+
+
+def draw(requests: DataFrame, key: str, weights: DataFrame, name: str, seed: int) -> DataFrame:
+    """Adds a name to each request, by a seeded hash of its key against the running sums of the weights.
+
+    The weights, a row per name, become one array, which every request looks up without a join.
+    """
+    order = Window.partitionBy(F.lit(1)).orderBy(name)
+    total = F.sum("weight").over(Window.partitionBy(F.lit(1)))
+    steps = weights.select(F.col(name).alias("name"), (F.sum("weight").over(order) / total).alias("high"))
+    table = F.array(*[F.struct(F.lit(r["high"]).alias("high"), F.lit(r["name"]).alias("name")) for r in sorted(steps.collect(), key=lambda r: r["high"])])
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    rows = requests.withColumn("__u", u)
+    return rows.withColumn(name, F.element_at(F.filter(table, lambda s: s["high"] > F.col("__u")), 1)["name"]).drop("__u")
+
+
+def pad_groups(rows: DataFrame, key: str, world: int, batch: int, zeroed: list[str]) -> DataFrame:
+    """Adds copies of the leading groups, whole, until the groups divide by workers and batches; in turn where they must repeat.
+
+    Adds copy (-1 for the rows themselves), is_padding and weight; padding weighs nothing and the columns asked for are nought.
+    """
+    groups = rows.select(key).distinct()
+    n = groups.count()
+    pad = group_padding(n, 1, world, batch)
+    base = rows.withColumns({"copy": F.lit(-1), "is_padding": F.lit(False), "weight": F.lit(1)})
+    if not n or not pad:
+        return base
+    first = groups.orderBy(key).limit(min(n, pad)).withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(key)) - 1)
+    first = first.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.lit(pad - 1) - F.col("__i")) / n).cast("int")))).drop("__i")
+    more = rows.join(first, key).withColumns({"is_padding": F.lit(True), "weight": F.lit(0)} | {c: F.lit(0).cast(rows.schema[c].dataType) for c in zeroed})
+    return base.unionByName(more.select(*base.columns))

@@ -89,3 +89,17 @@ def key_mismatches(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     l = a.select(*keys).distinct().withColumn("__a", F.lit(True))
     r = b.select(*keys).distinct().withColumn("__b", F.lit(True))
     return l.join(r, list(keys), "full").where("__a IS NULL OR __b IS NULL").select(*keys, F.when(F.col("__a").isNull(), "second").otherwise("first").alias("only_in"))
+
+
+def instance_key(object_id: Column, place: Column, frame: Column, pos: Column) -> Column:
+    """What tells instances apart over frames: the id, else the place to four digits, else frame and position."""
+    known = object_id.isNotNull() & (object_id.cast("string") != "")
+    at = [F.when(~known & place.isNotNull(), F.round(F.get(place, F.lit(i)), 4) + 0.0) for i in range(3)]
+    left = ~known & place.isNull()
+    return F.struct(F.when(known, object_id.cast("string")).alias("id"), *[c.alias("xyz"[i]) for i, c in enumerate(at)], F.when(left, frame).alias("frame"), F.when(left, pos).alias("pos"))
+
+
+def evidence(objects: DataFrame, keys: list[str], relevant: list[str], most: int, *order: Column) -> DataFrame:
+    """The first objects of each group, those of relevant labels before all others; k is their place."""
+    first = ~F.lower(F.trim("label")).isin([x.strip().lower() for x in relevant])
+    return objects.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(first, *order))).where(F.col("k") <= most)

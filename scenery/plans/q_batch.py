@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scenery.functions.geometry import tidy
 from scenery.operators import batch
 from scenery.plans.catalogue import query
+from scenery.plans.q_etl import TASKS
 from scenery.sources.adapters import spark_view, with_views
 
 R = with_views("rollouts")
@@ -45,13 +46,13 @@ def w_remax(spark, sf):
 
 
 @query("w05_reinforce_returns", _w("""m AS (SELECT uid, pos, reward, CAST(is_valid AS INT) AS mask FROM rollouts), l AS (SELECT uid, list(reward ORDER BY pos) AS r, list(mask ORDER BY pos) AS k FROM m GROUP BY uid),
-  u AS (SELECT uid, r, k, unnest(range(1, len(r)+1)) AS pos FROM l)""") + """SELECT uid, CAST(pos AS INT) AS pos, round(list_sum(list_transform(range(CAST(pos AS BIGINT), len(r)+1), lambda j: r[j] * power(0.9, j-pos) * CASE WHEN list_contains(k[pos+1:j], 0) THEN 0.0 ELSE 1.0 END)), 6) + 0.0 AS returns FROM u""")
+  u AS (SELECT uid, r, k, unnest(range(1, len(r)+1)) AS pos FROM l)""") + """SELECT uid, CAST(pos AS INT) AS pos, round(list_sum(list_transform(range(CAST(pos AS BIGINT), len(r)+1), lambda j: r[j] * power(0.9, j-pos) * CASE WHEN list_contains(k[pos+1:j], 0) THEN 0.0 ELSE 1.0 END)), 9) + 0.0 AS returns FROM u""")
 def w_returns(spark, sf):
-    """Discounted returns, cut at masked tokens."""
+    """Discounted returns, cut at masked tokens. At most seven tokens of hundredths: nine places hold every value."""
     r = rollouts(spark, sf).withColumn("mask", F.col("is_valid").cast("int"))
     s = batch.sequences(r, "uid", "pos", rewards="reward", mask="mask")
     out = s.select("uid", F.posexplode(batch.discounted("rewards", "mask", 0.9)).alias("i", "v"))
-    return out.select("uid", (F.col("i") + 1).alias("pos"), tidy(F.col("v")).alias("returns"))
+    return out.select("uid", (F.col("i") + 1).alias("pos"), tidy(F.col("v"), 9).alias("returns"))
 
 
 @query("w06_gae")
@@ -163,28 +164,41 @@ def a_majority(spark, sf):
     return best.select("uid", F.col("m.response").alias("answer"), F.round(F.col("m.n") / F.col("t"), 6).alias("score"))
 
 
-_SCHED = "u AS (SELECT task, uid, avg(CASE WHEN is_valid THEN score ELSE 0 END) AS acc, greatest(1, count(DISTINCT response)) AS w FROM rollouts GROUP BY 1,2), t AS (SELECT task, sum(w) AS n, sum(acc*w) AS a FROM u GROUP BY 1)"
+# The tasks whose accuracy counts in full from a half on.
+ACCURACY_TARGETS = {"absolute_distance": 0.5, "distance_cam_obj": 0.5, "room_size": 0.5}
+_TASKS = "'" + "','".join(t for _, t in TASKS) + "'"
+_SCHED = f"""q AS (SELECT uid, pos, [{_TASKS}][1 + task] AS task, is_valid, CASE WHEN length % 5 <> 0 THEN score END AS accuracy, CAST(length % 4 AS DOUBLE) AS duplicate_weight, length % 11 = 0 AS is_padding FROM rollouts),
+l AS (SELECT * FROM q WHERE NOT is_padding), h AS (SELECT uid, arg_min(task, pos) AS task, greatest(1.0, arg_min(duplicate_weight, pos)) AS w, avg(CASE WHEN is_valid THEN accuracy ELSE 0 END) AS acc FROM l GROUP BY uid),
+t AS (SELECT task, sum(w) AS n, sum(acc * w) AS a, sum(least(1.0, greatest(0.0, least(1.0, greatest(0.0, acc)) / CASE WHEN task IN ('absolute_distance','distance_cam_obj','room_size') THEN 0.5 ELSE 1.0 END)) * w) AS s FROM h WHERE acc IS NOT NULL GROUP BY 1)"""
 
 
-@query("a30_scheduler_stats", _w(_SCHED) + "SELECT task, CAST(n AS BIGINT) AS n, round(a, 5) AS acc_sum FROM t")
+def task_statistics(spark, sf):
+    name = F.element_at(F.array(*[F.lit(t) for _, t in TASKS]), F.col("task") + 1)
+    r = rollouts(spark, sf).withColumns({"task": name, "accuracy": F.when(F.col("length") % 5 != 0, F.col("score")), "duplicate_weight": (F.col("length") % 4).cast("double"), "is_padding": F.col("length") % 11 == 0})
+    return batch.scheduler_statistics(r, ACCURACY_TARGETS)
+
+
+@query("a30_scheduler_stats", _w(_SCHED) + "SELECT task, n, round(a, 5) AS acc_sum, round(s, 5) AS scheduler_acc_sum FROM t")
 def a_scheduler(spark, sf):
-    """Accuracy of each question, weighted by how many it stands for, summed by task."""
-    u = rollouts(spark, sf).groupBy("task", "uid").agg(F.avg(F.when(F.col("is_valid"), F.col("score")).otherwise(0.0)).alias("acc"), F.greatest(F.lit(1), F.countDistinct("response")).alias("w"))
-    return u.groupBy("task").agg(F.sum("w").alias("n"), F.round(F.sum(F.col("acc") * F.col("w")), 5).alias("acc_sum"))
+    """Accuracy of each question, weighted by how many it stands for, summed by task, as it is and remapped."""
+    return task_statistics(spark, sf).select("task", "n", F.round("acc_sum", 5).alias("acc_sum"), F.round("scheduler_acc_sum", 5).alias("scheduler_acc_sum"))
 
 
-@query("r21_scheduler_weights", _w(_SCHED + ", w AS (SELECT task, greatest(0.05, 1 - (least(1.0, a) + 0.35*2)/(n+2)) AS w FROM t)") + "SELECT task, round(w, 6) AS weight, round(w/sum(w) OVER (), 6) AS probability, round(sum(w) OVER (ORDER BY task)/sum(w) OVER (), 6) AS cumulative FROM w")
+@query("r21_scheduler_weights", _w(_SCHED + ", w AS (SELECT task, greatest(0.05, 1 - (s + 0.35*2)/(n+2)) AS w FROM t)") + "SELECT task, round(w, 6) AS weight, round(w/sum(w) OVER (), 6) AS probability FROM w")
 def r_weights(spark, sf):
-    """Smoothed sampling weights of the tasks, their probabilities and running sums."""
-    t = a_scheduler_raw(spark, sf)
-    w = t.withColumn("w", F.greatest(F.lit(0.05), 1 - (F.least(F.lit(1.0), F.col("a")) + 0.35 * 2) / (F.col("n") + 2)))
-    every = Window.partitionBy(F.lit(1))
-    return w.select("task", F.round("w", 6).alias("weight"), F.round(F.col("w") / F.sum("w").over(every), 6).alias("probability"), F.round(F.sum("w").over(every.orderBy("task")) / F.sum("w").over(every), 6).alias("cumulative"))
+    """Smoothed sampling weights of the tasks and their probabilities."""
+    return batch.sampling_weights(task_statistics(spark, sf)).select("task", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
 
+_DRAW = """, w AS (SELECT task, greatest(0.05, 1 - (s + 0.35*2)/(n+2)) AS w FROM t), c AS (SELECT task, sum(w) OVER (ORDER BY task) / sum(w) OVER () AS high, (sum(w) OVER (ORDER BY task) - w) / sum(w) OVER () AS low FROM w),
+d AS (SELECT o_orderkey, CAST(concat('0x', substr(md5(concat('7|', CAST(o_orderkey AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM orders)"""
 
-def a_scheduler_raw(spark, sf):
-    u = rollouts(spark, sf).groupBy("task", "uid").agg(F.avg(F.when(F.col("is_valid"), F.col("score")).otherwise(0.0)).alias("acc"), F.greatest(F.lit(1), F.countDistinct("response")).alias("w"))
-    return u.groupBy("task").agg(F.sum("w").alias("n"), F.sum(F.col("acc") * F.col("w")).alias("a"))
+
+@query("r23_task_draw", _w(_SCHED + _DRAW) + "SELECT o_orderkey, task FROM d JOIN c ON u >= low AND u < high")
+def r_draw(spark, sf):
+    """A task for every request, drawn by a seeded hash from the weights."""
+    requests = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    return batch.draw(requests, "o_orderkey", batch.sampling_weights(task_statistics(spark, sf)), "task", 7)
 
 
 @query("a32_selected_tasks", _w("f AS (SELECT uid, arg_min(task, pos) AS task FROM rollouts GROUP BY uid)") + "SELECT task, count(*) AS n FROM f GROUP BY task")
@@ -210,9 +224,9 @@ def a_flops(spark, sf):
     return rollouts(spark, sf).groupBy("task").agg(F.round((6.0 * 3e9 * n + 12.0 * 36 * 128 * 16 * sq) / 1e12, 4).alias("teraflops"))
 
 
-@query("u07_repeat", R + "SELECT uid, pos, CAST(c AS INT) AS copy FROM rollouts, range(3) t(c) WHERE pos <= 2")
+@query("u07_repeat", R + "SELECT uid, pos, CAST(c AS INT) AS copy FROM rollouts, range(3) t(c)")
 def u_repeat(spark, sf):
-    return batch.repeat(rollouts(spark, sf).where("pos <= 2").select("uid", "pos"), 3)
+    return batch.repeat(rollouts(spark, sf).select("uid", "pos"), 3)
 
 
 @query("u08_chunk", "SELECT n_nationkey, CAST(floor(n_nationkey/5) AS INT) AS part FROM nation")
@@ -220,22 +234,21 @@ def u_chunk(spark, sf):
     return spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", batch.chunk(F.col("n_nationkey"), 25, 5).alias("part"))
 
 
-@query("u10_pad", "SELECT n_nationkey AS pos, n_name, false AS is_padding FROM nation UNION ALL SELECT 25 + n_nationkey, n_name, true FROM nation WHERE n_nationkey < 7")
+@query("u10_pad", "WITH k AS (SELECT count(*) AS c FROM nation) SELECT n_nationkey AS pos, n_name, false AS is_padding FROM nation UNION ALL SELECT c + n_nationkey, n_name, true FROM nation, k WHERE n_nationkey < (32 - c % 32) % 32")
 def u_pad(spark, sf):
-    """25 rows padded to a multiple of 32 with the leading ones."""
+    """The rows padded to a multiple of 32 with the leading ones."""
     n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("pos"), "n_name")
-    return batch.pad_to_divisor(n, "pos", 25, 32)
+    return batch.pad_to_divisor(n, "pos", n.count(), 32)
+
+
+_GROUPS = "g AS (SELECT uid, dense_rank() OVER (ORDER BY uid) - 1 AS i FROM rollouts GROUP BY uid), k AS (SELECT count(*) AS c FROM g), f AS (SELECT r.uid, r.pos, r.score, i, c FROM rollouts r JOIN g ON g.uid = r.uid, k)"
 
 
-@query("u11_group_padding", _w("g AS (SELECT uid, count(*) AS n, dense_rank() OVER (ORDER BY uid) - 1 AS i FROM rollouts WHERE pos <= 1 GROUP BY uid), k AS (SELECT count(*) AS c FROM g)") + "SELECT uid, false AS is_padding, 1 AS weight FROM g UNION ALL SELECT uid, true, 0 FROM g, k WHERE i < ((-c % 96) + 96) % 96")
+@query("u11_group_padding", _w(_GROUPS) + "SELECT uid, pos, -1 AS copy, false AS is_padding, 1 AS weight, round(score, 6) AS score FROM f UNION ALL SELECT uid, pos, CAST(0 AS INT), true, 0, 0.0 FROM f WHERE i < ((-c % 96) + 96) % 96")
 def u_groups(spark, sf):
-    """Leading groups again until their number divides by the workers and the batch; padding weighs nothing."""
-    g = rollouts(spark, sf).where("pos <= 1").select("uid")
-    n = g.count()
-    pad = batch.group_padding(n, 1, 32, 3)
-    first = g.orderBy("uid").limit(pad)
-    base = g.select("uid", F.lit(False).alias("is_padding"), F.lit(1).alias("weight"))
-    return base.unionByName(first.select("uid", F.lit(True).alias("is_padding"), F.lit(0).alias("weight")))
+    """Whole leading groups again until the number of groups divides by 32 workers and batches of 3; padding weighs and scores nothing."""
+    out = batch.pad_groups(rollouts(spark, sf).select("uid", "pos", "score"), "uid", 32, 3, ["score"])
+    return out.select("uid", "pos", "copy", "is_padding", "weight", F.round("score", 6).alias("score"))
 
 
 @query("u09_reorder", R + "SELECT uid, pos, CAST(row_number() OVER (PARTITION BY uid ORDER BY length DESC, pos) AS INT) AS place FROM rollouts")

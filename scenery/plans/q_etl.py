@@ -10,6 +10,18 @@ from scenery.plans.q_scene import objects
 from scenery.sources.adapters import spark_view, with_views
 
 
+# The sixteen tasks by input mode.
+TASKS = [
+    (mode, task)
+    for mode, tasks in {
+        "scene": "object_counting object_size absolute_distance relative_distance relative_direction_hard room_size",
+        "single_image": "single_image_relative_direction distance_cam_obj depth_order_obj_obj",
+        "image_pair": "position_cam_cam elevation_cam_cam visibility_compare position_cam_obj position_cam_reg motion_camera attribute_measurement",
+    }.items()
+    for task in tasks.split()
+]
+
+
 def _events(spark, sf, kind):
     e = spark.read.parquet(f"{sf}/events.parquet").where(F.col("event_type") == kind)
     return e.select("event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 3).alias("ts"))
@@ -97,10 +109,10 @@ def room_hull(spark, sf):
     return hulls.room_area(objects(spark, sf).select("scene_id", "x", "y", "z"))
 
 
-@query("j09_vertex_labels", "WITH v AS (SELECT l_orderkey AS vertex_id, l_partkey % 50 AS seg_id FROM lineitem WHERE l_linenumber = 1), g AS (SELECT p_partkey % 50 AS seg_id, p_partkey AS group_pos, p_brand AS label FROM part), w AS (SELECT seg_id, arg_max(label, group_pos) AS label FROM g GROUP BY seg_id) SELECT v.vertex_id, max(w.label) AS label FROM v JOIN w ON v.seg_id = w.seg_id GROUP BY v.vertex_id")
+@query("j09_vertex_labels", "WITH v AS (SELECT l_orderkey AS vertex_id, l_partkey % 50 AS seg_id FROM lineitem), g AS (SELECT p_partkey % 50 AS seg_id, p_partkey AS group_pos, p_brand AS label FROM part), w AS (SELECT seg_id, arg_max(label, group_pos) AS label FROM g GROUP BY seg_id) SELECT v.vertex_id, max(w.label) AS label FROM v JOIN w ON v.seg_id = w.seg_id GROUP BY v.vertex_id")
 def vertex_labels(spark, sf):
     """Vertices through segments to groups; the later group overwrites."""
-    v = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 1").select(F.col("l_orderkey").alias("vertex_id"), (F.col("l_partkey") % 50).alias("seg_id"))
+    v = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("vertex_id"), (F.col("l_partkey") % 50).alias("seg_id"))
     g = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % 50).alias("seg_id"), F.col("p_partkey").alias("group_pos"), F.col("p_brand").alias("label"))
     last = g.groupBy("seg_id").agg(F.max_by("label", "group_pos").alias("label"))
     return v.join(last, "seg_id").groupBy("vertex_id").agg(F.max("label").alias("label"))
@@ -133,10 +145,4 @@ def letters(spark, sf):
 @query("t19_catalogue", "SELECT * FROM (VALUES ('object_counting','scene'),('object_size','scene'),('absolute_distance','scene'),('relative_distance','scene'),('relative_direction_hard','scene'),('room_size','scene'),('single_image_relative_direction','single_image'),('distance_cam_obj','single_image'),('depth_order_obj_obj','single_image'),('position_cam_cam','image_pair'),('elevation_cam_cam','image_pair'),('visibility_compare','image_pair'),('position_cam_obj','image_pair'),('position_cam_reg','image_pair'),('motion_camera','image_pair'),('attribute_measurement','image_pair')) t(task, mode)")
 def task_catalogue(spark, sf):
     """The tasks and their input modes."""
-    # The sixteen tasks by input mode.
-    modes = {
-        "scene": "object_counting object_size absolute_distance relative_distance relative_direction_hard room_size",
-        "single_image": "single_image_relative_direction distance_cam_obj depth_order_obj_obj",
-        "image_pair": "position_cam_cam elevation_cam_cam visibility_compare position_cam_obj position_cam_reg motion_camera attribute_measurement",
-    }
-    return spark.createDataFrame([(t, m) for m, ts in modes.items() for t in ts.split()], "task string, mode string")
+    return spark.createDataFrame([(t, m) for m, t in TASKS], "task string, mode string")

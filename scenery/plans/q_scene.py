@@ -200,11 +200,11 @@ steps AS (SELECT scene_id, frame_id, r2 AS fx, r8 AS fz, lag(r2) OVER w AS gx, l
 yaw AS (SELECT scene_id, frame_id, degrees(atan2((gx/sqrt(gx*gx+gz*gz))*(fz/sqrt(fx*fx+fz*fz)) - (gz/sqrt(gx*gx+gz*gz))*(fx/sqrt(fx*fx+fz*fz)),
   greatest(-1.0, least(1.0, (gx/sqrt(gx*gx+gz*gz))*(fx/sqrt(fx*fx+fz*fz)) + (gz/sqrt(gx*gx+gz*gz))*(fz/sqrt(fx*fx+fz*fz)))))) AS turn FROM steps),
 turned AS (SELECT l.*, (SELECT sum(turn) FROM yaw y WHERE y.scene_id=l.scene_id AND y.frame_id > l.frame_1 AND y.frame_id <= l.frame_2) AS yaw FROM loc l),
-sized AS (SELECT *, abs(lx) AS sx, abs(ly) AS sy, abs(lz) AS sz, sqrt(lx*lx+ly*ly+lz*lz) AS len, CASE WHEN lx>0 THEN 'right' ELSE 'left' END AS nx, CASE WHEN ly<0 THEN 'up' ELSE 'down' END AS ny, CASE WHEN lz>0 THEN 'forward' ELSE 'backward' END AS nz FROM turned),
-ranked AS (SELECT *, greatest(sx,sy,sz) AS a, list_sort([sx,sy,sz])[2] AS b FROM sized)
-SELECT scene_id, frame_1, frame_2, round(yaw, 4) + 0.0 AS yaw, CASE WHEN abs(yaw) >= 8 THEN CASE WHEN yaw > 0 THEN 'left' ELSE 'right' END WHEN len < 1e-8 THEN 'same'
-  WHEN b/a >= 0.35 AND b/len >= 0.25 THEN concat_ws('-', CASE WHEN sx=a OR sx=b THEN nx END, CASE WHEN sz=a OR sz=b THEN nz END, CASE WHEN sy=a OR sy=b THEN ny END)
-  WHEN sx=a THEN nx WHEN sz=a THEN nz ELSE ny END AS answer FROM ranked""")
+sized AS (SELECT *, abs(lx) AS sx, abs(ly) AS sy, abs(lz) AS sz, sqrt(lx*lx+ly*ly+lz*lz) AS len, CASE WHEN lx>0 THEN 'right' ELSE 'left' END AS nx, CASE WHEN ly<0 THEN 'up' ELSE 'down' END AS ny, CASE WHEN lz>0 THEN 'front' ELSE 'back' END AS nz FROM turned),
+places AS (SELECT *, 1 + (sz > sx)::INT + (sy > sx)::INT AS px, 1 + (sx >= sz)::INT + (sy > sz)::INT AS pz, 1 + (sx >= sy)::INT + (sz >= sy)::INT AS py, greatest(sx,sy,sz) AS a, list_sort([sx,sy,sz])[2] AS b FROM sized)
+SELECT scene_id, frame_1, frame_2, round(yaw, 4) + 0.0 AS yaw, CASE WHEN abs(yaw) >= 8 THEN CASE WHEN yaw > 0 THEN 'left' ELSE 'right' END WHEN a < 1e-8 THEN 'same'
+  WHEN b >= 1e-8 AND b/a >= 0.35 AND b/len >= 0.25 THEN concat_ws('-', CASE WHEN px <= 2 THEN nx END, CASE WHEN pz <= 2 THEN nz END, CASE WHEN py <= 2 THEN ny END)
+  WHEN px = 1 THEN nx WHEN pz = 1 THEN nz ELSE ny END AS answer FROM places""")
 def motion_camera(spark, sf):
     """Camera motion between two poses: the turn over all poses between them, else the strongest axes."""
     from pyspark.sql import Window
@@ -224,16 +224,19 @@ def motion_camera(spark, sf):
 SELECT a.scene_id, a.frame_id AS frame_1, b.frame_id AS frame_2, count(*) AS n_poses FROM poses a JOIN poses b ON a.scene_id=b.scene_id AND a.frame_id<b.frame_id
 JOIN poses m ON m.scene_id=a.scene_id AND m.frame_id BETWEEN a.frame_id AND b.frame_id GROUP BY 1,2,3""")
 def frame_range(spark, sf):
-    """Poses within the frame range of each pair: the scene key is the equi part of the join."""
-    p = spark_view(spark, sf, "poses").select("scene_id", "frame_id")
-    a, b = p.withColumnRenamed("frame_id", "frame_1"), p.withColumnRenamed("frame_id", "frame_2")
-    pairs = a.join(b, "scene_id").where("frame_1 < frame_2")
-    return pairs.join(p, "scene_id").where("frame_id BETWEEN frame_1 AND frame_2").groupBy("scene_id", "frame_1", "frame_2").agg(F.count(F.lit(1)).alias("n_poses"))
+    """Poses within the frame range of each pair: a pose's place in its scene makes the count a difference."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("scene_id").orderBy("frame_id")
+    p = spark_view(spark, sf, "poses").select("scene_id", "frame_id", F.row_number().over(w).alias("place"))
+    a = p.select("scene_id", F.col("frame_id").alias("frame_1"), F.col("place").alias("from"))
+    b = p.select("scene_id", F.col("frame_id").alias("frame_2"), F.col("place").alias("to"))
+    return a.join(b, "scene_id").where("frame_1 < frame_2").select("scene_id", "frame_1", "frame_2", (F.col("to") - F.col("from") + 1).cast("long").alias("n_poses"))
 
 
 _TWO = """a AS (SELECT scene_id, frame_id, label, count(*) AS n, max(score) AS s, max(visibility) AS v FROM scored WHERE visibility >= 0.5 GROUP BY 1,2,3),
 fp AS (SELECT coalesce(a.scene_id, b.scene_id) AS scene_id, coalesce(a.frame_id, b.frame_id - 1) AS frame_1, coalesce(a.label, b.label) AS label, coalesce(a.n,0) AS n1, coalesce(b.n,0) AS n2, a.s AS s1, b.s AS s2, coalesce(a.v,0) AS v1, coalesce(b.v,0) AS v2
-  FROM (SELECT * FROM a WHERE frame_id < 4) a FULL JOIN (SELECT * FROM a WHERE frame_id > 0) b ON a.scene_id=b.scene_id AND a.label=b.label AND b.frame_id=a.frame_id+1)"""
+  FROM (SELECT * FROM a WHERE frame_id < (SELECT max(frame_id) FROM objects)) a FULL JOIN (SELECT * FROM a WHERE frame_id > (SELECT min(frame_id) FROM objects)) b ON a.scene_id=b.scene_id AND a.label=b.label AND b.frame_id=a.frame_id+1)"""
 _SCORED = "scored AS (SELECT *, 0.75*visibility + 0.25*(greatest(0.0,u1-u0)*greatest(0.0,v1-v0)/(640.0*480.0)) - 0.03*CAST(occluded AS INT) - 0.02*CAST(truncated AS INT) AS score FROM objects), " + _TWO
 
 
@@ -243,8 +246,9 @@ def frame_label_pairs(spark, sf):
     ratio = g.area_ratio([F.col(c) for c in ("u0", "v0", "u1", "v1")])
     o = o.withColumn("score", g.visibility_score(F.col("visibility"), ratio, F.col("occluded"), F.col("truncated")))
     a = o.groupBy("scene_id", "frame_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("s"), F.max("visibility").alias("v"))
-    one = a.where("frame_id < 4").select("scene_id", F.col("frame_id").alias("frame_1"), "label", F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("v").alias("v1"))
-    two = a.where("frame_id > 0").select("scene_id", (F.col("frame_id") - 1).alias("frame_1"), "label", F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("v").alias("v2"))
+    ends = objects(spark, sf).agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last")).first()
+    one = a.where(F.col("frame_id") < ends["last"]).select("scene_id", F.col("frame_id").alias("frame_1"), "label", F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("v").alias("v1"))
+    two = a.where(F.col("frame_id") > ends["first"]).select("scene_id", (F.col("frame_id") - 1).alias("frame_1"), "label", F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("v").alias("v2"))
     return one.join(two, ["scene_id", "frame_1", "label"], "full").na.fill(0, ["n1", "n2"]).na.fill(0.0, ["v1", "v2"])
 
 
@@ -324,13 +328,19 @@ def frame_summary(spark, sf):
     return objects(spark, sf).groupBy("scene_id", "frame_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count_if(F.col("visibility") >= 0.5).alias("n_visible"), F.round(F.max("visibility"), 6).alias("top"))
 
 
-@query("a10_multi_image_summary", with_views("objects", rest="f AS (SELECT scene_id, label, count(DISTINCT frame_id) AS nf, count(*) AS n FROM objects WHERE frame_id < 2 GROUP BY 1,2)") + """
-SELECT scene_id, string_agg(label, ',' ORDER BY label) AS union_labels, coalesce(string_agg(CASE WHEN nf = 2 THEN label END, ',' ORDER BY label), '') AS shared_labels, sum(n)::BIGINT AS n FROM f GROUP BY scene_id""")
+@query("a10_multi_image_summary", with_views("objects", rest="""k AS (SELECT DISTINCT scene_id, frame_id, frame_id AS frame_1 FROM objects UNION ALL SELECT DISTINCT scene_id, frame_id, frame_id - 1 FROM objects),
+  f AS (SELECT k.scene_id, k.frame_1, label, count(DISTINCT o.frame_id) AS nf, count(*) AS n FROM k JOIN objects o ON o.scene_id = k.scene_id AND o.frame_id = k.frame_id GROUP BY 1,2,3),
+  two AS (SELECT scene_id, frame_1 FROM k GROUP BY 1,2 HAVING count(*) = 2)""") + """
+SELECT f.scene_id, f.frame_1, string_agg(label, ',' ORDER BY label) AS union_labels, coalesce(string_agg(CASE WHEN nf = 2 THEN label END, ',' ORDER BY label), '') AS shared_labels, sum(n)::BIGINT AS n
+FROM f JOIN two ON two.scene_id = f.scene_id AND two.frame_1 = f.frame_1 GROUP BY 1,2""")
 def multi_image_summary(spark, sf):
-    """Union and intersection of the labels of two frames, and summed counts."""
-    f = objects(spark, sf).where("frame_id < 2").groupBy("scene_id", "label").agg(F.countDistinct("frame_id").alias("nf"), F.count(F.lit(1)).alias("n"))
+    """Union and intersection of the labels of each frame and the next, and summed counts."""
+    o = objects(spark, sf).groupBy("scene_id", "frame_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    both = o.withColumn("frame_1", F.explode(F.array("frame_id", F.col("frame_id") - 1)))
+    f = both.groupBy("scene_id", "frame_1", "label").agg(F.count(F.lit(1)).alias("nf"), F.sum("n").alias("n"), F.min("frame_id").alias("low"), F.max("frame_id").alias("high"))
     names = lambda c: F.array_join(F.sort_array(F.collect_list(c)), ",")
-    return f.groupBy("scene_id").agg(names(F.col("label")).alias("union_labels"), names(F.when(F.col("nf") == 2, F.col("label"))).alias("shared_labels"), F.sum("n").alias("n"))
+    out = f.groupBy("scene_id", "frame_1").agg(names(F.col("label")).alias("union_labels"), names(F.when(F.col("nf") == 2, F.col("label"))).alias("shared_labels"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return out.where("low < high").drop("low", "high")
 
 
 @query("t18_feasible_tasks", with_views("objects", rest="c AS (SELECT scene_id, label, count(*) AS n FROM objects GROUP BY 1,2), k AS (SELECT scene_id, count(*) FILTER (n = 1) AS u, count(*) FILTER (n > 1) AS m FROM c GROUP BY 1)") + """
@@ -361,11 +371,18 @@ def visible_anchor_counts(spark, sf):
     return lookup.anchors(lookup.visible(objects(spark, sf))).groupBy("scene_id", "frame_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("visibility"), 6).alias("top"))
 
 
-@query("a06_distinct_instances", with_views("objects") + "SELECT scene_id, label, count(DISTINCT CASE WHEN object_id % 3 <> 0 THEN concat('id::', CAST(object_id AS VARCHAR)) ELSE concat('loc::', CAST(round(x,0) AS VARCHAR)) END) AS instances FROM objects GROUP BY 1,2")
+@query("a06_distinct_instances", with_views("objects") + """SELECT scene_id, label, count(DISTINCT CASE WHEN object_id % 3 <> 0 THEN {'k': 0, 'a': CAST(object_id AS DOUBLE), 'b': 0.0::DOUBLE, 'c': 0.0::DOUBLE}
+  WHEN object_id % 7 <> 0 THEN {'k': 1, 'a': round(floor(x), 4) + 0.0::DOUBLE, 'b': round(floor(y), 4) + 0.0::DOUBLE, 'c': round(floor(z), 4) + 0.0::DOUBLE}
+  ELSE {'k': 2, 'a': CAST(frame_id AS DOUBLE), 'b': CAST(object_id AS DOUBLE), 'c': 0.0::DOUBLE} END) AS instances
+FROM objects WHERE label NOT IN ('wall','otherprop','ceiling','otherfurniture') GROUP BY 1,2""")
 def distinct_instances(spark, sf):
-    """Instances of a label over frames: by id where there is one, else by rounded place."""
-    key = F.coalesce(F.when(F.col("object_id") % 3 != 0, F.concat(F.lit("id::"), F.col("object_id").cast("string"))), F.concat(F.lit("loc::"), F.round("x", 0).cast("string")))
-    return objects(spark, sf).groupBy("scene_id", "label").agg(F.countDistinct(key).alias("instances"))
+    """Instances of each usable label over frames: by id where there is one, else by place, else by frame and position.
+
+    Every third object has no id here, every 21st no place either; places are on a grid, so that some are shared.
+    """
+    o = lookup.anchors(objects(spark, sf)).withColumns({"id": F.when(F.col("object_id") % 3 != 0, F.col("object_id")), "placed": F.col("object_id") % 7 != 0})
+    place = F.when(F.col("placed"), F.array(*[F.floor(c).cast("double") for c in "xyz"]))
+    return o.groupBy("scene_id", "label").agg(F.countDistinct(lookup.instance_key(F.col("id"), place, F.col("frame_id"), F.col("object_id"))).alias("instances"))
 
 
 @query("a12_boxes", with_views("objects") + "SELECT scene_id, label, round(min(x0),4)+0.0 AS x0, round(max(x1),4)+0.0 AS x1, round((min(y0)+max(y1))/2,4)+0.0 AS yc, round(100*greatest(max(x1)-min(x0),max(y1)-min(y0),max(z1)-min(z0)),2) AS size_cm FROM objects GROUP BY 1,2")
@@ -377,24 +394,37 @@ def boxes(spark, sf):
     )
 
 
-@query("a13_pixel_boxes", with_views("objects") + "SELECT scene_id, frame_id, label, CAST(greatest(0, floor(min(u0)) - 2) AS BIGINT) AS u0, CAST(least(639, floor(max(u1)) + 2) AS BIGINT) AS u1 FROM objects GROUP BY 1,2,3")
+@query("a13_pixel_boxes", with_views("objects") + """SELECT scene_id, frame_id, label, least(640, greatest(0, CAST(trunc(min(u0)) AS BIGINT) - 2)) AS u0, least(480, greatest(0, CAST(trunc(min(v0)) AS BIGINT) - 2)) AS v0,
+  least(640, CAST(trunc(max(u1) + 0.5) AS BIGINT) + 2) AS u1, least(480, CAST(trunc(max(v1) + 0.5) AS BIGINT) + 2) AS v1 FROM objects GROUP BY 1,2,3""")
 def pixel_boxes(spark, sf):
-    """Pixel bounds with a margin of two, clamped to the image."""
-    return objects(spark, sf).groupBy("scene_id", "frame_id", "label").agg(F.greatest(F.lit(0), F.floor(F.min("u0")) - 2).alias("u0"), F.least(F.lit(639), F.floor(F.max("u1")) + 2).alias("u1"))
+    """Pixel bounds with a margin of two, the upper ones rounded, clamped to the image of 640 by 480."""
+    low = lambda c, most: F.least(F.lit(most), F.greatest(F.lit(0), F.min(c).cast("long") - 2)).cast("long")
+    high = lambda c, most: F.least(F.lit(most), (F.max(c) + 0.5).cast("long") + 2).cast("long")
+    return objects(spark, sf).groupBy("scene_id", "frame_id", "label").agg(low("u0", 640).alias("u0"), low("v0", 480).alias("v0"), high("u1", 640).alias("u1"), high("v1", 480).alias("v1"))
 
 
-@query("a14_visibility_ratio", with_views("objects") + "SELECT scene_id, label, round(avg(CASE WHEN visibility >= 0.5 THEN 1.0 ELSE 0.0 END), 4) AS ratio, coalesce(round((min(cx) FILTER (visibility >= 0.5) + max(cx) FILTER (visibility >= 0.5))/2, 4), -1.0) + 0.0 AS centre_x FROM objects GROUP BY 1,2")
+@query("a14_visibility_ratio", with_views("objects") + "SELECT scene_id, label, round(avg(CASE WHEN visibility >= 0.5 THEN 1.0 ELSE 0.0 END), 4) AS ratio, " + ", ".join(f"coalesce(round((min(c{c}) FILTER (visibility >= 0.5) + max(c{c}) FILTER (visibility >= 0.5))/2, 4), -1.0) + 0.0 AS centre_{c}" for c in "xyz") + " FROM objects GROUP BY 1,2")
 def visibility_ratio(spark, sf):
-    """Share of visible points and the middle of the visible ones, -1 where none is."""
-    seen = F.when(F.col("visibility") >= 0.5, F.col("cx"))
-    return objects(spark, sf).groupBy("scene_id", "label").agg(
-        F.round(F.avg(F.when(F.col("visibility") >= 0.5, 1.0).otherwise(0.0)), 4).alias("ratio"), (F.coalesce(F.round((F.min(seen) + F.max(seen)) / 2, 4), F.lit(-1.0)) + 0.0).alias("centre_x")
-    )
+    """Share of visible points and the middle of the visible ones' bounds, -1 in all three coordinates where none is."""
+    seen = lambda c: F.when(F.col("visibility") >= 0.5, F.col(f"c{c}"))
+    middle = lambda c: (F.coalesce(F.round((F.min(seen(c)) + F.max(seen(c))) / 2, 4), F.lit(-1.0)) + 0.0).alias(f"centre_{c}")
+    return objects(spark, sf).groupBy("scene_id", "label").agg(F.round(F.avg(F.when(F.col("visibility") >= 0.5, 1.0).otherwise(0.0)), 4).alias("ratio"), *[middle(c) for c in "xyz"])
 
 
-@query("a15_first_frame", with_views("objects") + "SELECT scene_id, label, coalesce(CAST(min(frame_id) FILTER (visibility >= 0.1) AS VARCHAR), '-1') AS first_frame FROM objects GROUP BY 1,2")
+_SHOTS = "shots AS (SELECT scene_id, label, visibility, vec_frame, dense_rank() OVER (PARTITION BY scene_id ORDER BY vec_frame) - 1 AS i FROM (SELECT *, CAST(floor(object_id / 20) AS BIGINT) AS vec_frame FROM objects))"
+
+
+@query("a15_first_frame", with_views("objects", rest=_SHOTS) + "SELECT scene_id, label, coalesce(CAST(min(vec_frame) FILTER (visibility >= 0.1 AND i % 20 = 0) AS VARCHAR), '-1') AS first_frame FROM shots GROUP BY 1,2")
 def first_frame(spark, sf):
-    return objects(spark, sf).groupBy("scene_id", "label").agg(F.coalesce(F.min(F.when(F.col("visibility") >= 0.1, F.col("frame_id"))).cast("string"), F.lit("-1")).alias("first_frame"))
+    """Of every 20th frame of a scene the first where a label is seen, -1 where it never is."""
+    from pyspark.sql import Window
+
+    o = objects(spark, sf).withColumn("shot", F.floor(F.col("object_id") / 20))
+    frames = o.select("scene_id", "shot").distinct()
+    kept = frames.withColumn("i", F.row_number().over(Window.partitionBy("scene_id").orderBy("shot")) - 1).where("i % 20 = 0").select("scene_id", "shot", F.lit(True).alias("kept"))
+    o = o.join(kept, ["scene_id", "shot"], "left")
+    seen = F.when((F.col("visibility") >= 0.1) & F.col("kept"), F.col("shot"))
+    return o.groupBy("scene_id", "label").agg(F.coalesce(F.min(seen).cast("string"), F.lit("-1")).alias("first_frame"))
 
 
 @query("a16_floor_percentile", with_views("objects", rest="q AS (SELECT scene_id, quantile_cont(z, 0.4) AS p40 FROM objects GROUP BY 1)") + "SELECT o.scene_id, round(any_value(p40), 6) + 0.0 AS p40, count(*) FILTER (z < p40 + 0.1) AS n_floor FROM objects o JOIN q ON o.scene_id = q.scene_id GROUP BY o.scene_id")
@@ -414,12 +444,14 @@ def voxels(spark, sf):
     return o.join(b, "scene_id").groupBy("scene_id", *cells).agg(F.min("object_id").alias("first_object"))
 
 
-@query("j12_detection_merge", with_views("objects", rest=FUNIQUE) + "SELECT scene_id, object_id, label, 'frame' AS origin FROM seen WHERE frame_id = 0 UNION ALL SELECT scene_id, object_id, label, 'scene' AS origin FROM objects o WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.frame_id = 0 AND s.object_id = o.object_id AND s.scene_id = o.scene_id)")
+@query("j12_detection_merge", with_views("objects", rest=FUNIQUE + ", fr AS (SELECT DISTINCT scene_id, frame_id FROM objects)") + """SELECT scene_id, frame_id, object_id, label, 'frame' AS origin FROM seen UNION ALL
+SELECT o.scene_id, fr.frame_id, object_id, label, 'scene' AS origin FROM objects o JOIN fr ON fr.scene_id = o.scene_id WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.frame_id = fr.frame_id AND s.object_id = o.object_id AND s.scene_id = o.scene_id)""")
 def detection_merge(spark, sf):
-    """A frame's detections and the scene objects that are not among them."""
+    """Each frame's detections and the scene objects that are not among them."""
     o = objects(spark, sf).select("scene_id", "object_id", "label")
-    seen = lookup.visible(objects(spark, sf)).where("frame_id = 0").select("scene_id", "object_id", "label")
-    rest = o.join(seen, ["scene_id", "object_id"], "left_anti").select("scene_id", "object_id", "label")
+    seen = lookup.visible(objects(spark, sf)).select("scene_id", "frame_id", "object_id", "label")
+    every = o.join(objects(spark, sf).select("scene_id", "frame_id").distinct(), "scene_id")
+    rest = every.join(seen, ["scene_id", "frame_id", "object_id"], "left_anti").select("scene_id", "frame_id", "object_id", "label")
     return seen.withColumn("origin", F.lit("frame")).unionByName(rest.withColumn("origin", F.lit("scene")))
 
 
@@ -445,7 +477,7 @@ def visibility_scores(spark, sf):
 
 
 @query("g06_direction_modes", with_views("objects") + """SELECT object_id, CASE WHEN abs(x) > abs(y) THEN CASE WHEN x > 0 THEN 'right' ELSE 'left' END ELSE CASE WHEN y > 0 THEN 'front' ELSE 'back' END END AS four,
-  CASE WHEN abs(cx) >= abs(cy) AND abs(cx) >= abs(cz) THEN CASE WHEN cx > 0 THEN 'right' ELSE 'left' END WHEN abs(cy) >= abs(cz) THEN CASE WHEN cy < 0 THEN 'up' ELSE 'down' END ELSE CASE WHEN cz > 0 THEN 'front' ELSE 'back' END END AS six,
+  CASE WHEN abs(cx) >= abs(cy) AND abs(cx) >= abs(cz) THEN CASE WHEN cx > 0 THEN 'right' ELSE 'left' END WHEN abs(cz) >= abs(cy) THEN CASE WHEN cz > 0 THEN 'front' ELSE 'back' END ELSE CASE WHEN cy < 0 THEN 'up' ELSE 'down' END END AS six,
   CASE WHEN abs(z) > 0.5*sqrt(x*x+y*y) THEN CASE WHEN z > 0 THEN 'up' ELSE 'down' END ELSE """ + sql_dir8("x", "y") + " END AS detailed FROM objects")
 def direction_modes(spark, sf):
     """The four-way, six-way and detailed forms."""
@@ -483,10 +515,13 @@ def box_corners(spark, sf):
     return o.select("object_id", *[g.tidy(F.col(f"p.{c}"), 4).alias(f"p{c}") for c in "xyz"])
 
 
-@query("o06_recovery_evidence", with_views("objects", rest="r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY CASE WHEN label = 'l3' THEN 0 ELSE 1 END, visibility DESC, object_id) AS k FROM objects)") + "SELECT scene_id, object_id, label, CAST(k AS INT) AS k FROM r WHERE k <= 5")
+@query("o06_recovery_evidence", with_views("objects", rest="r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY CASE WHEN label = 'l3' THEN 0 ELSE 1 END, label, CAST(object_id AS VARCHAR)) AS k FROM objects)") + "SELECT scene_id, object_id, label, CAST(k AS INT) AS k FROM r WHERE k <= 5")
 def recovery_evidence(spark, sf):
-    """The objects shown for a question that failed, relevant ones first."""
-    from pyspark.sql import Window
+    """The scene's objects shown for a question that failed: relevant ones first, then by label and id as text."""
+    return lookup.evidence(objects(spark, sf), ["scene_id"], ["l3"], 5, F.col("label"), F.col("object_id").cast("string")).select("scene_id", "object_id", "label", "k")
+
 
-    w = Window.partitionBy("scene_id").orderBy(F.when(F.col("label") == "l3", 0).otherwise(1), F.desc("visibility"), "object_id")
-    return objects(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 5").select("scene_id", "object_id", "label", "k")
+@query("o07_frame_evidence", with_views("objects", rest="r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_id ORDER BY CASE WHEN label IN ('l3', 'l5') THEN 0 ELSE 1 END, visibility DESC, CAST(object_id AS VARCHAR)) AS k FROM objects)") + "SELECT scene_id, frame_id, object_id, label, CAST(k AS INT) AS k FROM r WHERE k <= 3")
+def frame_evidence(spark, sf):
+    """A frame's objects: relevant ones first, then the best seen, then by id as text."""
+    return lookup.evidence(objects(spark, sf), ["scene_id", "frame_id"], ["l3", "l5"], 3, F.desc("visibility"), F.col("object_id").cast("string")).select("scene_id", "frame_id", "object_id", "label", "k")

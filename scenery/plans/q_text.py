@@ -33,9 +33,9 @@ def label_normalise(spark, sf):
     return p.select("p_name", text.normalise_label(F.col("p_name")).alias("label"), text.compact_key(F.col("p_name")).alias("key"))
 
 
-@query("f06_trigram_jaccard", "WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part WHERE length(p_name) >= 3 AND length(p_type) >= 3), g AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(a)-1), lambda i: substr(a, CAST(i AS BIGINT), 3))) AS x, list_distinct(list_transform(range(1, length(b)-1), lambda i: substr(b, CAST(i AS BIGINT), 3))) AS y FROM p) SELECT p_partkey, round(len(list_intersect(x,y)) * 1.0 / len(list_distinct(list_concat(x,y))), 6) AS jaccard FROM g")
+@query("f06_trigram_jaccard", "WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part), g AS (SELECT p_partkey, CASE WHEN length(a) < 3 THEN [a] ELSE list_distinct(list_transform(range(1, length(a)-1), lambda i: substr(a, CAST(i AS BIGINT), 3))) END AS x, CASE WHEN length(b) < 3 THEN [b] ELSE list_distinct(list_transform(range(1, length(b)-1), lambda i: substr(b, CAST(i AS BIGINT), 3))) END AS y FROM p) SELECT p_partkey, round(len(list_intersect(x,y)) * 1.0 / len(list_distinct(list_concat(x,y))), 6) AS jaccard FROM g")
 def trigram_jaccard(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").where("length(p_name) >= 3 AND length(p_type) >= 3")
+    p = spark.read.parquet(f"{sf}/part.parquet")
     return p.select("p_partkey", F.round(text.jaccard(text.trigrams(F.col("p_name")), text.trigrams(F.col("p_type"))), 6).alias("jaccard"))
 
 

@@ -35,7 +35,7 @@ def _poses(at: At) -> str:
     return f"""
     SELECT scene_id, vec_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY vec_id) AS INT) AS frame_id, ax, ay, az, tx, ty, tz
     FROM (SELECT vec_id % 20 AS scene_id, vec_id, e17 * 2 AS ax, e18 * 2 AS ay, e19 * 2 AS az, e20 * 5 AS tx, e21 * 5 AS ty, e22 * 5 AS tz
-          FROM (SELECT vec_id, label, {_numbers(at)} FROM embeddings) AS numbered WHERE label < 4) AS posed"""
+          FROM (SELECT vec_id, label, {_numbers(at)} FROM embeddings) AS numbered) AS posed"""
 
 
 ROLLOUTS = """

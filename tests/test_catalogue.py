@@ -3,6 +3,7 @@
 import math
 import subprocess
 import sys
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -18,7 +19,7 @@ def canonical(rows):
             return ""
         if isinstance(v, bool):
             return str(v)
-        return f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
+        return f"{float(v):.6g}" if isinstance(v, (int, float, Decimal)) else str(v)
 
     return sorted(tuple(one(v) for v in r) for r in rows)
 

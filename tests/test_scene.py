@@ -81,7 +81,7 @@ def test_single_direction(spark):
 
 def test_motion(spark):
     m = lambda *v: one(spark, g.motion(*lits(*v)))
-    assert (m(8, 9, 0, 0), m(-8, 0, 0, 0), m(7.9, 0, 0, 0), m(0, 1, 0, 0), m(0, 1, 0, 1), m(0, 0, -1, 0.2), m(0, 0.5, 0, -1)) == ("left", "right", "same", "right", "right-forward", "up", "right-backward")
+    assert (m(8, 9, 0, 0), m(-8, 0, 0, 0), m(7.9, 0, 0, 0), m(0, 1, 0, 0), m(0, 1, 0, 1), m(0, 0, -1, 0.2), m(0, 0.5, 0, -1)) == ("left", "right", "same", "right", "right-front", "up", "right-back")
 
 
 def test_rotation_turns_and_inverts(spark):
@@ -120,3 +120,10 @@ def test_zip_columns_refuses_unequal_values(spark):
     assert lookup.zip_columns(a, b, "k").first().asDict() == {"k": 1, "v": 5, "a": "x", "b": "y"}
     with pytest.raises(Exception, match="differ in v"):
         lookup.zip_columns(a, b.withColumn("v", F.lit(6)), "k").collect()
+
+
+def test_ties_of_axes(spark):
+    """Of equal axes x comes first, then z, then y; two equal ones are named lateral, depth, vertical."""
+    assert [one(spark, g.dir6(*lits(*v))) for v in ((1, 1, 1), (0, 1, 1), (0, -2, 1), (0, 0, 0))] == ["right", "front", "up", "left"]
+    m = lambda *v: one(spark, g.motion(*lits(0, *v)))
+    assert [m(1, 1, 1), m(0, 1, 1), m(1, -1, 0), m(0, 0, 1e-9)] == ["right-front", "front-down", "right-up", "same"]
