@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenery.functions.vocabulary import REJECTED_TASKS, TASK_ALIASES
 from scenery.operators.lookup import is_null_like, same_label
 
 # Stages of failure by error code.
@@ -76,21 +77,28 @@ def may_recover(task: Column, code: Column, tasks: list[str], codes: list[str])
     return task.isin(tasks) & code.isin(codes)
 
 
-# Names that mean another task, and names that are refused.
-TASK_ALIASES = {"relativedirectioneasy": "relative_direction_hard", "relativedirectionmedium": "relative_direction_hard", "counting": "object_counting", "depthorder": "depth_order_obj_obj"}
-REJECTED = ("positionobjobj", "positionobjreg", "positionregreg")
-
-
-def resolve_task(name: Column, supported: list[str]) -> Column:
-    """status and task of a name: empty, rejected, exact, alias or unsupported.
+def resolve_task(name: Column, supported: list[str], aliases: dict[str, str] = TASK_ALIASES, refused: tuple[str, ...] = REJECTED_TASKS) -> Column:
+    """status and task of a name: empty, rejected, exact, alias, fuzzy or unsupported, by the first stage that applies.
 
     A name is refused when it is part of a refused one or holds one, before exact names are
-    looked at; so a short name such as `position` is refused.
+    looked at; so a short name such as `position` is refused. fuzzy: the first supported
+    task that the name is part of, or that is part of the name.
     """
     key = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[\s_()\[\]{}<>-]", "")
-    refused = F.exists(F.array(*[F.lit(r) for r in REJECTED]), lambda r: r.contains(key) | key.contains(r))
-    exact = F.create_map(*[F.lit(x) for s in supported for x in (s.replace("_", ""), s)])
-    alias = F.create_map(*[F.lit(x) for kv in TASK_ALIASES.items() for x in kv])
-    task = F.coalesce(F.try_element_at(exact, key), F.try_element_at(alias, key))
-    status = F.when(key == "", "empty").when(refused, "rejected").when(F.try_element_at(exact, key).isNotNull(), "exact").when(task.isNotNull(), "alias").otherwise("unsupported")
-    return F.struct(status.alias("status"), F.when(status.isin("exact", "alias"), task).alias("task"))
+    compact = [s.replace("_", "") for s in supported]
+    meets = lambda x: x.contains(key) | key.contains(x)
+    no = F.exists(F.array(*[F.lit(r) for r in refused]), meets) if refused else F.lit(False)
+    lookup = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    exact, alias = lookup(dict(zip(compact, supported, strict=True))), lookup(aliases)
+    near = F.get(F.filter(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in zip(compact, supported, strict=True)]), lambda x: meets(x["c"])), F.lit(0))["s"]
+    task = F.when(no | (key == ""), None).otherwise(F.coalesce(exact, alias, near))
+    status = F.when(key == "", "empty").when(no, "rejected").when(exact.isNotNull(), "exact").when(alias.isNotNull(), "alias").when(near.isNotNull(), "fuzzy").otherwise("unsupported")
+    return F.struct(status.alias("status"), task.alias("task"))
+
+
+def resolve_alias(name: Column, aliases: dict[str, str]) -> Column:
+    """status (empty, exact, alias or unsupported) and canonical form of a name of a group or a summary."""
+    key = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}_]", "")
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), key)
+    status = F.when(key == "", "empty").when(found.isNull(), "unsupported").when(found == key, "exact").otherwise("alias")
+    return F.struct(status.alias("status"), found.alias("canonical"))

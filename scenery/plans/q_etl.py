@@ -89,12 +89,6 @@ def answer_rules(spark, sf):
     return p.select("scene_id", "frame_1", "frame_2", "error", rules.failure_stage(F.when(F.col("error").isNotNull(), "INVALID_ANSWER").otherwise("NONE")).alias("stage"))
 
 
-@query("f04_task_resolution", "SELECT DISTINCT p_type, CASE WHEN p_type = '' THEN 'empty' ELSE 'unsupported' END AS status FROM part")
-def task_resolution(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").select("p_type").distinct()
-    return p.select("p_type", rules.resolve_task(F.col("p_type"), ["object_counting", "room_size"])["status"].alias("status"))
-
-
 @query("t20_recovery_gate", "SELECT o_orderkey, o_orderpriority LIKE '1%' AND o_orderstatus IN ('F','O') AS may_recover FROM orders")
 def recovery_gate(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")

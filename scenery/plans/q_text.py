@@ -44,7 +44,7 @@ def label_resolution(spark, sf):
     """F7 to F9 and J14 on distinct labels; no SQL form, tested by hand-made pairs."""
     p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_type")
     pool = ["standard brass", "small tin", "economy steel", "promo nickel", "large copper", "medium plated brass"]
-    return fuzzy.resolve_labels(p, "p_type", pool, 0.5).select("p_partkey", "p_type", "resolved")
+    return fuzzy.resolve_labels(p, "p_type", pool).select("p_partkey", "p_type", "resolved")
 
 
 @query("f13_frame_id", "SELECT DISTINCT url, try_cast(nullif(regexp_extract(url, '(\\d+)(?:\\.[A-Za-z0-9]+)?$', 1), '') AS INT) AS frame_id FROM pages")
