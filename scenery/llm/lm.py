@@ -11,7 +11,7 @@ Counting, training and scoring each read every text once, in numpy over Arrow ba
 3. Scoring: a context of two words predicts a vector; its products with the target
    vectors, in batches, give normalised probabilities.
 
-The model's vocabulary grows with the corpus: about V^(2/3) units for V distinct words,
+The model's vocabulary grows with the corpus: about 2 V^GROWTH units for V distinct words,
 the most frequent words, the end token, and hash buckets for all other words. A word of
 a bucket gets the bucket's probability times its smoothed share of the bucket, one share
 being left for unseen words, so the probabilities of all words add up to one. Units fall
@@ -50,14 +50,17 @@ END_ID = 0
 DIM = 16
 #: Words that are units of their own, at least, where there are so many.
 LEAST_WORDS = 1024
+#: The power of the distinct words by which that number grows.
+GROWTH = 0.6
 #: Words whose counts the workers hold, unless the model's own words are more.
 KNOWN_WORDS = 1 << 17
 ROUNDS = 4
 #: Tokens of a shard in a round, at least, and for each parameter of the model.
 SHARD_TOKENS = 1_000_000
-TOKENS_PER_PARAMETER = 8
-GROUP_NOISE, UNIT_NOISE = 16, 4
+TOKENS_PER_PARAMETER = 2
+GROUP_NOISE, UNIT_NOISE = 16, 2
 BATCH = 4096
+CHUNK = 2048  # contexts that are normalised at once
 RATE = 0.1
 SEED = 7
 PIECE = 4 << 20  # bytes of a text that are split into words at once
@@ -159,7 +162,7 @@ class Vocabulary:
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("n_end")).first()
-    n_words = max(LEAST_WORDS, math.ceil(total["v"] ** (2 / 3)))
+    n_words = max(LEAST_WORDS, math.ceil(total["v"] ** GROWTH))
     top = most_frequent(counts, max(KNOWN_WORDS, n_words))
     n_words = min(n_words, len(top))
     n_buckets = max(1, min(n_words, (total["v"] - n_words) // 8))
@@ -206,7 +209,7 @@ class Model:
         return sum(getattr(self, k).size for k in self.NAMES)
 
     def values(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES]).astype(np.float64)
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
     def load(self, values: np.ndarray) -> Model:
         at = 0
@@ -224,7 +227,7 @@ class Model:
         """
         rng = np.random.default_rng([SEED, seed])
         seen = {k: np.full(getattr(self, k).shape, 1e-3 if k == "C" else 1e-2, np.float32) for k in self.NAMES}
-        groups, total, spread = self.groups, 0, np.arange(DIM)
+        groups, total, mass = self.groups, 0, np.cumsum(self.mass)
         by_group = np.arange(len(self.noise)).reshape(self.width, groups).T.ravel()
         cum = np.cumsum(self.noise[by_group])
         start = np.r_[0, cum[self.width - 1 :: self.width][:-1]]
@@ -232,14 +235,19 @@ class Model:
         off_unit = np.log(UNIT_NOISE * self.own).astype(np.float32)
         bias = np.where(np.isfinite(self.b), self.b, 0).astype(np.float32)
 
-        def scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-            sums = np.bincount((at[:, None] * DIM + spread).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
-            return sums / np.maximum(np.bincount(at, minlength=n), 1)[:, None]
-
-        def step(k: str, g: np.ndarray, to: np.ndarray) -> None:
-            g = g.astype(np.float32)
-            seen[k] += g * g
-            to += rate * g / np.sqrt(seen[k])
+        def step(at: np.ndarray, *moved: tuple[str, np.ndarray, np.ndarray]) -> None:
+            """Moves the rows that were used, each by the mean of its gradients; the work is in the uses, not in the table."""
+            order = np.argsort(at, kind="stable")
+            rows = at[order]
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            uses = np.diff(np.r_[first, len(rows)]).astype(np.float32)
+            rows = rows[first]
+            for k, to, values in moved:
+                sums = np.add.reduceat(values[order], first, axis=0)
+                g = sums / (uses[:, None] if sums.ndim == 2 else uses)
+                now = seen[k][rows] + g * g
+                seen[k][rows] = now
+                to[rows] += rate * g / np.sqrt(now)
 
         for x in batches:
             w2, w1, t = x[:, 0], x[:, 1], x[:, 2]
@@ -247,13 +255,12 @@ class Model:
             g = t % groups
             r1, r2 = self.R[w1], self.R[w2]
             h = r1 @ self.C[0] + r2 @ self.C[1]
-            k = np.minimum(np.searchsorted(np.cumsum(self.mass), rng.random(GROUP_NOISE)), groups - 1)
+            k = np.minimum(np.searchsorted(mass, rng.random(GROUP_NOISE)), groups - 1)
             up = _sigmoid(off_group[g] - np.einsum("ij,ij->i", h, self.G[g]) - self.a[g])
             down = -_sigmoid(h @ self.G[k].T + self.a[k] - off_group[k])
             dh = up[:, None] * self.G[g] + down @ self.G[k]
-            at = np.r_[g, np.repeat(k, len(x))]
-            dg = scatter(at, np.concatenate([up[:, None] * h, (down.T[:, :, None] * h).reshape(-1, DIM)]), groups)
-            da = np.bincount(at, np.r_[up, down.T.ravel()], groups) / np.maximum(np.bincount(at, minlength=groups), 1)
+            # Noise groups are shared, so each one's mean over the minibatch stands for as many uses.
+            dg, da = np.concatenate([up[:, None] * h, down.T @ h / len(x)]), np.r_[up, down.mean(axis=0)].astype(np.float32)
             drawn = start[g][:, None] + rng.random((len(x), UNIT_NOISE)) * self.mass[g][:, None]
             last = (g[:, None] + 1) * self.width - 1
             u = np.concatenate([t[:, None], by_group[np.clip(np.searchsorted(cum, drawn), last - self.width + 1, last)]], axis=1)
@@ -263,14 +270,14 @@ class Model:
             pull[:, 0] += 1
             # A padding unit that rounding drew has no probability and learns nothing.
             pull *= self.noise[u] > 0
+            pull = pull.astype(np.float32)
             dh += np.einsum("ik,ikj->ij", pull, q)
-            flat = u.ravel()
-            dq = scatter(flat, (pull[:, :, None] * h[:, None, :]).reshape(-1, DIM), len(self.noise))
-            db = np.bincount(flat, pull.ravel(), len(self.noise)) / np.maximum(np.bincount(flat, minlength=len(self.noise)), 1)
-            dr = scatter(np.r_[w1, w2], np.concatenate([dh @ self.C[0].T, dh @ self.C[1].T]), len(self.noise))
-            dc = np.stack([r1.T @ dh, r2.T @ dh]) / len(x)
-            for name, grad, to in (("R", dr, self.R), ("Q", dq, self.Q), ("G", dg, self.G), ("C", dc, self.C), ("b", db, bias), ("a", da, self.a)):
-                step(name, grad, to)
+            step(u.ravel(), ("Q", self.Q, (pull[:, :, None] * h[:, None, :]).reshape(-1, DIM)), ("b", bias, pull.ravel()))
+            step(np.r_[g, k], ("G", self.G, dg.astype(np.float32)), ("a", self.a, da))
+            step(np.r_[w1, w2], ("R", self.R, np.concatenate([dh @ self.C[0].T, dh @ self.C[1].T]).astype(np.float32)))
+            dc = np.stack([r1.T @ dh, r2.T @ dh]).astype(np.float32) / len(x)
+            seen["C"] += dc * dc
+            self.C += rate * dc / np.sqrt(seen["C"])
         self.b = np.where(np.isfinite(self.b), bias, self.b)
         return total
 
@@ -281,17 +288,20 @@ class Model:
         g, out = t % self.groups, np.empty(len(t), np.float64)
 
         def share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            top = logits.max(axis=1)
-            return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            own = logits[np.arange(len(at)), at]
+            # Logits are logs of shares and products of short vectors: far from the range's ends.
+            np.exp(np.clip(logits, -np.inf, 80, out=logits), out=logits)
+            return own - np.log(logits.sum(axis=1))
 
-        for i in range(0, len(t), 8192):
-            out[i : i + 8192] = share(h[i : i + 8192] @ self.G.T + self.a, g[i : i + 8192])
+        for i in range(0, len(t), CHUNK):
+            out[i : i + CHUNK] = share(h[i : i + CHUNK] @ self.G.T + self.a, g[i : i + CHUNK])
         order = np.argsort(g, kind="stable")
         cut = np.searchsorted(g[order], np.arange(self.groups + 1))
         for k in range(self.groups):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                out[at] += share(h[at] @ self.Q[k :: self.groups].T + self.b[k :: self.groups], t[at] // self.groups)
+            target, bias = np.ascontiguousarray(self.Q[k :: self.groups].T), self.b[k :: self.groups]
+            for i in range(cut[k], cut[k + 1], CHUNK):
+                at = order[i : min(i + CHUNK, cut[k + 1])]
+                out[at] += share(h[at] @ target + bias, t[at] // self.groups)
         return out / LN10
 
 
@@ -339,7 +349,7 @@ def _pieces_of(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, at_onc
         yield words, np.array(starts), np.array(before, np.int32).reshape(-1, 2), np.array(owner), np.array(last)
 
 
-PARAMETERS = "part int, n double, v array<double>"
+PARAMETERS = "part int, n double, v array<float>"
 #: Parameters that are averaged together, as one row.
 PART = 4096
 
@@ -370,7 +380,7 @@ def _trainer(vocabulary, model, turn: int, batch_size: int):
             if model is not None:
                 own.load(model.value)
             n = own.train(minibatches(), shard * ROUNDS + turn, RATE / (1 + turn))
-            values = np.where(np.isfinite(values := own.values()), values, 0.0) * n
+            values = np.where(np.isfinite(values := own.values()), values, 0.0).astype(np.float32)
             parts = [values[i : i + PART] for i in range(0, len(values), PART)]
             cut = pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32())
             columns = [pa.array(range(len(parts)), pa.int32()), pa.array([float(n)] * len(parts)), pa.ListArray.from_arrays(cut, pa.array(values))]
@@ -380,18 +390,19 @@ def _trainer(vocabulary, model, turn: int, batch_size: int):
 
 
 def _sum_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up what a task has of each part, so that little is left to shuffle."""
+    """The mean of each part over its shards, weighted by their tokens; all copies of a part are in one task."""
     sums: dict[int, list] = {}
     for batch in batches:
         for part, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own = v.values.to_numpy(zero_copy_only=False)
+            own = v.values.to_numpy(zero_copy_only=False).astype(np.float64) * n
             if part in sums:
                 sums[part][0] += n
-                sums[part][1] = sums[part][1] + own
+                sums[part][1] += own
             else:
                 sums[part] = [n, own]
     for part, (n, v) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([v], pa.list_(pa.float64()))], names=["part", "n", "v"])
+        mean = (v / n).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([mean], pa.list_(pa.float32()))], names=["part", "n", "v"])
 
 
 def fit(train: DataFrame, vocabulary, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -406,13 +417,13 @@ def fit(train: DataFrame, vocabulary, doc_id: str = "doc_id", text: str = "text"
     now = None
     for turn in range(ROUNDS):
         # One row at a time is taken from a batch, so that the next shard's rows stay for its own run.
-        own = rows.where(F.col("turn") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "text")
+        own = rows.where(F.col("turn") == turn).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select("shard", "text")
         parts = materialise(own.mapInArrow(_trainer(vocabulary, now, turn, batch_size), PARAMETERS), "lm-shards")
         done = parts.repartition(F.col("part")).mapInArrow(_sum_parts, PARAMETERS)
         found = sorted(done.collect(), key=lambda r: r["part"])
         discard(parts)
         if found:
-            model.load(np.concatenate([np.array(r["v"]) / r["n"] for r in found]))
+            model.load(np.concatenate([np.array(r["v"]) for r in found]))
             now = spark.sparkContext.broadcast(model.values())
     return model
 
