@@ -3,13 +3,18 @@
 Every document gets a vector of four transformed statistics. Within each language
 and source the minimum-covariance-determinant estimate (location and scatter of the
 tightest share of the vectors) is found by concentration steps, and documents far
-from it in Mahalanobis distance are rejected. All of it is DataFrame operations:
-one pass over the texts, then passes over four numbers per document.
-
-Defined results: a null or empty text has no words and fails the base rule; null
-languages and sources are groups of their own; groups with too few documents are
-judged by their language's pooled estimate, then by all documents'; with too few
-documents in all, only the base rule speaks. Repeated rows are judged alike.
+from it in Mahalanobis distance are rejected. Steps go on from several starts until no
+group's determinant falls any more; the tightest end is taken. All of it is DataFrame
+operations: one pass over the texts, then passes over four numbers per document.
+
+Defined results: a null or empty text has no words and fails the base rule; a text of
+any length is read whole; null languages and sources are groups of their own; groups
+with too few documents are judged by their language's pooled estimate, then by all
+documents'; with too few documents in all, only the base rule speaks. A document at the
+cutoff is kept; of equally tight ends the first start's is taken; rows at the same
+distance are in or out of the tightest share together; repeated rows are judged alike
+and each counts in the estimates. Input columns named as the statistics, distance or
+kept are replaced, others are returned as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenery.llm.common import SPACE, chi_square, materialise, nullable_key, words_of
+from scenery.llm.common import SPACE, chi_square, discard, materialise, nullable_key, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -25,8 +30,9 @@ MAX_REPEATED_PERCENT = 50
 #: Up to so many repeated windows are looked up one by one; the result is the same either way.
 FEW = 40
 
-#: Smallest scatter of each statistic; a statistic that hardly varies must not reject on trifles.
-FLOORS = (0.06, 0.08, 0.15, 0.15)
+#: Smallest scatter of each statistic; a statistic that hardly varies must not reject on trifles. On the angular scale
+#: a share out of n varies by 1 / (2 sqrt n): 0.1 is that of 25 lines or words, fewer than the offsets below leave.
+FLOORS = (0.06, 0.08, 0.10, 0.10)
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -104,7 +110,7 @@ def _levels(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Two starting estimates per group: medians with interquartile scatters, and medians with the floors."""
+    """Three starting estimates per group: medians with interquartile scatters, medians with the floors, and plain moments."""
     long = rows.select("grp", F.posexplode(F.array(*X)).alias("k", "x")).select("grp", "k", F.round(F.col("x") * 500).cast("long").alias("b"))
     w = Window.partitionBy("grp", "k").orderBy("b")
     cum = long.groupBy("grp", "k", "b").agg(F.count(F.lit(1)).alias("n")).select(
@@ -116,7 +122,8 @@ def _starts(rows: DataFrame) -> DataFrame:
     one = lambda start, s: wide.select(
         "grp", F.lit(start).alias("start"), *[f"m{i}" for i in range(P)], *[(s(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
     )
-    return one(0, lambda i: F.pow(F.col(f"s{i}"), 2)).unionByName(one(1, lambda i: F.lit(FLOORS[i] ** 2)))
+    plain = rows.groupBy("grp").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in CELLS]).withColumn("start", F.lit(2))
+    return one(0, lambda i: F.pow(F.col(f"s{i}"), 2)).unionByName(one(1, lambda i: F.lit(FLOORS[i] ** 2))).unionByName(plain)
 
 
 def _factor(estimates: DataFrame) -> DataFrame:
@@ -164,7 +171,7 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, keep: float) -> DataFram
     )
 
 
-def estimate(statistics: DataFrame, lang: str = "lang", source: str = "source", steps: int = 4, keep: float = 0.7, level: float = 0.99999, least: int = 100) -> DataFrame:
+def estimate(statistics: DataFrame, lang: str = "lang", source: str = "source", steps: int = 30, keep: float = 0.7, level: float = 0.99999, least: int = 100) -> DataFrame:
     """One row per language and source: the estimate its documents are judged by, and the cutoff."""
     rows = _groups(statistics.where("n_words > 0"), F.col(lang), F.col(source)).withColumns(vector())
     rows = materialise(rows.select("__lang", "__source", *X), "quality-vectors")
@@ -174,8 +181,14 @@ def estimate(statistics: DataFrame, lang: str = "lang", source: str = "source",
     used = levels.select("grp").distinct()
     rows = rows.join(pools.join(used, "grp", "left_semi"), ["__lang", "__source"])
     now = materialise(_factor(_starts(rows)), "quality-start")
+    spread = None
     for _ in range(steps):
-        now = materialise(_factor(_concentrate(rows, now, keep)), "quality-step")
+        last, now = now, materialise(_factor(_concentrate(rows, now, keep)), "quality-step")
+        discard(last)
+        # A concentration step never widens the share it settles on; where none narrows it, all are settled.
+        before, spread = spread, now.agg(F.sum("logdet")).first()[0]
+        if spread is None or (before is not None and spread >= before - 1e-9 * abs(before)):
+            break
     best = Window.partitionBy("grp").orderBy("logdet", "start")
     now = now.withColumn("__k", F.row_number().over(best)).where("__k = 1")
     # The scatter of the nearest share is too small for all; its edge tells by how much.

@@ -43,6 +43,59 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == set(range(200))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quality_estimate_is_the_exact_one(spark, seed):
+    """Groups of 15: the share of 11 vectors with the least determinant, found among all shares of that size."""
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(2):
+        for i in range(15):
+            far = i >= 12
+            n = int(rng.integers(200, 400))
+            rows.append((f"g{g}", n, int(n * rng.normal(5 + 4 * far, 0.2)), int(rng.integers(0, 20) + 400 * far), 30, int(rng.integers(0, 3) + 9 * far), int(rng.integers(0, 30) + 120 * far)))
+    schema = "source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "'en' AS lang", "false AS base_failed")
+    got = {r["__source"]: r for r in quality.estimate(df, keep=0.73, least=10).collect()}
+    vectors = df.select("source", *[c.alias(f"x{i}") for i, c in enumerate(quality.vector().values())]).collect()
+    floor = np.diag(np.square(quality.FLOORS))
+    for g in range(2):
+        x = np.array([list(r)[1:] for r in vectors if r["source"] == f"g{g}"])
+        dets = {s: np.linalg.det(np.cov(x[list(s)].T, bias=True) + floor) for s in combinations(range(15), 11)}
+        r = got[f"0g{g}"]
+        low = np.zeros((4, 4))
+        for i, j in quality.CELLS:
+            low[i, j] = r[f"l{i}{j}"]
+        best = min(dets, key=dets.get)
+        assert not {12, 13, 14} & set(best)
+        # Shares are cut at the edge of a narrow bin, so the found one may hold a vector or two more.
+        assert np.prod(np.diag(low)) ** 2 <= 1.15 * dets[best]
+        assert np.abs([r[f"m{i}"] for i in range(4)] - x[list(best)].mean(axis=0)).max() < 0.05
+    kept = [r["kept"] for r in quality.judge(df, quality.estimate(df, keep=0.73, least=10)).collect()]
+    assert [i % 15 >= 12 for i, k in enumerate(kept) if not k] == [True] * 6
+
+
+def test_quality_each_statistic_can_reject(spark):
+    """Long documents that differ from the rest in one statistic alone, none of which fails the base rule."""
+    base = [(i, data.prose(i, 400), "en", "a") for i in range(150)]
+    words = data.prose(2000, 400).split()
+    lines = [" ".join(words[i : i + 8]) for i in range(0, 400, 8)]
+    odd = {
+        900: " ".join(w * 3 for w in words),
+        901: " ".join(w + "##" for w in words),
+        902: "\n".join(lines[:28] + ["so it is"] * 22),
+        903: " ".join(words[:210] + words[:90] + words[300:]),
+    }
+    df = spark.createDataFrame(base + [(i, t, "en", "a") for i, t in odd.items()], "doc_id long, text string, lang string, source string")
+    stats = quality.base_statistics(df).drop("text")
+    got = {r["doc_id"]: r for r in quality.judge(stats, quality.estimate(stats)).collect()}
+    assert not any(got[i]["base_failed"] for i in odd)
+    assert {i for i, r in got.items() if not r["kept"]} == set(odd)
+
+
 def test_quality_few_rows_and_none(spark):
     few = quality.clean(data.documents(spark))
     assert few.columns == data.documents(spark).columns
