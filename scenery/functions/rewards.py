@@ -33,6 +33,13 @@ def policy_loss(new: Column, old: Column, advantage: Column, low: float = 0.2, h
     return F.when(advantage < 0, F.least(worse, -advantage * dual)).otherwise(worse), plain < bound
 
 
+def value_loss(pred: Column, returns: Column, old: Column, clip: float) -> tuple[Column, Column]:
+    """The larger squared error of a prediction and of the one held near the old value; and whether the clip took effect."""
+    held = F.greatest(old - clip, F.least(old + clip, pred))
+    plain, bound = (pred - returns) * (pred - returns), (held - returns) * (held - returns)
+    return F.greatest(plain, bound), plain < bound
+
+
 def count_reward(pred: Column, target: Column) -> Column:
     e = F.abs(pred - target)
     return F.when(e <= 1e-6, 1.0).when(e <= 1.0, 0.3).when(e <= 2.0, 0.1).otherwise(0.0)

@@ -257,3 +257,36 @@ def pad_groups(rows: DataFrame, key: str, world: int, batch: int, zeroed: list[s
     first = first.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.lit(pad - 1) - F.col("__i")) / n).cast("int")))).drop("__i")
     more = rows.join(first, key).withColumns({"is_padding": F.lit(True), "weight": F.lit(0)} | {c: F.lit(0).cast(rows.schema[c].dataType) for c in zeroed})
     return base.unionByName(more.select(*base.columns))
+
+
+def policy_losses(rows: DataFrame, key: str, new: str, old: str, advantage: str, mask: str, low: float = 0.2, high: float = 0.2, dual: float = 3.0) -> DataFrame:
+    """Adds gspo, the clipped loss with the mean log ratio of the sequence's unmasked tokens, and cispo, with clipped weights."""
+    from scenery.functions import rewards
+
+    d = F.col(new) - F.col(old)
+    mean = rows.where(mask).groupBy(key).agg(F.avg(d).alias("__g"))
+    out = rows.join(mean, key, "left").withColumn("__g", F.coalesce("__g", F.lit(0.0)) * F.col(mask).cast("int"))
+    weight = F.exp(F.greatest(F.lit(math.log(1 - low)), F.least(F.lit(math.log(1 + high)), d)))
+    gspo, _ = rewards.policy_loss(F.col("__g"), F.lit(0.0), F.col(advantage), low, high, dual)
+    return out.withColumns({"gspo": gspo, "cispo": -F.col(advantage) * F.col(new) * weight}).drop("__g")
+
+
+def micro_batches(rows: DataFrame, batch: str, length: str, order: str, budget: int) -> DataFrame:
+    """Adds micro (0 is the one with the largest sum of squared lengths), place, the row's position in that order, and origin, its own.
+
+    As many balanced parts as the budget asks for, at most one a row; sorting by origin undoes the order. One bounded batch per group.
+    """
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+
+    def one(pdf):
+        pdf = pdf.sort_values(order).reset_index(drop=True)
+        n = pdf[length].tolist()
+        parts = [p for p in karmarkar_karp(n, min(len(n), max(1, -(-sum(n) // budget)))) if p]
+        parts.sort(key=lambda p: (-sum(n[i] ** 2 for i in p), -min(p)))
+        micro, place, at = [0] * len(n), [0] * len(n), 0
+        for k, p in enumerate(parts):
+            for i in p:
+                micro[i], place[i], at = k, at, at + 1
+        return pdf.assign(micro=micro, place=place, origin=range(len(n)))
+
+    return rows.groupBy(batch).applyInPandas(one, f"{fields}, micro int, place int, origin int")

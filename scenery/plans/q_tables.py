@@ -111,10 +111,3 @@ def positions(spark, sf):
     n = _table(spark, sf, "nation").select("n_nationkey", "n_name")
     listed = spark.createDataFrame([(1,), (20,)], "n_nationkey int")
     return n.where("n_nationkey BETWEEN 5 AND 9").unionByName(n.join(listed, "n_nationkey", "left_semi"))
-
-
-@query("f33_difficulty", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0.9 WHEN o_orderstatus IN ('F', 'P') THEN 0.7 ELSE 0.5 END AS difficulty FROM orders")
-def difficulty(spark, sf):
-    """a fixed score, else one for answers in a set, else the task's default."""
-    o = _table(spark, sf, "orders")
-    return o.select("o_orderkey", F.coalesce(F.when(F.col("o_orderpriority").startswith("1"), 0.9), F.when(F.col("o_orderstatus").isin("F", "P"), 0.7), F.lit(0.5)).alias("difficulty"))

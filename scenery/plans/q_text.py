@@ -158,16 +158,6 @@ def null_like(spark, sf):
     return li.select("l_returnflag", "l_linestatus", lookup.is_null_like(F.col("l_returnflag")).alias("blank"), lookup.same_label(F.col("l_returnflag"), F.col("l_linestatus")).alias("same"))
 
 
-@query("f24_signature_dedup", with_views("rollouts") + "SELECT task, uid, min(pos) AS pos, count(*) AS duplicate_weight FROM rollouts GROUP BY task, uid")
-def signature_dedup(spark, sf):
-    """F24 with W10: rows with equal signatures fall together."""
-    from scenery.operators import batch
-
-    r = spark_view(spark, sf, "rollouts").select("uid", "pos", "task")
-    r = r.withColumn("signature", text.signature(task=F.col("task"), uid=F.col("uid")))
-    return batch.dedup_first(r, ["signature"], "pos").select("task", "uid", "pos", "duplicate_weight")
-
-
 @query("j11_canonical_labels", "WITH d(raw, canonical) AS (VALUES ('l0','chair'),('l1','table'),('l2','sofa')) SELECT vec_id, coalesce(canonical,'unknown') AS canonical FROM embeddings LEFT JOIN d ON raw = concat('l', label)")
 def canonical(spark, sf):
     """Labels through a small dimension with a default."""
