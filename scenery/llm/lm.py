@@ -58,9 +58,9 @@ ROUNDS = 4
 #: Tokens of a shard in a round, at least, and for each parameter of the model.
 SHARD_TOKENS = 1_000_000
 TOKENS_PER_PARAMETER = 2
-GROUP_NOISE, UNIT_NOISE = 16, 2
-BATCH = 4096
-CHUNK = 2048  # contexts that are normalised at once
+GROUP_NOISE, UNIT_NOISE = 16, 1
+BATCH = 2048
+CHUNK = 512  # contexts that are normalised at once
 RATE = 0.1
 SEED = 7
 PIECE = 4 << 20  # bytes of a text that are split into words at once
@@ -155,8 +155,9 @@ class Vocabulary:
         """Places among the counts, one past the end for words that aren't there, and units."""
         at = np.fromiter(map(self.index.get, words, repeat(len(self.c))), np.int32, len(words))
         units = self.unit[np.minimum(at, len(self.c) - 1)]
-        for i in np.flatnonzero(at == len(self.c)).tolist():
-            units[i] = self.bucket(words[i])
+        missing = np.flatnonzero(at == len(self.c))
+        codes = np.fromiter(map(zlib.crc32, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
+        units[missing] = 1 + self.n_words + codes % self.n_buckets
         return at, units
 
 
@@ -237,7 +238,8 @@ class Model:
 
         def step(at: np.ndarray, *moved: tuple[str, np.ndarray, np.ndarray]) -> None:
             """Moves the rows that were used, each by the mean of its gradients; the work is in the uses, not in the table."""
-            order = np.argsort(at, kind="stable")
+            # Short integers are sorted by their digits, in linear time.
+            order = np.argsort(at.astype(np.uint16) if len(self.noise) < 1 << 16 else at, kind="stable")
             rows = at[order]
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             uses = np.diff(np.r_[first, len(rows)]).astype(np.float32)
