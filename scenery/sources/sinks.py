@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,106 @@ def matrix_text(rows: DataFrame, path: str, m: str = "m") -> None:
     """Rows of 16 numbers as text, four to a line."""
     line = lambda i: F.array_join(F.transform(F.slice(m, 4 * i + 1, 4), lambda x: F.format_number(x, 6)), " ")
     rows.select(F.concat_ws("\n", *[line(i) for i in range(4)]).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_file(spark: SparkSession, path: str, body: str | bytes) -> None:
+    """One file in any store Spark writes to; for manifests, reports and other files with a name of their own."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(body.encode() if isinstance(body, str) else body))
+    finally:
+        out.close()
+
+
+def scenes(rows: DataFrame, path: str, overwrite: bool = False) -> int:
+    """One JSON file for each scene (or frame) row; those that are there stay unless overwritten. Returns how many were written."""
+    if overwrite:
+        rows.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+        return rows.count()
+    keys = [k for k in ("scene_id", "frame_id") if k in rows.columns]
+    try:
+        there = rows.sparkSession.read.schema(", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)).option("multiLine", True).json(path)
+        rows = rows.join(there.distinct(), keys, "left_anti").select(*rows.columns)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows = rows.persist()
+    n = rows.count()
+    if n:
+        rows.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+    rows.unpersist()
+    return n
+
+
+def scene_text(spark: SparkSession, path: str, values: dict[str, object]) -> None:
+    """A scene's `key = value` lines; lists become numbers between blanks."""
+    line = lambda v: " ".join(f"{x:.6f}" for x in v) if isinstance(v, (list, tuple)) else str(v)
+    write_file(spark, path, "".join(f"{k} = {line(v)}\n" for k, v in values.items()))
+
+
+def frame_map(rows: DataFrame, path: str) -> None:
+    """Exported frames and the files they came from, as one CSV in order."""
+    rows.select("export_index", "frame_id", "source").coalesce(1).sortWithinPartitions("export_index").write.mode("overwrite").option("header", True).csv(path)
+
+
+def manifest(rows: DataFrame, path: str) -> None:
+    """Selected frames by scene, as one JSON list of records."""
+    import json
+
+    by_scene = rows.groupBy("scene_id").agg(F.array_sort(F.collect_list("frame_id")).alias("frame_ids")).orderBy("scene_id")
+    records = [{"scene_id": str(r["scene_id"]), "frame_ids": [str(f) for f in r["frame_ids"]]} for r in by_scene.toLocalIterator()]
+    write_file(rows.sparkSession, path, json.dumps(records, indent=2))
+
+
+def scene_index(rows: DataFrame, path: str) -> None:
+    """The exported scenes' ids, sorted, one a line."""
+    rows.select(F.col("scene_id").cast("string").alias("value")).distinct().coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
+
+
+def io_log(rows: DataFrame, path: str, step: int) -> None:
+    """Prompts and responses of a step, appended as JSON lines."""
+    rows.withColumn("step", F.lit(step)).write.mode("append").json(path)
+
+
+def metrics_log(spark: SparkSession, path: str, step: int, metrics: dict[str, float]) -> None:
+    """A step's metrics, appended as one JSON line."""
+    spark.createDataFrame([(step, {k: float(v) for k, v in metrics.items()})], "step int, metrics map<string,double>").coalesce(1).write.mode("append").json(path)
+
+
+def results(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Results as JSON lines, or as one YAML document of a list."""
+    if form == "json":
+        rows.write.mode("overwrite").json(path)
+        return
+    import yaml
+
+    write_file(rows.sparkSession, path, yaml.safe_dump([r.asDict(recursive=True) for r in rows.toLocalIterator()], sort_keys=False, allow_unicode=True))
+
+
+def save_batch(rows: DataFrame, path: str) -> None:
+    """A batch with its types, for `load_batch`."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def load_batch(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def verify_report(spark: SparkSession, folder: str, required: tuple[str, ...], optional: tuple[str, ...], path: str) -> dict:
+    """Counts the files of a scene's folders and says which optional files are there; a folder without files is an error.
+
+    Writes the report as JSON and returns it. Contents are not read.
+    """
+    import json
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    inside = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("parent"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    counts = {r["parent"]: r["n"] for r in inside.where(F.col("parent").isin(*required)).groupBy("parent").agg(F.count(F.lit(1)).alias("n")).collect()}
+    missing = [r for r in required if not counts.get(r)]
+    if missing:
+        raise ValueError(f"no files in {', '.join(missing)}")
+    there = {r["name"] for r in inside.where(F.col("name").isin(*optional)).select("name").distinct().collect()}
+    report = {f"{r}_count": counts[r] for r in required} | {"required_ok": True, "optional_present": sorted(there), "optional_missing": sorted(set(optional) - there)}
+    write_file(spark, path, json.dumps(report, indent=2))
+    return report
