@@ -236,3 +236,49 @@ def sky_direction(right: Column, down: Column) -> Column:
     """Which side of the image the world's up is on, from how its right and down lean upward; the first of equals."""
     lean = F.greatest(-down, -right, down, right)
     return F.when(-down == lean, "Up").when(-right == lean, "Left").when(down == lean, "Down").otherwise("Right")
+
+
+def vector_between(camera_a: Column, camera_b: Column, world_a: Column, world_b: Column) -> tuple[list[Column], Column]:
+    """From a to b in the camera's frame where both have three finite numbers there, else in the world's; and which of the two."""
+    finite = lambda c: F.coalesce((F.size(c) >= 3) & ~F.exists(F.slice(c, 1, 3), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+    seen = finite(camera_a) & finite(camera_b)
+    at = lambda c, i: F.get(c, F.lit(i))
+    d = [F.when(seen, at(camera_b, i) - at(camera_a, i)).otherwise(at(world_b, i) - at(world_a, i)) for i in range(3)]
+    return d, F.when(seen, "camera").otherwise("world")
+
+
+def dimensions(box: Column, size: Column) -> Column:
+    """An object's three sides: of its box of six numbers, else its size, else 1 each."""
+    of_box = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.abs(F.get(box, i + 3) - F.get(box, i)))
+    return F.when(F.size(box) == 6, of_box).when(F.size(size) >= 3, F.slice(size, 1, 3)).otherwise(F.array(*[F.lit(1.0)] * 3))
+
+
+def turned_intrinsics(sky: Column, width: Column, height: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> dict[str, Column]:
+    """A camera's numbers after the turn, by quarters, that brings the sky up."""
+    side = sky.isin("Left", "Right")
+    swap = lambda a, b: F.when(side, b).otherwise(a)
+    return {
+        "width": swap(width, height),
+        "height": swap(height, width),
+        "fx": swap(fx, fy),
+        "fy": swap(fy, fx),
+        "cx": F.when(sky == "Left", height - 1 - cy).when(sky == "Down", width - 1 - cx).when(sky == "Right", cy).otherwise(cx),
+        "cy": F.when(sky == "Left", cx).when(sky == "Down", height - 1 - cy).when(sky == "Right", width - 1 - cx).otherwise(cy),
+    }
+
+
+def turned_rotation(sky: Column, r: Vector) -> list[Column]:
+    """The rotation of a pose after the same turn: its first two columns change places and signs."""
+    out = []
+    for i in range(3):
+        a, b, c = r[3 * i], r[3 * i + 1], r[3 * i + 2]
+        out += [F.when(sky == "Left", -b).when(sky == "Down", -a).when(sky == "Right", b).otherwise(a), F.when(sky == "Left", a).when(sky == "Down", -b).when(sky == "Right", -a).otherwise(b), c]
+    return out
+
+
+def surface_points(size: Vector, steps: int) -> Column:
+    """Points of an even grid on the six faces of a box around the origin, to six digits, each once."""
+    steps = max(2, steps)
+    at = lambda s: F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.struct(F.round(s / 2 * (i * 2.0 / (steps - 1) - 1), 6).alias("v"), ((i == 0) | (i == steps - 1)).alias("edge")))
+    cells = F.flatten(F.transform(at(size[0]), lambda x: F.flatten(F.transform(at(size[1]), lambda y: F.transform(at(size[2]), lambda z: F.struct(x["v"].alias("x"), y["v"].alias("y"), z["v"].alias("z"), (x["edge"] | y["edge"] | z["edge"]).alias("on")))))))
+    return F.array_distinct(F.transform(F.filter(cells, lambda p: p["on"]), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))))

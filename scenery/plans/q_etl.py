@@ -51,35 +51,6 @@ def export_index(spark, sf):
     return _events(spark, sf, "click").withColumn("export_index", F.row_number().over(w) - 1).where("event_id % 3 <> 0").select("event_id", "export_index")
 
 
-@query("p10_request_rules", "WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN '' ELSE role END AS a, CASE WHEN turn % 3 = 0 THEN role ELSE 'user' END AS b FROM conversations) SELECT conv_id, turn, CASE WHEN a <> '' AND lower(a) = lower(b) THEN 'depth invalid: the two labels are the same' WHEN a = '' THEN 'depth invalid: failed to extract `object1_label`' END AS error, NOT (a = '' OR lower(a) = lower(b)) AS is_valid FROM q")
-def request_rules(spark, sf):
-    """P10: label rules in order, the first reason wins."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
-    q = c.select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, "").otherwise(F.col("role")).alias("a"), F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise("user").alias("b"))
-    return rules.first_reason(q, labels=rules.label_rules(F.lit("depth"), F.col("a"), F.col("b"))).select("conv_id", "turn", "error", "is_valid")
-
-
-@query("p12_pool_rules", with_views("objects", rest="c AS (SELECT scene_id, label, count(*) AS n FROM objects GROUP BY 1,2), q AS (SELECT s.scene_id, concat('l', l.k) AS label, CASE WHEN l.k % 2 = 0 THEN 'object_counting' ELSE 'object_size' END AS task FROM (SELECT DISTINCT scene_id FROM objects) s, range(12) l(k))") + """
-SELECT q.scene_id, q.label, task, CASE WHEN n IS NULL THEN concat(task, ' invalid: label is not in the scene') WHEN task = 'object_counting' THEN CASE WHEN n < 2 THEN 'object_counting invalid: fewer than two objects' END WHEN n > 1 THEN 'object_size invalid: label is not unique' END AS error FROM q LEFT JOIN c ON c.scene_id = q.scene_id AND c.label = q.label""")
-def pool_rules(spark, sf):
-    """Requests against the scene's label counts."""
-    o = objects(spark, sf)
-    counts = o.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    q = o.select("scene_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("label", F.concat(F.lit("l"), F.col("k").cast("string")))
-    q = q.withColumn("task", F.when(F.col("k") % 2 == 0, "object_counting").otherwise("object_size")).join(counts, ["scene_id", "label"], "left").na.fill(0, ["n"])
-    return rules.first_reason(q, pool=rules.pool_rule(F.col("task"), F.col("n"))).select("scene_id", "label", "task", "error")
-
-
-@query("p08_contract", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'missing task_type' WHEN o_orderkey % 7 = 0 THEN 'missing scene_id' WHEN o_orderkey % 3 = 2 AND o_custkey % 3 < 2 THEN 'image_pair needs 2 images' WHEN o_orderkey % 3 = 1 AND o_custkey % 3 < 1 THEN 'single_image needs 1 images' END AS error FROM orders")
-def contract(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
-    k = F.col("o_orderkey")
-    task = F.when(k % 5 == 0, "none").otherwise("object_size")
-    scene = F.when(k % 7 == 0, " ").otherwise("scene0001_00")
-    mode = F.when(k % 3 == 2, "image_pair").when(k % 3 == 1, "single_image").otherwise("scene")
-    return o.select("o_orderkey", rules.contract(task, scene, (F.col("o_custkey") % 3).cast("int"), mode).alias("error"))
-
-
 @query("p14_answer_rules", with_views("poses") + "SELECT a.scene_id, a.frame_id AS frame_1, b.frame_id AS frame_2, CASE WHEN abs(b.tz-a.tz) <= 0.15 THEN 'elevation_cam_cam invalid: `same_level`' END AS error, CASE WHEN abs(b.tz-a.tz) <= 0.15 THEN 'post_answer' ELSE 'unknown' END AS stage FROM poses a JOIN poses b ON a.scene_id=b.scene_id AND a.frame_id<b.frame_id")
 def answer_rules(spark, sf):
     """P14 and F34."""
