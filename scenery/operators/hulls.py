@@ -32,14 +32,69 @@ def area(corners: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
-def room_area(points: DataFrame, scene: str = "scene_id", voxel: float = 0.05) -> DataFrame:
-    """Area of the hull of each scene's floor points; voxels thin the points out before they meet."""
+def triangulate(points: np.ndarray) -> np.ndarray:
+    """The Delaunay triangulation of distinct points in the plane, as rows of three places; by insertion, point after point.
+
+    A point takes away the triangles whose circles hold it and joins their outline. The work is at most quadratic.
+    """
+    n = len(points)
+    if n < 3:
+        return np.empty((0, 3), int)
+    middle, span = points.mean(axis=0), max(np.ptp(points, axis=0).max(), 1e-9)
+    far = middle + 1e4 * span * np.array([(-1.0, -1.0), (1.0, -1.0), (0.0, 1.5)])
+    p = np.vstack([points, far])
+    tri, circles = np.array([[n, n + 1, n + 2]]), _circles(p, np.array([[n, n + 1, n + 2]]))
+    for k in range(n):
+        inside = ((circles[:, :2] - p[k]) ** 2).sum(axis=1) < circles[:, 2] * (1 + 1e-12)
+        edges = np.sort(np.concatenate([tri[inside][:, [0, 1]], tri[inside][:, [1, 2]], tri[inside][:, [2, 0]]]), axis=1)
+        own, times = np.unique(edges, axis=0, return_counts=True)
+        new = np.column_stack([own[times == 1], np.full((times == 1).sum(), k)])
+        tri = np.vstack([tri[~inside], new])
+        circles = np.vstack([circles[~inside], _circles(p, new)])
+    return tri[(tri < n).all(axis=1)]
+
+
+def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Centre and squared radius of each triangle's circle; boundless for flat ones."""
+    a, b, c = p[tri[:, 0]], p[tri[:, 1]], p[tri[:, 2]]
+    u, v = b - a, c - a
+    d = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        x, y = (v[:, 1] * uu - u[:, 1] * vv) / d, (u[:, 0] * vv - v[:, 0] * uu) / d
+    flat = d == 0
+    return np.column_stack([np.where(flat, 0.0, a[:, 0] + x), np.where(flat, 0.0, a[:, 1] + y), np.where(flat, np.inf, x * x + y * y)])
+
+
+def alpha_area(points: np.ndarray, alpha: float = 1.0) -> float:
+    """Area of the triangles whose circle is narrower than 1 / alpha; of fewer than four points their hull's."""
+    if len(points) < 4:
+        return area(convex_hull(points))
+    tri = triangulate(points)
+    if not len(tri):
+        return 0.0
+    kept = tri[_circles(points, tri)[:, 2] < 1 / alpha**2]
+    u, v = points[kept[:, 1]] - points[kept[:, 0]], points[kept[:, 2]] - points[kept[:, 0]]
+    return float(np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]).sum() / 2)
+
+
+def room_area(points: DataFrame, scene: str = "scene_id", voxel: float = 0.05, alpha: float | None = 1.0, jitter: float = 0.001, seed: int = 42) -> DataFrame:
+    """Area of each scene's floor points: their alpha shape, or their hull where alpha is None.
+
+    Voxels thin the points out before they meet, so one scene's are a bounded set; a small
+    seeded jitter, in the order of the points, keeps points of a grid from lying on one circle.
+    """
     floor = points.groupBy(scene).agg(F.percentile("z", 0.4).alias("__p"))
     low = points.join(floor, scene).where(F.col("z") < F.col("__p") + 0.1)
     thin = low.groupBy(scene, F.floor(F.col("x") / voxel).alias("i"), F.floor(F.col("y") / voxel).alias("j")).agg(F.min(F.struct("x", "y")).alias("q"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [round(area(convex_hull(pdf[["x", "y"]].to_numpy())), 4)]})
+        p = np.unique(pdf[["x", "y"]].to_numpy(float), axis=0)
+        if alpha is None:
+            found = area(convex_hull(p))
+        else:
+            found = alpha_area(p + (np.random.RandomState(seed).normal(0, jitter, p.shape) if jitter else 0.0), alpha)
+        return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [round(found, 4)]})
 
     kind = dict(points.dtypes)[scene]
     return thin.select(scene, "q.x", "q.y").groupBy(scene).applyInPandas(one, f"{scene} {kind}, area double")

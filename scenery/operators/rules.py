@@ -10,50 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenery.functions.vocabulary import REJECTED_TASKS, TASK_ALIASES
-from scenery.operators.lookup import is_null_like, same_label
 
 # Stages of failure by error code.
 STAGES = {"INVALID_INPUT": "input", "UNSUPPORTED_TASK": "task_resolution", "INVALID_QUESTION": "question_validation", "EXECUTION_FAILED": "execution", "INVALID_ANSWER": "post_answer"}
 
 
-def contract(task: Column, scene: Column, images: Column, mode: Column) -> Column:
-    """What a request lacks: its task, its scene, or the images its mode needs."""
-    need = F.when(mode == "image_pair", 2).when(mode == "single_image", 1).otherwise(0)
-    return (
-        F.when(is_null_like(task), "missing task_type")
-        .when(is_null_like(scene), "missing scene_id")
-        .when(F.coalesce(images, F.lit(0)) < need, F.concat(mode, F.lit(" needs "), need.cast("string"), F.lit(" images")))
-    )
-
-
-def pool_rule(task: Column, count: Column) -> Column:
-    """Counting needs a repeated label, all other label tasks a unique one."""
-    return F.when(count == 0, F.concat(task, F.lit(" invalid: label is not in the scene"))).when(
-        task == "object_counting", F.when(count < 2, "object_counting invalid: fewer than two objects")
-    ).otherwise(F.when(count > 1, F.concat(task, F.lit(" invalid: label is not unique"))))
-
-
-def label_rules(task: Column, a: Column, b: Column) -> Column:
-    """Missing labels, then equal ones."""
-    missing = F.when(is_null_like(a), F.concat(task, F.lit(" invalid: failed to extract `object1_label`"))).when(is_null_like(b), F.concat(task, F.lit(" invalid: failed to extract `object2_label`")))
-    return F.coalesce(F.when(same_label(a, b), F.concat(task, F.lit(" invalid: the two labels are the same"))), missing)
-
-
-def list_rule(target: Column, candidates: Column) -> Column:
-    """Candidate lists: repeated items, then none, then the target among them."""
-    items = F.transform(F.filter(candidates, lambda x: ~is_null_like(x)), lambda x: F.lower(F.trim(x)))
-    return (
-        F.when(F.size(F.array_distinct(items)) < F.size(items), "relative_distance invalid: `candidate_labels` contains duplicate items")
-        .when(F.size(items) == 0, "relative_distance invalid: `candidate_labels` cannot be empty")
-        .when(F.array_contains(items, F.lower(F.trim(target))), "relative_distance invalid: `target_label` cannot appear in `candidate_labels`")
-    )
-
-
-def image_rule(most: Column, any_unique: Column) -> Column:
-    """A label seen more than once in an image is ambiguous, one seen in none is not visible."""
-    return F.when(most > 1, "label is not unique in an image").when(~any_unique, "label is not visible")
-
-
 def answer_rule(task: Column, answer: Column) -> Column:
     token = F.regexp_replace(F.translate(F.lower(F.trim(answer)), "- ", "__"), "_+", "_")
     return F.when((task == "object_counting") & (F.regexp_extract(answer, r"(-?\d+)", 1) == "0"), "object_counting invalid: the answer is 0").when(

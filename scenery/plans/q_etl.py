@@ -70,8 +70,33 @@ def recovery_gate(spark, sf):
 
 @query("a18_room_hull")
 def room_hull(spark, sf):
-    """Hull area of each scene's floor points; tested against hand-made shapes."""
-    return hulls.room_area(objects(spark, sf).select("scene_id", "x", "y", "z"))
+    """Hull area of each scene's floor points; tested against hand-made shapes."""
+    return hulls.room_area(objects(spark, sf).select("scene_id", "x", "y", "z"), alpha=None)
+
+
+#: Triangles whose circles hold no other point are the Delaunay triangulation: by brute force, for the few points of these scenes.
+ALPHA = """fq AS (SELECT scene_id, quantile_cont(z, 0.4) AS p FROM objects GROUP BY 1), ft AS (SELECT o.scene_id, min({'x': x, 'y': y}) AS s FROM objects o JOIN fq ON fq.scene_id = o.scene_id WHERE z < p + 0.1 GROUP BY o.scene_id, floor(x / 0.05), floor(y / 0.05)),
+fp AS (SELECT scene_id, s.x AS x, s.y AS y, row_number() OVER (PARTITION BY scene_id ORDER BY s.x, s.y) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM ft),
+t3 AS (SELECT a.scene_id, a.n, a.x AS ax, a.y AS ay, b.x - a.x AS px, b.y - a.y AS py, c.x - a.x AS qx, c.y - a.y AS qy, a.k AS ka, b.k AS kb, c.k AS kc FROM fp a JOIN fp b ON a.scene_id = b.scene_id AND b.k > a.k JOIN fp c ON c.scene_id = a.scene_id AND c.k > b.k),
+t4 AS (SELECT *, px*qy - py*qx AS d FROM t3), t5 AS (SELECT *, ax + (qy*(px*px+py*py) - py*(qx*qx+qy*qy)) / (2*d) AS ux, ay + (px*(qx*qx+qy*qy) - qx*(px*px+py*py)) / (2*d) AS uy FROM t4 WHERE d <> 0),
+t6 AS (SELECT *, (ax-ux)*(ax-ux) + (ay-uy)*(ay-uy) AS r2 FROM t5),
+t7 AS (SELECT scene_id, abs(d)/2 AS area FROM t6 WHERE n < 4 OR (r2 < 1 AND NOT EXISTS (SELECT 1 FROM fp WHERE fp.scene_id = t6.scene_id AND k NOT IN (ka, kb, kc) AND (x-ux)*(x-ux) + (y-uy)*(y-uy) < r2))),
+room AS (SELECT f.scene_id, coalesce(sum(area), 0.0) AS area FROM (SELECT DISTINCT scene_id FROM fp) f LEFT JOIN t7 ON t7.scene_id = f.scene_id GROUP BY 1)"""
+
+
+@query("a18_room_area", with_views("objects", rest=ALPHA) + "SELECT scene_id, round(area, 4) AS area FROM room")
+def room_area(spark, sf):
+    """Area of the alpha shape of each scene's floor points, here without the jitter, which SQL cannot repeat."""
+    return hulls.room_area(objects(spark, sf).select("scene_id", "x", "y", "z"), jitter=0.0)
+
+
+@query("t06_room_size", with_views("objects", rest=ALPHA + ", h AS (SELECT scene_id, round(max(z1)-min(z0), 4) AS height FROM objects GROUP BY 1)") + "SELECT room.scene_id, concat(CAST(round(area, 2) AS VARCHAR), ' square meters') AS answer, height FROM room JOIN h ON h.scene_id = room.scene_id")
+def room_size(spark, sf):
+    """The floor's area, and the height of the box around a scene's objects."""
+    o = objects(spark, sf)
+    height = o.groupBy("scene_id").agg(F.round(F.max("z1") - F.min("z0"), 4).alias("height"))
+    area = hulls.room_area(o.select("scene_id", "x", "y", "z"), jitter=0.0)
+    return area.join(height, "scene_id").select("scene_id", F.concat(F.round("area", 2).cast("string"), F.lit(" square meters")).alias("answer"), "height")
 
 
 @query("j09_vertex_labels", "WITH v AS (SELECT l_orderkey AS vertex_id, l_partkey % 50 AS seg_id FROM lineitem), g AS (SELECT p_partkey % 50 AS seg_id, p_partkey AS group_pos, p_brand AS label FROM part), w AS (SELECT seg_id, arg_max(label, group_pos) AS label FROM g GROUP BY seg_id) SELECT v.vertex_id, max(w.label) AS label FROM v JOIN w ON v.seg_id = w.seg_id GROUP BY v.vertex_id")

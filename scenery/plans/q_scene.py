@@ -97,14 +97,6 @@ def relative_direction(spark, sf):
     return t.select("scene_id", "positioning", "orienting", "querying", "hard", g.coarse_direction(F.col("hard"), "easy").alias("easy"), g.coarse_direction(F.col("hard"), "medium").alias("medium"))
 
 
-@query("t06_room_size", with_views("objects") + """
-SELECT scene_id, concat(CAST(round((max(x1)-min(x0))*(max(y1)-min(y0)), 2) AS VARCHAR), ' square meters') AS answer, round(max(z1)-min(z0), 4) AS height FROM objects GROUP BY scene_id""")
-def room_size(spark, sf):
-    """Floor area and height of the box around a scene's objects, the fall-back of the hull forms."""
-    span = lambda a: F.max(f"{a}1") - F.min(f"{a}0")
-    return objects(spark, sf).groupBy("scene_id").agg(F.concat(F.round(span("x") * span("y"), 2).cast("string"), F.lit(" square meters")).alias("answer"), F.round(span("z"), 4).alias("height"))
-
-
 _SINGLE = """,
 t AS (SELECT a.scene_id, a.frame_id, a.label AS label_1, b.label AS label_2, b.cx-a.cx AS r, b.cz-a.cz AS f, -(b.cy-a.cy) AS u FROM uniq a JOIN uniq b
       ON a.scene_id=b.scene_id AND a.frame_id=b.frame_id AND a.label<b.label)

@@ -134,10 +134,28 @@ def test_fuzzy_labels():
     assert fuzzy.resolve("the lamp there", pool) == "lamp" and fuzzy.resolve("ofice chair", pool) == "office chair" and fuzzy.resolve("zebra", pool) is None
 
 
+def test_alpha_shape(spark):
+    """A square of a grid, and the same with a far point whose triangles are too wide; triangles' circles hold no point."""
+    import numpy as np
+
+    grid = np.array([(x / 4, y / 4) for x in range(5) for y in range(5)], float)
+    rng = np.random.default_rng(1)
+    p = grid + rng.normal(0, 1e-3, grid.shape)
+    assert hulls.alpha_area(p) == pytest.approx(1.0, abs=0.02) and hulls.alpha_area(np.vstack([p, [(9.0, 9.0)]])) == pytest.approx(1.0, abs=0.02)
+    q = rng.normal(0, 1, (60, 2))
+    tri = hulls.triangulate(q)
+    circles = hulls._circles(q, tri)
+    for t, (x, y, r2) in zip(tri, circles):
+        assert (((q - (x, y)) ** 2).sum(axis=1)[np.setdiff1d(range(60), t)] > r2 * (1 - 1e-9)).all()
+    assert hulls.alpha_area(q, 1e-6) == pytest.approx(hulls.area(hulls.convex_hull(q)))
+    df = spark.createDataFrame([(1, float(x), float(y), 0.0) for x, y in grid], "scene_id int, x double, y double, z double")
+    assert hulls.room_area(df).first()["area"] == pytest.approx(1.0, abs=0.02)
+
+
 def test_hull(spark):
     import numpy as np
 
     square = np.array([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1), (1, 0)], float)
     assert hulls.area(hulls.convex_hull(square)) == 4.0 and hulls.area(hulls.convex_hull(square[:2])) == 0.0
     df = spark.createDataFrame([("s", float(x), float(y), 0.0) for x, y in square] + [("s", 9.0, 9.0, 3.0)], "scene_id string, x double, y double, z double")
-    assert hulls.room_area(df).first()["area"] == 4.0
+    assert hulls.room_area(df, alpha=None).first()["area"] == 4.0

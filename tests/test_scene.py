@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenery.functions import geometry as g
-from scenery.operators import lookup, rules
+from scenery.operators import checks, lookup, rules
 
 ROOM = [
     ("s", 1, "table", 0.0, 0.0, 0.0, -1.0, -1.0, 0.0, 1.0, 1.0, 0.0),
@@ -103,9 +103,11 @@ def test_nearest_in_time(spark):
 
 def test_rules_first_match(spark):
     df = spark.createDataFrame([("lamp", ["lamp", "sofa"]), ("lamp", ["sofa", "Sofa "]), ("lamp", []), ("lamp", ["sofa"]), ("lamp", [None, "none"])], "target string, candidates array<string>")
-    got = [r["error"] for r in rules.first_reason(df, list=rules.list_rule(F.col("target"), F.col("candidates"))).collect()]
-    assert [(e or "").split("` ")[-1] for e in got] == ["cannot appear in `candidate_labels`", "contains duplicate items", "cannot be empty", "", "cannot be empty"]
-    assert one(spark, rules.image_rule(F.lit(2), F.lit(True))) == "label is not unique in an image"
+    got = [r["error"] for r in rules.first_reason(df, list=checks.list_rule(F.lit("relative_distance"), F.col("target"), F.col("candidates"))).collect()]
+    assert got == [checks.LISTED_TARGET, checks.TWICE_LISTED, checks.EMPTY_LIST, None, checks.EMPTY_LIST]
+    seen = lambda *n: one(spark, checks.image_rule(F.lit("t"), F.lit("target"), F.lit("lamp"), F.array(*map(F.lit, n))))
+    assert seen(1, 2) == "t invalid: target `lamp` is not unique in provided image #2 (2 matches)" and seen(1, 0) is None
+    assert seen(0, 0) == "t invalid: target `lamp` is not visible enough in the provided images"
     assert one(spark, rules.answer_rule(F.lit("object_counting"), F.lit("0"))) is not None
 
 
