@@ -94,7 +94,8 @@ def running(
     the bucket itself; it too must rise with `order`.
     """
     sums = sums or {}
-    buckets = max(1, math.ceil(n_rows / rows_per_bucket))
+    # Of very many rows neither the rows of a bucket nor the buckets' totals grow faster than the root.
+    buckets = max(1, math.ceil(n_rows / max(rows_per_bucket, math.isqrt(n_rows))))
     keys = ([group] if group else []) + ["__bucket"]
     even = F.least(F.floor(position * buckets), F.lit(buckets - 1))
     dealt = df.withColumn("__bucket", (even if bucket is None else bucket).cast("long"))

@@ -21,10 +21,10 @@ WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (
 h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x FROM documents),
 b AS (SELECT doc_id, source, octet_length(encode(x)) // 2 AS n, list_transform(range(octet_length(encode(x)) // 2), lambda k: CAST(concat('0x', substr(x, CAST(1 + 2 * k AS BIGINT), 2)) AS BIGINT)) AS b FROM h),
 c AS (SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS sk,
-  CAST(xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)])), 4294967295) AS BIGINT) AS crc,
-  md5(concat('scenery-shards|', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM b, tab),
+  CAST(xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)])), 4294967295) AS BIGINT) AS crc FROM b, tab),
+m AS (SELECT *, md5(concat('scenery-shards|', coalesce(CAST(doc_id AS VARCHAR), ''), '|', CAST(crc AS VARCHAR), '|', CAST(size AS VARCHAR))) AS h FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY h, doc_id, crc, size) AS k, count(*) OVER (PARTITION BY sk) AS m, count(*) OVER () AS n,
-  CAST(concat('0x', substr(md5(concat('scenery-shards|', sk)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS o FROM c),
+  CAST(concat('0x', substr(md5(concat('scenery-shards|', sk)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS o FROM m),
 g AS (SELECT *, row_number() OVER (ORDER BY (k - 1 + o) / m, sk, k) - 1 AS g FROM r)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST((g * 16) // n AS INT) AS shard, g - (((g * 16) // n) * n + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard FROM g"""
 

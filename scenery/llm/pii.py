@@ -6,8 +6,10 @@ text between matches gives their places, counted in code points. The patterns us
 possessive repeats and only start at the head of a run, which leaves the matches as
 they are but keeps the work in proportion to the text.
 
-Defined results: null and empty texts have no spans; repeated rows give the same
-spans; offsets count code points, ends are exclusive.
+Defined results: null and empty texts have no spans; a text of any length is read whole;
+repeated rows give the same spans; spans of different kinds at one place are all
+reported, by kind and then by start; offsets count code points, ends are exclusive;
+other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash within their source; a row's fractional rank is
+Rows are shuffled by a seeded hash of their id and text within their source; a row's fractional rank is
 its place there, from 0 to 1. Sorting all rows by fractional rank interleaves the
 sources in proportion, so equal cuts hold the mixture of the whole. The law that
 holds is `rows`: shards' counts differ by one at most.
 
-Defined results: null sources are a stratum of their own; a null text has size 1;
-repeated rows each get a slot; an empty table gives no rows; a table with fewer rows
-than shards fills as many shards as it has rows.
+Defined results: null sources are a stratum of their own; a null text has size 1; a text
+of any length is one row; rows with a null id are told apart by their texts; repeated
+rows each get a slot, and which of equal ones gets which makes no difference; of equal
+fractional ranks the smaller source comes first; input columns named as the added ones
+are replaced, others are returned as they are; an empty table gives no rows; a table
+with fewer rows than shards fills as many shards as it has rows.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, doc_id: str
             "size": (F.octet_length(body) + 1).cast("long"),
             "text_crc32": F.crc32(body.cast("binary")),
             "__stratum": nullable_key(F.col(source)),
-            "__order": seeded_hex(seed, F.col(doc_id)),
         }
     )
+    out = out.withColumn("__order", seeded_hex(seed, F.col(doc_id), F.col("text_crc32"), F.col("size")))
     sizes = out.groupBy("__stratum").agg(F.count(F.lit(1)).alias("__rows"))
     ties = [F.col("__order"), F.col(doc_id), F.col("text_crc32"), F.col("size")]
     out = running(out, "__stratum", unit(F.col("__order")), ties, n_rows, rows_per_bucket=rows_per_bucket)

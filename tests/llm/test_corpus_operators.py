@@ -216,6 +216,18 @@ def test_sharding(spark):
     assert sharding.shard(data.empty(spark)).collect() == []
 
 
+def test_sharding_without_ids(spark):
+    """A third of all rows has no id; texts tell them apart, and equal rows share nothing but their worth."""
+    rows = [(None if i % 3 == 0 else i, f"text {i}", "a" if i % 2 else None) for i in range(900)] + [(None, "same", "a")] * 60
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_bucket=40).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert len(got) == 960 and all(sorted(v) == list(range(60)) for v in per.values()) and len(per) == 16
+    key = lambda rs: Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in rs)
+    assert key(got) == key(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect())
+
+
 def test_sharding_follows_the_mixture(spark):
     docs = spark.range(1600).selectExpr("id AS doc_id", "'x' AS text", "CASE WHEN id % 10 < 3 THEN 'hot' ELSE concat('s', id % 7) END AS source")
     part = Counter((r["shard"], r["source"]) for r in sharding.shard(docs).select("shard", "source").collect())
