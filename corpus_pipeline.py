@@ -4,6 +4,14 @@ Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; run(
 writes every stage's rows as Parquet into the shared folder and rereads them for the
 next. All stages but the last return the columns of documents; the last adds each
 row's shard and its slot there. A document that the mix reads twice is two rows.
+
+Defined results, by the operators' docstrings: documents with a null or empty text fail
+the quality rules and go; a null doc_id, language or source is kept as a value of its
+own; texts of any length are read whole; of equal and near texts the one of the smallest
+doc_id stays, rows that repeat it count once; other columns, whatever their names, pass
+through unharmed, but for shard and slot, which the last stage replaces; an empty table
+passes every stage and gives no rows. Every stage's table is written before the next
+one starts, so what a lost executor held is read again from there.
 """
 
 from __future__ import annotations
@@ -47,7 +55,7 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: Robust estimates and seeded signatures have no SQL form; the tests hold run() against a brute-force version.
+#: Robust estimates and seeded signatures have no SQL form; the tests hold each stage against its brute-force version.
 ORACLE_SQL = None
 
 
