@@ -140,6 +140,13 @@ def image_reference(question: Column) -> Column:
     return F.regexp_extract(F.lower(question), r"image\s*([12])", 1).try_cast("int")
 
 
+def image_asked(question: Column) -> Column:
+    """The image, 1 or 2, that a question names first, as a number or in words."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    named = F.regexp_extract(q, r"\bimage[\s_#]*(1|2|one|two)\b|\b(first|second)\s+image\b", 0)
+    return F.when(named == "", None).when(named.rlike("1|one|first"), 1).otherwise(2)
+
+
 def pair_mentioned(question: Column) -> Column:
     """The two things named in `between A and B`."""
     p = r"(?i)between (?:the )?(.+?) and (?:the )?(.+?)(?:\?|\.|,|$)"

@@ -38,6 +38,11 @@ def may_recover(task: Column, code: Column, tasks: list[str], codes: list[str])
     return task.isin(tasks) & code.isin(codes)
 
 
+def recovery(switched_on: Column, task: Column, code: Column, tasks: list[str], codes: list[str]) -> Column:
+    """Why a failed request is not tried again: disabled, its task or its error_code is not allowed; null where it is."""
+    return F.when(~switched_on, "disabled").when(~may_recover(task, F.lit("x"), tasks, ["x"]), "task").when(~may_recover(F.lit("x"), code, ["x"], codes), "error_code")
+
+
 def resolve_task(name: Column, supported: list[str], aliases: dict[str, str] = TASK_ALIASES, refused: tuple[str, ...] = REJECTED_TASKS) -> Column:
     """status and task of a name: empty, rejected, exact, alias, fuzzy or unsupported, by the first stage that applies.
 

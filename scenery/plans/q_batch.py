@@ -55,9 +55,12 @@ def w_returns(spark, sf):
     return out.select("uid", (F.col("i") + 1).alias("pos"), tidy(F.col("v"), 9).alias("returns"))
 
 
-@query("w06_gae")
+@query("w06_gae", _w("""f AS (SELECT uid, pos, reward AS r, value AS v, is_valid AS m, row_number() OVER (PARTITION BY uid ORDER BY pos DESC) AS k FROM rollouts)""").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+g(uid, pos, k, nx, adv) AS (SELECT uid, pos, k, CASE WHEN m THEN v ELSE 0.0::DOUBLE END, CASE WHEN m THEN (r + 0.99::DOUBLE * 0.0 - v) + 0.99::DOUBLE * 0.95 * 0.0 ELSE 0.0::DOUBLE END FROM f WHERE k = 1
+  UNION ALL SELECT f.uid, f.pos, f.k, CASE WHEN f.m THEN f.v ELSE g.nx END, CASE WHEN f.m THEN (f.r + 0.99::DOUBLE * g.nx - f.v) + 0.99::DOUBLE * 0.95 * g.adv ELSE g.adv END FROM g JOIN f ON f.uid = g.uid AND f.k = g.k + 1)
+SELECT uid, pos, round(adv, 6) + 0.0 AS advantage FROM g""")
 def w_gae(spark, sf):
-    """Generalised advantages by a fold over each sequence; tested against a plain loop."""
+    """Generalised advantages by a fold over each sequence."""
     r = rollouts(spark, sf).withColumn("mask", F.col("is_valid").cast("int"))
     s = batch.sequences(r, "uid", "pos", rewards="reward", values="value", mask="mask")
     out = s.select("uid", F.posexplode(batch.gae("rewards", "values", "mask", 0.99, 0.95)).alias("i", "v"))

@@ -60,14 +60,6 @@ def answer_rules(spark, sf):
     return p.select("scene_id", "frame_1", "frame_2", "error", rules.failure_stage(F.when(F.col("error").isNotNull(), "INVALID_ANSWER").otherwise("NONE")).alias("stage"))
 
 
-@query("t20_recovery_gate", "SELECT o_orderkey, o_orderpriority LIKE '1%' AND o_orderstatus IN ('F','O') AS may_recover FROM orders")
-def recovery_gate(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
-    urgent = o.select("o_orderpriority").distinct().where("o_orderpriority LIKE '1%'")
-    o = o.join(urgent.withColumn("__u", F.lit("yes")), "o_orderpriority", "left")
-    return o.select("o_orderkey", rules.may_recover(F.coalesce("__u", F.lit("no")), F.col("o_orderstatus"), ["yes"], ["F", "O"]).alias("may_recover"))
-
-
 @query("a18_room_hull")
 def room_hull(spark, sf):
     """Hull area of each scene's floor points; tested against hand-made shapes."""

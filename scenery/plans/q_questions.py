@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scenery.functions import fuzzy
+from scenery.functions import fuzzy, text
+from scenery.functions import geometry as g
 from scenery.functions.vocabulary import GROUP_ALIASES, REGION_OBJECTS, REGION_PHRASES, REJECTED_TASKS, SUMMARY_ALIASES, TASK_ALIASES
 from scenery.operators import questions, rules
 from scenery.plans.catalogue import query
 from scenery.plans.q_etl import TASKS
-from scenery.plans.q_scene import objects, sql_dir8
+from scenery.plans.q_scene import _ROT, cameras, objects, sql_dir8
 from scenery.sources.adapters import with_views
 
 SUPPORTED = [t for _, t in TASKS]
@@ -176,3 +177,45 @@ def region_anchors(spark, sf):
     own = F.create_map(*[F.lit(x) for p in REGION_REQUESTS for x in (p, ",".join(REGION_OBJECTS[fuzzy.Names().phrase(p)]))])
     found = region_anchors_of(spark, sf)
     return found.where(F.array_contains(F.split(F.element_at(own, F.col("phrase")), ","), F.col("anchor"))).select("scene_id", "phrase", "anchor")
+
+
+@query("t14_position_cam_reg", with_views("objects", "poses", rest=_ROT + ", " + _ANCHORS + """,
+reg AS (SELECT a.scene_id, a.phrase, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM anchors a JOIN called ON called.name = a.anchor JOIN objects o ON o.scene_id = a.scene_id AND o.label = called.label GROUP BY 1,2),
+l AS (SELECT c.scene_id, c.frame_id, phrase, c.r0*(reg.x-tx)+c.r3*(reg.y-ty)+c.r6*(reg.z-tz) AS lx, c.r2*(reg.x-tx)+c.r5*(reg.y-ty)+c.r8*(reg.z-tz) AS lz FROM cam c JOIN reg ON c.scene_id = reg.scene_id)""") + "SELECT scene_id, frame_id, phrase, " + sql_dir8("lx", "lz") + " AS answer FROM l")
+def position_cam_reg(spark, sf):
+    """Direction from each camera of the region a question names: the mean place of the object that stands for it."""
+    called = F.create_map(*[F.lit(x) for i, n in enumerate(OBJECT_NAMES) for x in (n, f"l{i}")])
+    anchors = region_anchors(spark, sf).withColumn("label", F.try_element_at(called, F.col("anchor")))
+    reg = anchors.join(objects(spark, sf).select("scene_id", "label", "x", "y", "z"), ["scene_id", "label"]).groupBy("scene_id", "phrase").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    p = cameras(spark, sf).join(reg, "scene_id")
+    local = g.to_camera(g.col3(""), [F.col(f"r{i}") for i in range(9)], g.col3("t"))
+    return p.select("scene_id", "frame_id", "phrase", g.dir8(local[0], local[2]).alias("answer"))
+
+
+@query("t19_aliases", "WITH " + values("a", "alias, task", sorted(TASK_ALIASES.items())) + " SELECT alias, task FROM a")
+def task_aliases(spark, sf):
+    """Other names of the tasks."""
+    return spark.createDataFrame(sorted(TASK_ALIASES.items()), "alias string, task string")
+
+
+@query("t19_profiles", "WITH " + values("p", "task, mode, fields, scope", [(t, m, ",".join(questions.FIELDS.get(t, ())), questions.SCOPES.get(t, "")) for m, t in TASKS]) + " SELECT task, mode, fields, scope FROM p")
+def task_profiles(spark, sf):
+    """What each task reads: its mode, its labels and where its candidates come from."""
+    return spark.createDataFrame([(t, m, ",".join(questions.FIELDS.get(t, ())), questions.SCOPES.get(t, "")) for m, t in TASKS], "task string, mode string, fields string, scope string")
+
+
+@query("f12_image_references", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 END AS image FROM orders""")
+def image_references(spark, sf):
+    """the image a question is asked from: named as `image 2`, in words, or by when it was taken."""
+    asked = ["Where is it in image 2 and image 1?", "From Image_1, where?", "Where was I when taking image two?", "In the first image, where is the lamp?", "Where is it?"]
+    return _picked(spark, sf, asked, "question").select("o_orderkey", text.image_asked(F.col("question")).alias("image"))
+
+
+@query("t20_recovery_gate", "SELECT o_orderkey, o_orderkey % 4 <> 3 AND o_custkey % 3 = 0 AND o_orderkey % 2 = 0 AS may_recover, CASE WHEN o_orderkey % 2 = 1 THEN 'disabled' WHEN o_orderkey % 4 = 3 THEN 'task' WHEN o_custkey % 3 <> 0 THEN 'error_code' END AS reason FROM orders")
+def recovery_gate(spark, sf):
+    """Whether a failed request is tried again: switched on, its task's group and its error code allowed; and why not."""
+    k = F.col("o_orderkey")
+    task = F.get(F.array(*[F.lit(t) for t in ("object_size", "motion_camera", "depth_order_obj_obj", "weather")]), (k % 4).cast("int"))
+    code = F.get(F.array(F.lit("INVALID_QUESTION"), F.lit("UNSUPPORTED_TASK"), F.lit("INVALID_INPUT")), (F.col("o_custkey") % 3).cast("int"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", rules.recovery(k % 2 == 0, task, code, SUPPORTED, ["INVALID_QUESTION", "EXECUTION_FAILED"]).alias("r"))
+    return o.select("o_orderkey", F.col("r").isNull().alias("may_recover"), F.col("r").alias("reason"))

@@ -283,18 +283,6 @@ def position_cam_obj(spark, sf):
     return u.select("scene_id", "frame_id", "label", g.dir8(F.col("cx"), F.col("cz")).alias("answer"))
 
 
-@query("t14_position_cam_reg", with_views("objects", "poses", rest=_ROT) + """,
-reg AS (SELECT scene_id, label, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM objects GROUP BY 1,2),
-l AS (SELECT c.scene_id, c.frame_id, g.label AS region, c.r0*(g.x-tx)+c.r3*(g.y-ty)+c.r6*(g.z-tz) AS lx, c.r2*(g.x-tx)+c.r5*(g.y-ty)+c.r8*(g.z-tz) AS lz FROM cam c JOIN reg g ON c.scene_id=g.scene_id)
-SELECT scene_id, frame_id, region, """ + sql_dir8("lx", "lz") + " AS answer FROM l")
-def position_cam_reg(spark, sf):
-    """Direction of a region, the mean of its label's objects, from each camera."""
-    reg = objects(spark, sf).groupBy("scene_id", F.col("label").alias("region")).agg(*[F.avg(c).alias(c) for c in "xyz"])
-    p = cameras(spark, sf).join(reg, "scene_id")
-    local = g.to_camera(g.col3(""), [F.col(f"r{i}") for i in range(9)], g.col3("t"))
-    return p.select("scene_id", "frame_id", "region", g.dir8(local[0], local[2]).alias("answer"))
-
-
 @query("t16_attribute_measurement", with_views("objects", rest=FUNIQUE) + """,
 s AS (SELECT *, greatest(x1-x0, y1-y0, z1-z0) AS len, (x1-x0)*(y1-y0)*(z1-z0) AS vol FROM uniq)
 SELECT a.scene_id, a.frame_id, a.label AS label_1, b.label AS label_2, CASE WHEN a.len >= b.len THEN a.label ELSE b.label END AS answer, round(a.vol, 6) AS volume_1 FROM s a JOIN s b ON a.scene_id=b.scene_id AND a.frame_id=b.frame_id AND a.label<b.label""")
@@ -335,13 +323,22 @@ def multi_image_summary(spark, sf):
     return out.where("low < high").drop("low", "high")
 
 
-@query("t18_feasible_tasks", with_views("objects", rest="c AS (SELECT scene_id, label, count(*) AS n FROM objects GROUP BY 1,2), k AS (SELECT scene_id, count(*) FILTER (n = 1) AS u, count(*) FILTER (n > 1) AS m FROM c GROUP BY 1)") + """
-SELECT scene_id, concat_ws(',', CASE WHEN m >= 1 THEN 'object_counting' END, CASE WHEN u >= 2 THEN 'absolute_distance' END, CASE WHEN u >= 1 THEN 'object_size' END, 'room_size', CASE WHEN u >= 4 THEN 'relative_distance' END, CASE WHEN u >= 3 THEN 'relative_direction_hard' END) AS tasks FROM k""")
+_FEASIBLE = """c AS (SELECT scene_id, label, count(*) AS n FROM objects GROUP BY 1,2), k AS (SELECT scene_id, count(*) FILTER (n = 1) AS u, count(*) FILTER (n > 1) AS m FROM c GROUP BY 1),
+fc AS (SELECT scene_id, frame_id, label, count(*) AS n FROM objects WHERE visibility >= 0.5 GROUP BY 1,2,3), fk AS (SELECT scene_id, frame_id, count(*) FILTER (n = 1) AS u, count(*) AS l FROM fc GROUP BY 1,2)"""
+
+
+@query("t18_feasible_tasks", with_views("objects", rest=_FEASIBLE) + """
+SELECT scene_id, -1 AS frame_id, concat_ws(',', CASE WHEN m >= 1 THEN 'object_counting' END, CASE WHEN u >= 2 THEN 'absolute_distance' END, CASE WHEN u >= 1 THEN 'object_size' END, 'room_size', CASE WHEN u >= 4 THEN 'relative_distance' END, CASE WHEN u >= 3 THEN 'relative_direction_hard' END) AS tasks FROM k
+UNION ALL SELECT scene_id, frame_id, concat_ws(',', CASE WHEN u >= 2 THEN 'single_image_relative_direction' END, CASE WHEN u >= 1 THEN 'distance_cam_obj' END, CASE WHEN u >= 2 THEN 'depth_order_obj_obj' END) FROM fk""")
 def feasible_tasks(spark, sf):
-    """The scene tasks that a scene's unique and repeated labels allow."""
-    c = objects(spark, sf).groupBy("scene_id", "label").count().groupBy("scene_id").agg(F.count_if(F.col("count") == 1).alias("u"), F.count_if(F.col("count") > 1).alias("m"))
-    rules = [("object_counting", "m >= 1"), ("absolute_distance", "u >= 2"), ("object_size", "u >= 1"), ("room_size", "true"), ("relative_distance", "u >= 4"), ("relative_direction_hard", "u >= 3")]
-    return c.select("scene_id", F.concat_ws(",", *[F.when(F.expr(rule), name) for name, rule in rules]).alias("tasks"))
+    """The tasks that a scene's, or a frame's, unique and repeated labels allow; frame -1 stands for the scene."""
+    count = lambda o, *keys: o.groupBy(*keys, "label").count().groupBy(*keys).agg(F.count_if(F.col("count") == 1).alias("u"), F.count_if(F.col("count") > 1).alias("m"))
+    named = lambda rules: F.concat_ws(",", *[F.when(F.expr(rule), name) for name, rule in rules]).alias("tasks")
+    scene = [("object_counting", "m >= 1"), ("absolute_distance", "u >= 2"), ("object_size", "u >= 1"), ("room_size", "true"), ("relative_distance", "u >= 4"), ("relative_direction_hard", "u >= 3")]
+    frame = [("single_image_relative_direction", "u >= 2"), ("distance_cam_obj", "u >= 1"), ("depth_order_obj_obj", "u >= 2")]
+    o = objects(spark, sf)
+    one = count(o, "scene_id").select("scene_id", F.lit(-1).cast("long").alias("frame_id"), named(scene))
+    return one.unionByName(count(lookup.visible(o), "scene_id", "frame_id").select("scene_id", "frame_id", named(frame)))
 
 
 @query("a04_label_annotation", with_views("objects", rest=UNIQUE) + "SELECT DISTINCT scene_id, concat(label, CASE WHEN n = 1 THEN ' (Unique)' ELSE ' (Non-Unique)' END) AS annotated, n AS label_count FROM counted")
