@@ -94,7 +94,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for words in pieces(text.as_py() or b""):
                 counts.update(words)
             counts[END.encode()] += 1
-            if len(counts) > 300_000:
+            if len(counts) > 1_000_000:
                 yield out(counts)
                 counts = Counter()
     yield out(counts)
@@ -205,6 +205,8 @@ class Model:
         self.C = np.stack([np.eye(DIM), 0.5 * np.eye(DIM)]).astype(np.float32)
         self.b = np.where(self.noise > 0, np.log(self.own), -np.inf).astype(np.float32)
         self.a = np.log(self.mass).astype(np.float32)
+        #: What each unit adds to the prediction from either place; made when the model is first asked.
+        self.after: tuple[np.ndarray, np.ndarray] | None = None
 
     def size(self) -> int:
         return sum(getattr(self, k).size for k in self.NAMES)
@@ -213,7 +215,7 @@ class Model:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
     def load(self, values: np.ndarray) -> Model:
-        at = 0
+        at, self.after = 0, None
         for k in self.NAMES:
             old = getattr(self, k)
             new = values[at : at + old.size].astype(np.float32).reshape(old.shape)
@@ -226,6 +228,7 @@ class Model:
 
         A row's gradient is the mean over its uses in the minibatch, so rare words move as far as frequent ones.
         """
+        self.after = None
         rng = np.random.default_rng([SEED, seed])
         seen = {k: np.full(getattr(self, k).shape, 1e-3 if k == "C" else 1e-2, np.float32) for k in self.NAMES}
         groups, total, mass = self.groups, 0, np.cumsum(self.mass)
@@ -286,24 +289,35 @@ class Model:
     def log10(self, rows: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of units after two others."""
         w2, w1, t = rows[:, 0], rows[:, 1], rows[:, 2]
-        h = self.R[w1] @ self.C[0] + self.R[w2] @ self.C[1]
+        if self.after is None:
+            self.after = self.R @ self.C[0], self.R @ self.C[1]
+        h = self.after[0][w1] + self.after[1][w2]
         g, out = t % self.groups, np.empty(len(t), np.float64)
 
-        def share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        room = np.empty((CHUNK, max(self.groups, self.width)), np.float32)
+
+        def share(h: np.ndarray, target: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits = room[: len(at), : len(bias)]
+            np.matmul(h, target, out=logits)
+            logits += bias
             own = logits[np.arange(len(at)), at]
             # Logits are logs of shares and products of short vectors: far from the range's ends.
-            np.exp(np.clip(logits, -np.inf, 80, out=logits), out=logits)
+            np.exp(np.minimum(logits, 80, out=logits), out=logits)
             return own - np.log(logits.sum(axis=1))
 
+        target = np.ascontiguousarray(self.G.T)
         for i in range(0, len(t), CHUNK):
-            out[i : i + CHUNK] = share(h[i : i + CHUNK] @ self.G.T + self.a, g[i : i + CHUNK])
-        order = np.argsort(g, kind="stable")
+            out[i : i + CHUNK] = share(h[i : i + CHUNK], target, self.a, g[i : i + CHUNK])
+        order = np.argsort(g.astype(np.uint16) if self.groups < 1 << 16 else g, kind="stable")
         cut = np.searchsorted(g[order], np.arange(self.groups + 1))
+        h, place = h[order], (t // self.groups)[order]
+        part = np.empty(len(t))
         for k in range(self.groups):
             target, bias = np.ascontiguousarray(self.Q[k :: self.groups].T), self.b[k :: self.groups]
             for i in range(cut[k], cut[k + 1], CHUNK):
-                at = order[i : min(i + CHUNK, cut[k + 1])]
-                out[at] += share(h[at] @ target + bias, t[at] // self.groups)
+                j = min(i + CHUNK, cut[k + 1])
+                part[i:j] = share(h[i:j], target, bias, place[i:j])
+        out[order] += part
         return out / LN10
 
 
