@@ -31,11 +31,13 @@ rows.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,20 @@ PIECE = 4 << 20  # bytes of a text that are split into words at once
 LN10 = np.log(10.0)
 
 
+def one_thread() -> None:
+    """Keeps numpy's matrix products in the task's own thread.
+
+    Products of vectors as short as these gain nothing from a second thread, which waits by
+    spinning and takes its time from the other tasks. Where numpy has another library than
+    the one it comes with, nothing changes but the time.
+    """
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
@@ -374,6 +390,7 @@ def _trainer(vocabulary, model, turn: int, batch_size: int):
     """Trains a copy of the model on each shard; the rows of a shard lie together and in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         v = vocabulary.value
         ahead = (r for batch in batches for r in (batch.slice(i, 1) for i in range(batch.num_rows)))
         now = next(ahead, None)
@@ -449,6 +466,7 @@ SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def _scorer(vocabulary, model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         v, scorer = vocabulary.value, model.value
         heads: list[tuple] = []
         first = TaskContext.get().partitionId() << 40
