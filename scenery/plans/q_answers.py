@@ -180,7 +180,8 @@ def signatures(spark, sf):
     o = _picked(spark, sf, _SIGNED, "task").join(_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey")
     a, b = F.upper("o_orderpriority"), F.concat(F.lit("Box-"), (F.col("o_custkey") % 3).cast("string"))
     labels = F.create_map(F.lit("object_label"), F.lit("none"), F.lit("target_label"), a, F.lit("object1_label"), a, F.lit("object2_label"), b)
-    o = o.withColumn("signature", answers.signature(F.col("task"), F.lit("From image 2, where is Image one?"), labels, F.array(F.lit("Lamp"), b, F.lit("null"))))
+    o = o.withColumns({"question": F.lit("From image 2, where is Image one?"), "labels": labels, "listed": F.array(F.lit("Lamp"), b, F.lit("null"))})
+    o = answers.with_signature(o, "task", "question", "labels", "listed")
     return batch.dedup_first(o.select("signature", "o_orderkey"), ["signature"], "o_orderkey").select("signature", "o_orderkey", "duplicate_weight")
 
 
