@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenery.llm import decontaminate, html_text, line_dedup, lm, mixing, near_dedup, oracles, pii, quality, sharding, warc
+from scenery.llm import decontaminate, filter_audit, html_text, line_dedup, lm, mixing, near_dedup, oracles, pii, quality, sharding, substring_dedup, token_alignment, warc
 from scenery.llm.common import materialise
 
 
@@ -62,6 +62,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -73,5 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": oracles.DECONTAMINATE, "op7_sharding": oracles.SHARDING, "op9_warc": oracles.WARC}
+ORACLES: dict[str, str] = {"op4_decontaminate": oracles.DECONTAMINATE, "op7_sharding": oracles.SHARDING, "op9_warc": oracles.WARC, "op11_substring_dedup": oracles.SUBSTRINGS, "op12_filter_audit": oracles.FILTER_AUDIT}
