@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenery.functions import geometry as g
-from scenery.operators import lookup
+from scenery.operators import lookup, nearest
 from scenery.plans.catalogue import query
 from scenery.sources.adapters import spark_view, with_views
 
@@ -65,11 +65,17 @@ SELECT scene_id, target, candidate AS answer, d AS distance FROM r WHERE k = 1""
 def relative_distance(spark, sf):
     """For each target the nearest other object; distances are rounded first, the first listed wins ties."""
     u = unique(spark, sf)
-    c = u.select("scene_id", F.col("label").alias("candidate"), F.col("object_id").alias("pos"), *[F.col(k).alias(f"{k}_2") for k in "xyz"])
-    d = F.round(g.euclid([F.col(k) for k in "xyz"], [F.col(f"{k}_2") for k in "xyz"]), 2)
-    near = u.join(c, "scene_id").where("label <> candidate").withColumn("d", d)
-    best = near.groupBy("scene_id", F.col("label").alias("target")).agg(F.min(F.struct("d", "pos", "candidate")).alias("m"))
-    return best.select("scene_id", "target", F.col("m.candidate").alias("answer"), F.col("m.d").alias("distance"))
+    found = nearest.nearest(u, ["scene_id"], "object_id")
+    target = u.select("scene_id", "object_id", F.col("label").alias("target"))
+    return found.join(target, ["scene_id", "object_id"]).join(u.select("scene_id", F.col("object_id").alias("near"), F.col("label").alias("answer")), ["scene_id", "near"]).select("scene_id", "target", "answer", "distance")
+
+
+@query("j05_nearest_objects", with_views("objects") + """, d AS (SELECT a.label, a.object_id, b.object_id AS near, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 2) AS distance
+  FROM objects a JOIN objects b ON a.label = b.label AND a.object_id <> b.object_id)
+SELECT label, object_id, near, distance FROM (SELECT *, row_number() OVER (PARTITION BY label, object_id ORDER BY distance, near) AS k FROM d) WHERE k = 1""")
+def nearest_objects(spark, sf):
+    """J5 and O2 over whole tables: of every object the nearest of its label, by grids whatever the number."""
+    return nearest.nearest(objects(spark, sf), ["label"], "object_id", direct=0)
 
 
 _REL = """,

@@ -53,3 +53,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/scenery/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """The rows, written to the shared folder and read back: lineage ends here, and the planner knows the table's size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
