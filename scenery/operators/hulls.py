@@ -78,23 +78,30 @@ def alpha_area(points: np.ndarray, alpha: float = 1.0) -> float:
     return float(np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]).sum() / 2)
 
 
-def room_area(points: DataFrame, scene: str = "scene_id", voxel: float = 0.05, alpha: float | None = 1.0, jitter: float = 0.001, seed: int = 42) -> DataFrame:
+def room_area(points: DataFrame, scene: str = "scene_id", voxel: float | None = None, alpha: float | None = 1.0, jitter: float = 0.001, seed: int = 42, order: str | None = None) -> DataFrame:
     """Area of each scene's floor points: their alpha shape, or their hull where alpha is None.
 
-    Voxels thin the points out before they meet, so one scene's are a bounded set; a small
-    seeded jitter, in the order of the points, keeps points of a grid from lying on one circle.
+    The first point of every voxel stays, first by `order` or else by x, y and z. Voxels start
+    at the floor points' least coordinates; for the alpha shape they are cubes of a metre, for
+    the hull squares of five centimetres. One scene's are a bounded set. A small seeded jitter,
+    in the order of the points, keeps points of a grid from lying on one circle.
     """
+    axes = "xy" if alpha is None else "xyz"
+    side = voxel or (0.05 if alpha is None else 1.0)
     floor = points.groupBy(scene).agg(F.percentile("z", 0.4).alias("__p"))
     low = points.join(floor, scene).where(F.col("z") < F.col("__p") + 0.1)
-    thin = low.groupBy(scene, F.floor(F.col("x") / voxel).alias("i"), F.floor(F.col("y") / voxel).alias("j")).agg(F.min(F.struct("x", "y")).alias("q"))
+    bounds = low.groupBy(scene).agg(*[F.min(c).alias(f"__{c}") for c in axes])
+    first = F.struct(*([order] if order else []), "x", "y", "z")
+    cells = [F.floor((F.col(c) - F.col(f"__{c}")) / side).alias(f"__c{c}") for c in axes]
+    thin = low.join(bounds, scene).groupBy(scene, *cells).agg(F.min(first).alias("q"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.unique(pdf[["x", "y"]].to_numpy(float), axis=0)
+        p = pdf.sort_values(list(pdf.columns[1:]))[["x", "y"]].to_numpy(float)
         if alpha is None:
             found = area(convex_hull(p))
         else:
-            found = alpha_area(p + (np.random.RandomState(seed).normal(0, jitter, p.shape) if jitter else 0.0), alpha)
+            found = alpha_area(p + np.random.RandomState(seed).normal(0, jitter, p.shape) if jitter else np.unique(p, axis=0), alpha)
         return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [round(found, 4)]})
 
     kind = dict(points.dtypes)[scene]
-    return thin.select(scene, "q.x", "q.y").groupBy(scene).applyInPandas(one, f"{scene} {kind}, area double")
+    return thin.select(scene, *([F.col(f"q.{order}").alias("__order")] if order else []), "q.x", "q.y", "q.z").groupBy(scene).applyInPandas(one, f"{scene} {kind}, area double")

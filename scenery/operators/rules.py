@@ -11,15 +11,37 @@ from pyspark.sql import functions as F
 
 from scenery.functions.vocabulary import REJECTED_TASKS, TASK_ALIASES
 
-# Stages of failure by error code.
-STAGES = {"INVALID_INPUT": "input", "UNSUPPORTED_TASK": "task_resolution", "INVALID_QUESTION": "question_validation", "EXECUTION_FAILED": "execution", "INVALID_ANSWER": "post_answer"}
-
-
-def answer_rule(task: Column, answer: Column) -> Column:
+# Stages of failure by error code; codes after which a request may be tried again; groups that are; tasks that never are.
+STAGES = {
+    "INVALID_INPUT": "input",
+    "INVALID_SUMMARY_TYPE": "input",
+    "UNSUPPORTED_TASK": "input",
+    "TASK_DISABLED": "input",
+    "MISSING_DEPENDENCY": "dependency",
+    "QUESTION_INVALID": "validation",
+    "INVALID_QUESTION_RULE": "rule",
+    "EXECUTION_FAILED": "execution",
+    "MISSING_TOOL": "execution",
+    "EMPTY_ANSWER": "answer",
+}
+RECOVERABLE_CODES = ("QUESTION_INVALID", "INVALID_QUESTION_RULE", "EXECUTION_FAILED", "EMPTY_ANSWER", "MISSING_DEPENDENCY", "MISSING_TOOL")
+RECOVERY_GROUPS = ("scene", "single_image", "image_pair")
+BLOCKED_TASKS = ("position_obj_obj", "position_obj_reg", "position_reg_reg")
+
+# What an answer that makes no question is told; the category stands between the first two parts.
+ZERO_COUNT = ("object_counting invalid: the answer is 0, which means the question targets a category that does not exist in the scene", "; zero-count questions are not used as valid training samples.")
+CATEGORY_HINT = ("（target_category=", "）")
+SAME_LEVEL = "elevation_cam_cam invalid: the camera height relation between the two images is `same_level`, so there is no meaningful elevation change; `same_level` questions are not used as valid training samples."
+
+
+def answer_rule(task: Column, answer: Column, category: Column | None = None) -> Column:
+    """Why an answer makes no valid question: a count whose first integer is 0, or cameras on one level; null where it does."""
     token = F.regexp_replace(F.translate(F.lower(F.trim(answer)), "- ", "__"), "_+", "_")
-    return F.when((task == "object_counting") & (F.regexp_extract(answer, r"(-?\d+)", 1) == "0"), "object_counting invalid: the answer is 0").when(
-        (task == "elevation_cam_cam") & (token == "same_level"), "elevation_cam_cam invalid: `same_level`"
-    )
+    named = F.trim(F.coalesce(category if category is not None else F.lit(""), F.lit("")))
+    hint = F.when(named == "", "").otherwise(F.concat(F.lit(CATEGORY_HINT[0]), named, F.lit(CATEGORY_HINT[1])))
+    none = F.regexp_extract(answer, r"(-?\d+)", 1).rlike("^-?0+$")
+    task = F.trim(task)
+    return F.when((task == "object_counting") & none, F.concat(F.lit(ZERO_COUNT[0]), hint, F.lit(ZERO_COUNT[1]))).when((task == "elevation_cam_cam") & (token == "same_level"), SAME_LEVEL)
 
 
 def first_reason(rows: DataFrame, **reasons: Column) -> DataFrame:
@@ -28,19 +50,21 @@ def first_reason(rows: DataFrame, **reasons: Column) -> DataFrame:
     return rows.withColumn("__r", found).withColumns({"failed_rule": F.col("__r.rule"), "error": F.col("__r.error"), "is_valid": F.col("__r").isNull()}).drop("__r")
 
 
-def failure_stage(code: Column) -> Column:
+def failure_stage(code: Column, is_valid: Column | bool = False) -> Column:
+    """Where a request failed: ok where it did not, unknown for a code that has no stage."""
     names = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(names, code), F.lit("unknown"))
+    return F.when(is_valid if isinstance(is_valid, Column) else F.lit(is_valid), "ok").otherwise(F.coalesce(F.try_element_at(names, F.trim(code)), F.lit("unknown")))
 
 
-def may_recover(task: Column, code: Column, tasks: list[str], codes: list[str]) -> Column:
-    """Whether a failed request may be tried again: its task and error must both be allowed."""
-    return task.isin(tasks) & code.isin(codes)
-
-
-def recovery(switched_on: Column, task: Column, code: Column, tasks: list[str], codes: list[str]) -> Column:
-    """Why a failed request is not tried again: disabled, its task or its error_code is not allowed; null where it is."""
-    return F.when(~switched_on, "disabled").when(~may_recover(task, F.lit("x"), tasks, ["x"]), "task").when(~may_recover(F.lit("x"), code, ["x"], codes), "error_code")
+def recovery(switched_on: Column, task: Column, group: Column, code: Column, groups: tuple[str, ...] = RECOVERY_GROUPS, codes: tuple[str, ...] = RECOVERABLE_CODES) -> Column:
+    """Why a failed request is not tried again: disabled, a blocked task, a group or an error code that is not allowed, by the first that applies; null where it is."""
+    group, code = F.coalesce(group, F.lit("")), F.coalesce(code, F.lit(""))
+    return (
+        F.when(~switched_on, "disabled")
+        .when(task.isin(*BLOCKED_TASKS), "task_type_hard_blocked")
+        .when(~group.isin(*groups), F.concat(F.lit("task_group_not_supported:"), group))
+        .when(~code.isin(*codes), F.concat(F.lit("error_code_not_recoverable:"), code))
+    )
 
 
 def resolve_task(name: Column, supported: list[str], aliases: dict[str, str] = TASK_ALIASES, refused: tuple[str, ...] = REJECTED_TASKS) -> Column:
@@ -50,7 +74,8 @@ def resolve_task(name: Column, supported: list[str], aliases: dict[str, str] = T
     looked at; so a short name such as `position` is refused. fuzzy: the first supported
     task that the name is part of, or that is part of the name.
     """
-    key = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[\s_()\[\]{}<>-]", "")
+    # White space, underscores and square brackets of either kind do not tell names apart; nothing else is dropped.
+    key = F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)[\s\x1c-\x1f_\[\]【】]+", ""))
     compact = [s.replace("_", "") for s in supported]
     meets = lambda x: x.contains(key) | key.contains(x)
     no = F.exists(F.array(*[F.lit(r) for r in refused]), meets) if refused else F.lit(False)

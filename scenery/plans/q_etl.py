@@ -51,24 +51,36 @@ def export_index(spark, sf):
     return _events(spark, sf, "click").withColumn("export_index", F.row_number().over(w) - 1).where("event_id % 3 <> 0").select("event_id", "export_index")
 
 
-@query("p14_answer_rules", with_views("poses") + "SELECT a.scene_id, a.frame_id AS frame_1, b.frame_id AS frame_2, CASE WHEN abs(b.tz-a.tz) <= 0.15 THEN 'elevation_cam_cam invalid: `same_level`' END AS error, CASE WHEN abs(b.tz-a.tz) <= 0.15 THEN 'post_answer' ELSE 'unknown' END AS stage FROM poses a JOIN poses b ON a.scene_id=b.scene_id AND a.frame_id<b.frame_id")
+_SAME = "elevation_cam_cam invalid: the camera height relation between the two images is `same_level`, so there is no meaningful elevation change; `same_level` questions are not used as valid training samples."
+
+
+@query("p14_answer_rules", with_views("poses") + f"SELECT a.scene_id, a.frame_id AS frame_1, b.frame_id AS frame_2, CASE WHEN abs(b.tz-a.tz) <= 0.15 THEN '{_SAME}' END AS error, CASE WHEN abs(b.tz-a.tz) <= 0.15 THEN 'rule' ELSE 'ok' END AS stage FROM poses a JOIN poses b ON a.scene_id=b.scene_id AND a.frame_id<b.frame_id")
 def answer_rules(spark, sf):
-    """P14 and F34."""
+    """Cameras on one level make no question; the stage that says so."""
     from scenery.plans.q_scene import elevation_cam_cam
 
     p = elevation_cam_cam(spark, sf).withColumn("error", rules.answer_rule(F.lit("elevation_cam_cam"), F.col("answer")))
-    return p.select("scene_id", "frame_1", "frame_2", "error", rules.failure_stage(F.when(F.col("error").isNotNull(), "INVALID_ANSWER").otherwise("NONE")).alias("stage"))
+    return p.select("scene_id", "frame_1", "frame_2", "error", rules.failure_stage(F.lit("INVALID_QUESTION_RULE"), F.col("error").isNull()).alias("stage"))
+
+
+@query("p14_counted_answers", with_views("objects") + """, n AS (SELECT scene_id, label, count(*) FILTER (visibility >= 0.9) AS n FROM objects GROUP BY 1, 2)
+SELECT scene_id, label, n AS answer, CASE WHEN n = 0 THEN concat('object_counting invalid: the answer is 0, which means the question targets a category that does not exist in the scene（target_category=', label, '）; zero-count questions are not used as valid training samples.') END AS error FROM n""")
+def counted_answers(spark, sf):
+    """A count of nothing makes no question; the message names the category."""
+    n = objects(spark, sf).groupBy("scene_id", "label").agg(F.count_if(F.col("visibility") >= 0.9).alias("answer"))
+    return n.select("scene_id", "label", "answer", rules.answer_rule(F.lit("object_counting"), F.col("answer").cast("string"), F.col("label")).alias("error"))
 
 
 @query("a18_room_hull")
 def room_hull(spark, sf):
     """Hull area of each scene's floor points; tested against hand-made shapes."""
-    return hulls.room_area(objects(spark, sf).select("scene_id", "x", "y", "z"), alpha=None)
+    return hulls.room_area(objects(spark, sf).select("scene_id", "object_id", "x", "y", "z"), alpha=None, order="object_id")
 
 
 #: Triangles whose circles hold no other point are the Delaunay triangulation: by brute force, for the few points of these scenes.
-ALPHA = """fq AS (SELECT scene_id, quantile_cont(z, 0.4) AS p FROM objects GROUP BY 1), ft AS (SELECT o.scene_id, min({'x': x, 'y': y}) AS s FROM objects o JOIN fq ON fq.scene_id = o.scene_id WHERE z < p + 0.1 GROUP BY o.scene_id, floor(x / 0.05), floor(y / 0.05)),
-fp AS (SELECT scene_id, s.x AS x, s.y AS y, row_number() OVER (PARTITION BY scene_id ORDER BY s.x, s.y) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM ft),
+ALPHA = """fq AS (SELECT scene_id, quantile_cont(z, 0.4) AS p FROM objects GROUP BY 1), fl AS (SELECT o.* FROM objects o JOIN fq ON fq.scene_id = o.scene_id WHERE z < p + 0.1), fb AS (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM fl GROUP BY 1),
+ft AS (SELECT fl.scene_id, arg_min({'x': x, 'y': y}, object_id) AS s FROM fl JOIN fb ON fb.scene_id = fl.scene_id GROUP BY fl.scene_id, floor(x - mx), floor(y - my), floor(z - mz)),
+fp AS (SELECT scene_id, x, y, row_number() OVER (PARTITION BY scene_id ORDER BY x, y) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM (SELECT DISTINCT scene_id, s.x AS x, s.y AS y FROM ft)),
 t3 AS (SELECT a.scene_id, a.n, a.x AS ax, a.y AS ay, b.x - a.x AS px, b.y - a.y AS py, c.x - a.x AS qx, c.y - a.y AS qy, a.k AS ka, b.k AS kb, c.k AS kc FROM fp a JOIN fp b ON a.scene_id = b.scene_id AND b.k > a.k JOIN fp c ON c.scene_id = a.scene_id AND c.k > b.k),
 t4 AS (SELECT *, px*qy - py*qx AS d FROM t3), t5 AS (SELECT *, ax + (qy*(px*px+py*py) - py*(qx*qx+qy*qy)) / (2*d) AS ux, ay + (px*(qx*qx+qy*qy) - qx*(px*px+py*py)) / (2*d) AS uy FROM t4 WHERE d <> 0),
 t6 AS (SELECT *, (ax-ux)*(ax-ux) + (ay-uy)*(ay-uy) AS r2 FROM t5),
@@ -79,7 +91,7 @@ room AS (SELECT f.scene_id, coalesce(sum(area), 0.0) AS area FROM (SELECT DISTIN
 @query("a18_room_area", with_views("objects", rest=ALPHA) + "SELECT scene_id, round(area, 4) AS area FROM room")
 def room_area(spark, sf):
     """Area of the alpha shape of each scene's floor points, here without the jitter, which SQL cannot repeat."""
-    return hulls.room_area(objects(spark, sf).select("scene_id", "x", "y", "z"), jitter=0.0)
+    return hulls.room_area(objects(spark, sf).select("scene_id", "object_id", "x", "y", "z"), jitter=0.0, order="object_id")
 
 
 @query("t06_room_size", with_views("objects", rest=ALPHA + ", h AS (SELECT scene_id, round(max(z1)-min(z0), 4) AS height FROM objects GROUP BY 1)") + "SELECT room.scene_id, concat(CAST(round(area, 2) AS VARCHAR), ' square meters') AS answer, height FROM room JOIN h ON h.scene_id = room.scene_id")
@@ -87,7 +99,7 @@ def room_size(spark, sf):
     """The floor's area, and the height of the box around a scene's objects."""
     o = objects(spark, sf)
     height = o.groupBy("scene_id").agg(F.round(F.max("z1") - F.min("z0"), 4).alias("height"))
-    area = hulls.room_area(o.select("scene_id", "x", "y", "z"), jitter=0.0)
+    area = hulls.room_area(o.select("scene_id", "object_id", "x", "y", "z"), jitter=0.0, order="object_id")
     return area.join(height, "scene_id").select("scene_id", F.concat(F.round("area", 2).cast("string"), F.lit(" square meters")).alias("answer"), "height")
 
 

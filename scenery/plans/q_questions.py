@@ -15,7 +15,7 @@ from scenery.sources.adapters import with_views
 
 SUPPORTED = [t for _, t in TASKS]
 #: Names as requests give them: exact, other names, parts, refused, empty and unknown ones.
-TASK_REQUESTS = [*SUPPORTED, *sorted(TASK_ALIASES), "Object-Counting", " ROOM (size) ", "counting", "size", "direction", "position", "position_obj_obj", "positionregregx", "", "weather", "room_size_estimate"]
+TASK_REQUESTS = [*SUPPORTED, *sorted(TASK_ALIASES), "Object-Counting", " ROOM (size) ", "[Object]\tCounting", "【room】 SIZE", "room\u00a0size", "counting", "size", "direction", "position", "position_obj_obj", "positionregregx", "", "weather", "room_size_estimate"]
 GROUP_REQUESTS = [*sorted(GROUP_ALIASES), *sorted(SUMMARY_ALIASES), "Scene ", "two images", "none", "", "multi-image"]
 
 
@@ -35,7 +35,7 @@ def _asked(options, name):
     return values("opt", f"i, {name}", list(enumerate(options))) + f", asked AS (SELECT o_orderkey, {name} FROM orders JOIN opt ON i = o_orderkey % {len(options)})"
 
 
-_KEY = r"regexp_replace(lower(name), '[\s_()\[\]{}<>-]', '', 'g')"
+_KEY = r"regexp_replace(lower(name), '[\s\x0b\x1c-\x1f\x{85}\p{Z}_\[\]【】]+', '', 'g')"
 
 
 @query("f04_task_resolution", "WITH " + _asked(TASK_REQUESTS, "name") + ", " + values("sup", "k, task", list(enumerate(SUPPORTED))) + ", " + values("ali", "a, task", TASK_ALIASES.items()) + ", " + values("rej", "r", [(r,) for r in REJECTED_TASKS]) + f""",
@@ -211,11 +211,35 @@ def image_references(spark, sf):
     return _picked(spark, sf, asked, "question").select("o_orderkey", text.image_asked(F.col("question")).alias("image"))
 
 
-@query("t20_recovery_gate", "SELECT o_orderkey, o_orderkey % 4 <> 3 AND o_custkey % 3 = 0 AND o_orderkey % 2 = 0 AS may_recover, CASE WHEN o_orderkey % 2 = 1 THEN 'disabled' WHEN o_orderkey % 4 = 3 THEN 'task' WHEN o_custkey % 3 <> 0 THEN 'error_code' END AS reason FROM orders")
+#: Tasks by their groups, blocked ones and one that nobody knows; every code, one that is none, and no code.
+GATED = [*TASKS, ("image_pair", "position_obj_obj"), ("scene", "position_reg_reg"), ("multi_image", "weather"), (None, "unheard_of")]
+CODES = [*rules.STAGES, "OTHER", ""]
+
+
+def _failed(spark, sf):
+    """Orders as failed requests: a task with its group by the order's key, a code by its customer's."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    tasks = F.array(*[F.struct(F.lit(g).cast("string").alias("task_group"), F.lit(t).alias("task")) for g, t in GATED])
+    o = o.withColumn("t", F.get(tasks, (F.floor(F.col("o_orderkey") / 2) % len(GATED)).cast("int")))
+    return o.select("o_orderkey", "t.task", "t.task_group", F.get(F.array(*[F.lit(c) for c in CODES]), (F.col("o_custkey") % len(CODES)).cast("int")).alias("code"))
+
+
+_FAILED = values("gated", "i, task_group, task", [(i, g, t) for i, (g, t) in enumerate(GATED)]) + ", " + values("codes", "j, code", list(enumerate(CODES))) + f""",
+failed AS (SELECT o_orderkey, task, task_group, code FROM orders JOIN gated ON i = (o_orderkey // 2) % {len(GATED)} JOIN codes ON j = o_custkey % {len(CODES)})"""
+
+
+@query("t20_recovery_gate", "WITH " + _FAILED + """, r AS (SELECT *, CASE WHEN o_orderkey % 2 = 1 THEN 'disabled' WHEN task IN ('position_obj_obj', 'position_obj_reg', 'position_reg_reg') THEN 'task_type_hard_blocked'
+  WHEN coalesce(task_group, '') NOT IN ('scene', 'single_image', 'image_pair') THEN concat('task_group_not_supported:', coalesce(task_group, ''))
+  WHEN code NOT IN ('QUESTION_INVALID', 'INVALID_QUESTION_RULE', 'EXECUTION_FAILED', 'EMPTY_ANSWER', 'MISSING_DEPENDENCY', 'MISSING_TOOL') THEN concat('error_code_not_recoverable:', code) END AS reason FROM failed)
+SELECT o_orderkey, task, code, reason IS NULL AS may_recover, reason FROM r""")
 def recovery_gate(spark, sf):
-    """Whether a failed request is tried again: switched on, its task's group and its error code allowed; and why not."""
-    k = F.col("o_orderkey")
-    task = F.get(F.array(*[F.lit(t) for t in ("object_size", "motion_camera", "depth_order_obj_obj", "weather")]), (k % 4).cast("int"))
-    code = F.get(F.array(F.lit("INVALID_QUESTION"), F.lit("UNSUPPORTED_TASK"), F.lit("INVALID_INPUT")), (F.col("o_custkey") % 3).cast("int"))
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", rules.recovery(k % 2 == 0, task, code, SUPPORTED, ["INVALID_QUESTION", "EXECUTION_FAILED"]).alias("r"))
-    return o.select("o_orderkey", F.col("r").isNull().alias("may_recover"), F.col("r").alias("reason"))
+    """Whether a failed request is tried again: switched on, its task not blocked, its group and its error code allowed; and why not."""
+    o = _failed(spark, sf).withColumn("reason", rules.recovery(F.col("o_orderkey") % 2 == 0, F.col("task"), F.col("task_group"), F.col("code")))
+    return o.select("o_orderkey", "task", "code", F.col("reason").isNull().alias("may_recover"), "reason")
+
+
+@query("f34_failure_stages", "WITH " + _FAILED + """ SELECT o_orderkey, code, CASE WHEN o_orderkey % 5 = 0 THEN 'ok' WHEN code IN ('INVALID_INPUT', 'INVALID_SUMMARY_TYPE', 'UNSUPPORTED_TASK', 'TASK_DISABLED') THEN 'input' WHEN code = 'MISSING_DEPENDENCY' THEN 'dependency'
+  WHEN code = 'QUESTION_INVALID' THEN 'validation' WHEN code = 'INVALID_QUESTION_RULE' THEN 'rule' WHEN code IN ('EXECUTION_FAILED', 'MISSING_TOOL') THEN 'execution' WHEN code = 'EMPTY_ANSWER' THEN 'answer' ELSE 'unknown' END AS stage FROM failed""")
+def failure_stages(spark, sf):
+    """the stage at which a request failed, by its code; ok where it is valid."""
+    return _failed(spark, sf).select("o_orderkey", "code", rules.failure_stage(F.col("code"), F.col("o_orderkey") % 5 == 0).alias("stage"))
