@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenery.functions import fuzzy, rewards, text
-from scenery.operators import lookup
+from scenery.operators import lookup, mentions
 from scenery.plans.catalogue import query
 from scenery.sources.adapters import spark_view, with_views
 
@@ -188,3 +188,17 @@ def retention(spark, sf):
     latest = s.orderBy(F.desc("step")).limit(2)
     best = s.orderBy(F.desc("score"), "step").limit(1)
     return latest.union(best).select("step").distinct()
+
+
+_ITEM_WORDS = r"""pools AS (SELECT DISTINCT pool_id, label FROM (SELECT item_id % 16 AS pool_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS label FROM benchmark) WHERE length(label) >= 5),
+said AS (SELECT conv_id, turn, lower(text) AS t, (conv_id * 7 + turn) % 16 AS pool_id FROM conversations)"""
+
+
+@query("f10_text_mentions", "WITH " + _ITEM_WORDS + """
+SELECT conv_id, turn, said.pool_id, coalesce(string_agg(label, ',' ORDER BY instr(t, label), label), '') AS named FROM said LEFT JOIN pools ON pools.pool_id = said.pool_id AND contains(t, label) GROUP BY conv_id, turn, said.pool_id, t""")
+def text_mentions(spark, sf):
+    """F10 on free text: which words of sixteen pools of benchmark items a turn of a conversation names, in order, by one automaton a pool."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    pools = read("benchmark").select((F.col("item_id") % 16).alias("pool_id"), F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("label")).where(F.length("label") >= 5).distinct()
+    said = read("conversations").select("conv_id", "turn", "text", ((F.col("conv_id") * 7 + F.col("turn")) % 16).alias("pool_id"))
+    return mentions.named(said, pools).select("conv_id", "turn", "pool_id", F.array_join("named", ",").alias("named"))
