@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenery.functions import fuzzy, rewards, text
-from scenery.operators import lookup, mentions
+from scenery.operators import lookup, mentions, similar
 from scenery.plans.catalogue import query
 from scenery.sources.adapters import spark_view, with_views
 
@@ -202,3 +202,10 @@ def text_mentions(spark, sf):
     pools = read("benchmark").select((F.col("item_id") % 16).alias("pool_id"), F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("label")).where(F.length("label") >= 5).distinct()
     said = read("conversations").select("conv_id", "turn", "text", ((F.col("conv_id") * 7 + F.col("turn")) % 16).alias("pool_id"))
     return mentions.named(said, pools).select("conv_id", "turn", "pool_id", F.array_join("named", ",").alias("named"))
+
+
+@query("j14_closest_words")
+def closest_words(spark, sf):
+    """Of every word of a turn of a conversation the closest word of the benchmark's items, at a ratio of 0.8; no SQL form, held against all pairs in the tests."""
+    word = lambda t, name: spark.read.parquet(f"{sf}/{t}.parquet").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias(name)).where(F.length(name) >= 4).distinct()
+    return similar.closest(word("conversations", "name"), word("benchmark", "other"), 0.8)
