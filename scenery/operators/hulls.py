@@ -1,12 +1,14 @@
-"""Room areas from point sets, one bounded set of voxels per scene."""
+"""Room areas from point sets: hulls of a scene's bounded voxels, alpha shapes in tiles."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenery.session import written
+
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corners of the hull, counter-clockwise, by the monotone chain."""
@@ -66,25 +68,67 @@ def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
     return np.column_stack([np.where(flat, 0.0, a[:, 0] + x), np.where(flat, 0.0, a[:, 1] + y), np.where(flat, np.inf, x * x + y * y)])
 
 
-def alpha_area(points: np.ndarray, alpha: float = 1.0) -> float:
-    """Area of the triangles whose circle is narrower than 1 / alpha; of fewer than four points their hull's."""
-    if len(points) < 4:
+def alpha_area(points: np.ndarray, alpha: float = 1.0, owned=None) -> float:
+    """Area of the triangles whose circle is narrower than 1 / alpha; of fewer than four points their hull's.
+
+    owned: which of the circles' centres count, by their x and y.
+    """
+    if len(points) < 4 and owned is None:
         return area(convex_hull(points))
     tri = triangulate(points)
     if not len(tri):
         return 0.0
-    kept = tri[_circles(points, tri)[:, 2] < 1 / alpha**2]
-    u, v = points[kept[:, 1]] - points[kept[:, 0]], points[kept[:, 2]] - points[kept[:, 0]]
+    tri = np.sort(tri, axis=1)  # of points in order, so that a triangle's centre is the same wherever it is found
+    circles = _circles(points, tri)
+    kept = circles[:, 2] < 1 / alpha**2
+    if owned is not None:
+        kept &= owned(circles[:, 0], circles[:, 1])
+    u, v = points[tri[kept, 1]] - points[tri[kept, 0]], points[tri[kept, 2]] - points[tri[kept, 0]]
     return float(np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]).sum() / 2)
 
 
+#: A tile's side, in reaches of the circle.
+TILE = 8
+
+
+def alpha_areas(points: DataFrame, scene: str, alpha: float, tile: float = TILE) -> DataFrame:
+    """scene and area: the alpha shape of each scene's distinct points (x, y), worked out tile by tile.
+
+    A circle narrower than its reach, 1 / alpha, lies within that reach of its centre, with its
+    triangle and whatever point might break it. So a tile with a halo of one reach finds just
+    the triangles whose circle is centred in it, and a scene's are those of its tiles, each
+    once. A point goes to four tiles at most. Scenes of fewer than four points are hulls.
+    """
+    reach = 1 / alpha
+    side = tile * reach
+    kind = dict(points.dtypes)[scene]
+    flat = points.select(scene, "x", "y").distinct()
+    counts = flat.groupBy(scene).agg(F.count(F.lit(1)).alias("n"))
+    tiles = [F.explode(F.sequence(F.floor((F.col(c) - reach * 1.001) / side), F.floor((F.col(c) + reach * 1.001) / side))).alias(t) for c, t in (("x", "i"), ("y", "j"))]
+    dealt = flat.select("*", tiles[0]).select("*", tiles[1])
+
+    def of_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        p = pdf[["x", "y"]].sort_values(["x", "y"]).to_numpy(float)
+        found = alpha_area(p, alpha, lambda x, y: (np.floor(x / side) == i) & (np.floor(y / side) == j))
+        return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [found]})
+
+    def of_few(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [area(convex_hull(pdf[["x", "y"]].to_numpy(float)))]})
+
+    shape = f"{scene} {kind}, area double"
+    parts = dealt.groupBy(scene, "i", "j").applyInPandas(of_tile, shape).groupBy(scene).agg(F.sum("area").alias("tiled"))
+    few = flat.join(counts.where("n < 4"), scene, "left_semi").groupBy(scene).applyInPandas(of_few, shape).withColumnRenamed("area", "hull")
+    return counts.join(parts, scene, "left").join(few, scene, "left").select(scene, F.coalesce("hull", "tiled", F.lit(0.0)).alias("area"))
+
+
 def room_area(points: DataFrame, scene: str = "scene_id", voxel: float | None = None, alpha: float | None = 1.0, jitter: float = 0.001, seed: int = 42, order: str | None = None) -> DataFrame:
     """Area of each scene's floor points: their alpha shape, or their hull where alpha is None.
 
     The first point of every voxel stays, first by `order` or else by x, y and z. Voxels start
     at the floor points' least coordinates; for the alpha shape they are cubes of a metre, for
-    the hull squares of five centimetres. One scene's are a bounded set. A small seeded jitter,
-    in the order of the points, keeps points of a grid from lying on one circle.
+    the hull squares of five centimetres. A small seeded jitter, in the order of the points,
+    keeps points of a grid from lying on one circle. The shape is worked out in tiles.
     """
     axes = "xy" if alpha is None else "xyz"
     side = voxel or (0.05 if alpha is None else 1.0)
@@ -95,13 +139,39 @@ def room_area(points: DataFrame, scene: str = "scene_id", voxel: float | None =
     cells = [F.floor((F.col(c) - F.col(f"__{c}")) / side).alias(f"__c{c}") for c in axes]
     thin = low.join(bounds, scene).groupBy(scene, *cells).agg(F.min(first).alias("q"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(list(pdf.columns[1:]))[["x", "y"]].to_numpy(float)
-        if alpha is None:
-            found = area(convex_hull(p))
-        else:
-            found = alpha_area(p + np.random.RandomState(seed).normal(0, jitter, p.shape) if jitter else np.unique(p, axis=0), alpha)
-        return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [round(found, 4)]})
-
     kind = dict(points.dtypes)[scene]
-    return thin.select(scene, *([F.col(f"q.{order}").alias("__order")] if order else []), "q.x", "q.y", "q.z").groupBy(scene).applyInPandas(one, f"{scene} {kind}, area double")
+    thin = thin.select(scene, *([F.col(f"q.{order}").alias("__order")] if order else []), "q.x", "q.y", "q.z")
+    if alpha is not None:
+        if jitter:
+            place = F.row_number().over(Window.partitionBy(scene).orderBy(*(["__order"] if order else []), "x", "y", "z")) - 1
+            moved = thin.withColumn("__k", place).mapInPandas(_moved(scene, jitter, seed), f"{scene} {kind}, x double, y double")
+            thin = written(moved, "room-points")  # each place is moved once
+        found = alpha_areas(thin, scene, alpha)
+        return found.select(scene, F.round("area", 4).alias("area"))
+
+    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({scene: [pdf[scene].iloc[0]], "area": [round(area(convex_hull(pdf[["x", "y"]].to_numpy(float))), 4)]})
+
+    return thin.groupBy(scene).applyInPandas(hull, f"{scene} {kind}, area double")
+
+
+def _moved(scene: str, jitter: float, seed: int):
+    """Adds to the k-th point of a scene the k-th pair of a seeded sequence of normal numbers, drawn block by block."""
+    block = 1 << 16
+
+    def run(batches):
+        drawn: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            k = pdf["__k"].to_numpy()
+            noise = np.zeros((len(k), 2))
+            for b in np.unique(k // block).tolist():
+                if b not in drawn:
+                    rng = np.random.RandomState(seed)
+                    for _ in range(b):
+                        rng.normal(0, jitter, (block, 2))
+                    drawn = {b: rng.normal(0, jitter, (block, 2))}
+                own = k // block == b
+                noise[own] = drawn[b][k[own] % block]
+            yield pd.DataFrame({scene: pdf[scene], "x": pdf["x"] + noise[:, 0], "y": pdf["y"] + noise[:, 1]})
+
+    return run
