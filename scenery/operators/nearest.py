@@ -44,6 +44,14 @@ def _best(pairs: DataFrame, keys: list[str], digits: int) -> DataFrame:
     return pairs.groupBy(*keys, *AXES).agg(F.min(F.when(apart, F.struct(d.alias("d"), F.col("first_2").alias("pos")))).alias("near"))
 
 
+def _of_few(own: DataFrame, keys: list[str], order: str, digits: int) -> DataFrame:
+    """Groups of a bounded size: all pairs."""
+    d = F.round(g.euclid([F.col(a) for a in AXES], [F.col(f"{a}_2") for a in AXES]), digits)
+    there = own.select(*keys, F.col("pos").alias("pos_2"), *[F.col(a).alias(f"{a}_2") for a in AXES])
+    best = own.join(there, keys).where("pos <> pos_2").groupBy(*keys, "pos").agg(F.min(F.struct(d.alias("d"), F.col("pos_2").alias("pos"))).alias("best"))
+    return best.select(*keys, F.col("pos").alias(order), F.col("best.pos").alias("near"), F.col("best.d").alias("distance"))
+
+
 def nearest(objects: DataFrame, keys: list[str], order: str, digits: int = 2, direct: int = DIRECT) -> DataFrame:
     """keys, order, near and distance: the object nearest to each other one of its group.
 
@@ -53,19 +61,23 @@ def nearest(objects: DataFrame, keys: list[str], order: str, digits: int = 2, di
     """
     known = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")) for a in AXES]
     own = objects.select(*keys, F.col(order).alias("pos"), *[(F.col(a).cast("double") + 0.0).alias(a) for a in AXES]).where(known[0] & known[1] & known[2])
+    if (own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0) <= direct:
+        return _of_few(own, keys, order, digits)
     # The two first objects of a place: to each the nearest at its own place is the first of the others.
     least = own.groupBy(*keys, *AXES).agg(F.min("pos").alias("first"))
     second = own.join(least, [*keys, *AXES]).where("pos <> first").groupBy(*keys, *AXES).agg(F.min("pos").alias("second"))
-    places = written(least.join(second, [*keys, *AXES], "left"), "nearest-places")
+    places = least.join(second, [*keys, *AXES], "left")
     ends = [f(a).alias(f"{e}{a}") for a in AXES for e, f in (("l", F.min), ("h", F.max))]
     groups = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends)
-    groups = written(groups.select(*keys, "n", F.greatest(*[F.col(f"h{a}") - F.col(f"l{a}") for a in AXES]).alias("extent")), "nearest-groups")
+    groups = groups.select(*keys, "n", F.greatest(*[F.col(f"h{a}") - F.col(f"l{a}") for a in AXES]).alias("extent"))
+    top = groups.where(F.col("n") > direct).agg(F.max("extent").alias("e")).first()["e"]
+    if top is not None:
+        places, groups = written(places, "nearest-places"), written(groups, "nearest-groups")
     other = lambda rows: rows.select(*[c for c in rows.columns if c not in (*AXES, "first", "second")], *[F.col(a).alias(f"{a}_2") for a in AXES], F.col("first").alias("first_2"))
-    few = places.join(groups.where(F.col("n") <= direct).select(*keys), keys)
+    few = places.join(groups.where(F.col("n") <= direct).select(*keys), keys) if top is not None else places
     settled = [_best(few.join(other(few), keys), keys, digits)]
-    unit = 10.0**-digits
-    top = groups.where(F.col("n") > direct).agg(F.max("extent").alias("e")).first()["e"]
     if top is not None:
+        unit = 10.0**-digits
         levels = max(0, math.ceil(math.log2(max(top, unit) / unit)))
         settled += _by_grids(places, groups.where(F.col("n") > direct), keys, digits, unit, levels, other)
     near = settled[0]

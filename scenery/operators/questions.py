@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenery.functions.fuzzy import NULL, Names, resolve_pairs
 from scenery.operators.lookup import ANCHORLESS
+from scenery.session import written
 
 # The fields of each task's labels.
 FIELDS = {
@@ -65,7 +66,15 @@ def extract(rows: DataFrame, key: str, names: Names, task: str = "task", questio
 
     A label comes from the wording where it has one and from the question's mentions else; for
     tasks of one label it is the other way round. Labels that no candidate matches are `null`.
+    Each distinct question of a task and pool is worked out once and joined back by a digest.
     """
+    keyed = rows.withColumn("__asked", F.md5(F.to_json(F.struct(F.col(task), F.col(question), F.col(pool)))))
+    distinct = keyed.groupBy("__asked").agg(F.first(task).alias(task), F.first(question).alias(question), F.first(pool).alias(pool))
+    found = _extracted(written(distinct, "questions"), "__asked", names, task, question, pool)
+    return keyed.join(found.select("__asked", "labels", "candidate_labels"), "__asked", "left").drop("__asked")
+
+
+def _extracted(rows: DataFrame, key: str, names: Names, task: str, question: str, pool: str) -> DataFrame:
     said = rows.withColumn("__said", spoken(F.col(task), F.col(question)))
     long = said.select(key, task, F.col(pool).alias("__p"), F.posexplode("__said").alias("__i", "__raw"))
     region = F.col(task) == "position_cam_reg"

@@ -5,8 +5,8 @@ below the sequence ratio. A name is therefore a set of letters, each with the nu
 occurrence; two names that reach the cutoff c share at least c / (2 - c) of the longer one's
 set, so they share one of its rarest letters: each side puts only that prefix of its letters,
 in one fixed order from rare to frequent, into an inverted index. Pairs that meet there pass
-a filter on lengths and the bound itself, all in columns; the ratio is worked out in Arrow
-batches for the pairs that are left.
+filters on lengths, on the letters behind the one they meet in, and the bound itself, all in
+columns; the ratio is worked out in Arrow batches for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
 
 
 def letters(name: Column) -> Column:
-    """A name's letters with the number of their occurrence, the rarest first: later occurrences before earlier ones, then by letter."""
+    """A name's letters with the number of their occurrence, as texts that sort the rarest first: later occurrences, then letters that are not listed, then by place."""
     each = F.filter(F.split(name, ""), lambda c: c != "")
-    counted = F.transform(each, lambda c, i: F.struct((-F.size(F.filter(F.slice(each, 1, i + 1), lambda x: x == c))).alias("k"), (-F.instr(F.lit("\0" + FREQUENT), c)).alias("f"), c.alias("c")))
-    # A letter that is not listed has place 0 there; it comes first by the null it becomes.
-    rare = F.transform(counted, lambda t: F.struct(t["k"].alias("k"), F.when(t["f"] != 0, t["f"]).alias("f"), t["c"].alias("c")))
-    return F.sort_array(rare)
+    number = lambda n: F.lpad(n.cast("string"), 9, "0")
+    later = lambda c, i: number(F.lit(999_999_999) - F.size(F.filter(F.slice(each, 1, i + 1), lambda x: x == c)))
+    place = lambda c: number(F.when(F.instr(F.lit(FREQUENT), c) > 0, F.lit(99) - F.instr(F.lit(FREQUENT), c)).otherwise(0))
+    return F.sort_array(F.transform(each, lambda c, i: F.concat(later(c, i), place(c), c)))
 
 
 def _prefix(own: Column, cutoff: float) -> Column:
@@ -58,9 +58,11 @@ def pairs(names: DataFrame, others: DataFrame, cutoff: float, keys: list[str] |
     keys = keys or []
     left = names.where(F.col(name).isNotNull()).select(*keys, F.col(name).alias("name")).distinct().withColumn("a", letters(F.col("name")))
     right = others.where(F.col(other).isNotNull()).select(*keys, F.col(other).alias("other")).distinct().withColumn("b", letters(F.col("other")))
-    one, two = (rows.select("*", F.explode(_prefix(F.col(c), cutoff)).alias("letter")) for rows, c in ((left, "a"), (right, "b")))
+    one, two = (rows.select("*", F.posexplode(_prefix(F.col(c), cutoff)).alias(f"at_{c}", "letter")) for rows, c in ((left, "a"), (right, "b")))
     shared, n, m = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
     met = one.join(two, [*keys, "letter"]).where((n >= m * (cutoff / (2 - cutoff)) - 1e-9) & (m >= n * (cutoff / (2 - cutoff)) - 1e-9))
+    # From their first common letter on, two names share no more than either has left.
+    met = met.where(2.0 * F.least(n - F.col("at_a"), m - F.col("at_b")) >= cutoff * (n + m) - 1e-9)
     met = met.where(2.0 * shared >= cutoff * (n + m) - 1e-9).select(*keys, "name", "other").distinct()
     empty = left.where("name = ''").join(right.where("other = ''").select(*keys, "other"), keys) if keys else left.where("name = ''").join(right.where("other = ''").select("other"), F.col("name") == F.col("other"))
     met = met.unionByName(empty.select(*keys, "name", "other"))
