@@ -308,3 +308,15 @@ def r_policy(spark, sf):
     k = rollouts(spark, sf).select("uid", "pos", F.col("reward"), F.col("value"), (F.col("score") - 0.4).alias("adv"))
     loss, clipped = rewards.policy_loss(F.col("reward"), F.col("value"), F.col("adv"))
     return k.select("uid", "pos", tidy(loss).alias("loss"), clipped.alias("clipped"))
+
+
+@query("x05_registered_advantage", _w("s AS (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY uid) AS m FROM rollouts)") + "SELECT uid, pos, round(score - m, 6) + 0.0 AS advantage FROM s")
+def registered_advantage(spark, sf):
+    """An estimator that a user registers by name, here the lead over the group's median, is found and run like the others."""
+    if "median_lead" not in batch.ADVANTAGES:
+
+        @batch.register_advantage("median_lead")
+        def median_lead(rows, key="uid", score="score"):
+            return batch.with_group(rows, key, __m=F.median(score)).withColumn("advantage", F.col(score) - F.col("__m")).drop("__m")
+
+    return batch.ADVANTAGES["median_lead"](rollouts(spark, sf)).select("uid", "pos", tidy(F.col("advantage")).alias("advantage"))

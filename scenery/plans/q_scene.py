@@ -520,3 +520,19 @@ def recovery_evidence(spark, sf):
 def frame_evidence(spark, sf):
     """A frame's objects: relevant ones first, then the best seen, then by id as text."""
     return lookup.evidence(objects(spark, sf), ["scene_id", "frame_id"], ["l3", "l5"], 3, F.desc("visibility"), F.col("object_id").cast("string")).select("scene_id", "frame_id", "object_id", "label", "k")
+
+
+@query("g17_aligned_poses", with_views("poses", rest=_ROT) + """,
+al AS (SELECT scene_id, cos(min(tx)) AS c, sin(min(tx)) AS s, min(ty) AS ay, max(tz) AS az FROM poses GROUP BY 1)
+SELECT cam.scene_id, frame_id, round(c*r0 - s*r3, 6) + 0.0 AS r0, round(s*r0 + c*r3, 6) + 0.0 AS r3, round(r8, 6) + 0.0 AS r8, round(c*tx - s*ty + ay, 6) + 0.0 AS tx, round(s*tx + c*ty, 6) + 0.0 AS ty, round(tz + az, 6) + 0.0 AS tz FROM cam JOIN al ON al.scene_id = cam.scene_id""")
+def aligned_poses(spark, sf):
+    """Every pose behind its scene's alignment, a turn about the height and a shift, as products of 4x4 matrices."""
+    lit = F.lit
+    al = spark_view(spark, sf, "poses").groupBy("scene_id").agg(F.cos(F.min("tx")).alias("c"), F.sin(F.min("tx")).alias("s"), F.min("ty").alias("ay"), F.max("tz").alias("az"))
+    p = cameras(spark, sf).join(al, "scene_id")
+    c, s = F.col("c"), F.col("s")
+    zero, one = lit(0.0), lit(1.0)
+    a = [c, -s, zero, F.col("ay"), s, c, zero, zero, zero, zero, one, F.col("az"), zero, zero, zero, one]
+    b = [x for i in range(3) for x in [*[F.col(f"r{3 * i + j}") for j in range(3)], F.col("t" + "xyz"[i])]] + [zero, zero, zero, one]
+    m = g.matrix_product(a, b)
+    return p.select("scene_id", "frame_id", *[g.tidy(m[i]).alias(n) for i, n in ((0, "r0"), (4, "r3"), (10, "r8"), (3, "tx"), (7, "ty"), (11, "tz"))])

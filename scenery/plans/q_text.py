@@ -209,3 +209,12 @@ def closest_words(spark, sf):
     """Of every word of a turn of a conversation the closest word of the benchmark's items, at a ratio of 0.8; no SQL form, held against all pairs in the tests."""
     word = lambda t, name: spark.read.parquet(f"{sf}/{t}.parquet").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias(name)).where(F.length(name) >= 4).distinct()
     return similar.closest(word("conversations", "name"), word("benchmark", "other"), 0.8)
+
+
+_SAID = """said AS (SELECT uid, pos, CASE WHEN pos % 4 = 0 THEN concat('  ', CAST(length AS STRING), '.5 meters') WHEN pos % 4 = 1 THEN concat('about -', CAST(length AS STRING), ' of 7') WHEN pos % 4 = 2 THEN CAST(length AS STRING) ELSE 'none at all' END AS answer FROM rollouts)"""
+
+
+@query("f23_first_numbers", with_views("rollouts", rest=_SAID) + r"SELECT uid, pos, answer, try_cast(regexp_split_to_array(trim(answer), '\s+')[1] AS DOUBLE) AS first_number, try_cast(nullif(regexp_extract(answer, '(-?\d+)', 1), '') AS BIGINT) AS first_integer FROM said")
+def first_numbers(spark, sf):
+    """the first word of an answer as a number, and the first integer that stands in it."""
+    return _sub(spark, sf, _SAID).select("uid", "pos", "answer", text.first_number(F.col("answer")).alias("first_number"), text.first_integer(F.col("answer")).alias("first_integer"))
