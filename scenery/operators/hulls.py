@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenery.operators.selection import percentile
 from scenery.session import written
 
 
@@ -132,7 +133,7 @@ def room_area(points: DataFrame, scene: str = "scene_id", voxel: float | None =
     """
     axes = "xy" if alpha is None else "xyz"
     side = voxel or (0.05 if alpha is None else 1.0)
-    floor = points.groupBy(scene).agg(F.percentile("z", 0.4).alias("__p"))
+    floor = percentile(points, [scene], F.col("z"), 0.4, "__p").drop("n")
     low = points.join(floor, scene).where(F.col("z") < F.col("__p") + 0.1)
     bounds = low.groupBy(scene).agg(*[F.min(c).alias(f"__{c}") for c in axes])
     first = F.struct(*([order] if order else []), "x", "y", "z")

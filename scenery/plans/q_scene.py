@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scenery.functions import geometry as g
 from scenery.operators import lookup, nearest
+from scenery.operators.selection import percentile
 from scenery.plans.catalogue import query
 from scenery.sources.adapters import spark_view, with_views
 
@@ -426,10 +427,17 @@ def first_frame(spark, sf):
 def floor_percentile(spark, sf):
     """The exact 40th percentile of height, and the points below it and a margin."""
     o = objects(spark, sf)
-    q = o.groupBy("scene_id").agg(F.percentile("z", 0.4).alias("p40"))
+    q = percentile(o, ["scene_id"], F.col("z"), 0.4, "p40").select("scene_id", "p40")
     return o.join(q, "scene_id").groupBy("scene_id").agg(g.tidy(F.first("p40")).alias("p40"), F.count_if(F.col("z") < F.col("p40") + 0.1).alias("n_floor"))
 
 
+@query("a16_hot_percentile", "SELECT l_linestatus, count(*) AS n, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.4), 4) AS p40 FROM lineitem GROUP BY 1")
+def hot_percentile(spark, sf):
+    """A16 of groups that hold half of all rows each."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return percentile(rows, ["l_linestatus"], F.col("l_extendedprice"), 0.4, "p40").select("l_linestatus", "n", F.round("p40", 4).alias("p40"))
+
+
 @query("a17_voxels", with_views("objects", rest="b AS (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM objects GROUP BY 1)") + "SELECT o.scene_id, CAST(floor((x-mx)/1.0) AS BIGINT) AS i, CAST(floor((y-my)/1.0) AS BIGINT) AS j, CAST(floor((z-mz)/1.0) AS BIGINT) AS k, min(object_id) AS first_object FROM objects o JOIN b ON o.scene_id=b.scene_id GROUP BY 1,2,3,4")
 def voxels(spark, sf):
     """The first point of every voxel of one metre."""

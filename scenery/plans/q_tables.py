@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenery.functions import text
 from scenery.functions.geometry import tidy
+from scenery.operators.selection import percentile
 from scenery.plans.catalogue import query
 from scenery.plans.q_scene import objects
 from scenery.sources.adapters import spark_view, with_views
@@ -91,10 +92,10 @@ def reindex(spark, sf):
 @query("a34_mask_points", with_views("objects") + "SELECT scene_id, count(*) AS n, round(avg(cx), 6) + 0.0 AS mx, round(quantile_cont(abs(cz), 0.95), 6) AS p95, CASE WHEN quantile_cont(abs(cz), 0.95) > 100 THEN 'millimetres' ELSE 'metres' END AS unit FROM objects WHERE visibility >= 0.5 GROUP BY 1")
 def mask_points(spark, sf):
     """Number and centre of a mask's points, and the unit their depth suggests."""
-    p95 = F.percentile(F.abs("cz"), 0.95)
-    return objects(spark, sf).where("visibility >= 0.5").groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("n"), tidy(F.avg("cx")).alias("mx"), F.round(p95, 6).alias("p95"), F.when(p95 > 100, "millimetres").otherwise("metres").alias("unit")
-    )
+    o = objects(spark, sf).where("visibility >= 0.5")
+    p95 = percentile(o, ["scene_id"], F.abs("cz"), 0.95, "p95").select("scene_id", "p95")
+    centres = o.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("cx")).alias("mx"))
+    return centres.join(p95, "scene_id").select("scene_id", "n", "mx", F.round("p95", 6).alias("p95"), F.when(F.col("p95") > 100, "millimetres").otherwise("metres").alias("unit"))
 
 
 @query("p18_scene_selection", "WITH v AS (SELECT DISTINCT concat('scene', lpad(CAST(user_id % 40 AS VARCHAR), 4, '0'), '_00') AS scene_id FROM events) SELECT scene_id, ltrim(regexp_extract(scene_id, 'scene(\\d+)_', 1), '0') AS video FROM v WHERE CAST(regexp_extract(scene_id, 'scene(\\d+)_', 1) AS INT) % 2 = 1")
