@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scenery.functions.geometry import tidy
-from scenery.operators import batch
+from scenery.operators import batch, votes
 from scenery.plans.catalogue import query
 from scenery.plans.q_etl import TASKS
 from scenery.sources.adapters import spark_view, with_views
@@ -167,6 +167,33 @@ def a_majority(spark, sf):
     return best.select("uid", F.col("m.response").alias("answer"), F.round(F.col("m.n") / F.col("t"), 6).alias("score"))
 
 
+# Forms of a number of quarters, with their SQL: a decimal, a fraction, a set fraction, a length, a sum of money; and two ways to say that there is none.
+_FORMS = """v AS (SELECT uid, pos, CAST(length AS INT) % 4 AS k, CAST(length AS INT) % 7 AS form, score FROM rollouts),
+a AS (SELECT uid, pos, CASE WHEN form = 6 THEN '' WHEN form = 5 THEN 'No object' WHEN form = 4 AND k > 1 THEN 'there is no match' ELSE CAST(k AS VARCHAR) END AS class,
+  CASE WHEN form = 0 THEN concat('0.', lpad(CAST(25 * k AS VARCHAR), 2, '0')) WHEN form = 1 THEN concat(CAST(2 * k AS VARCHAR), '/8') WHEN form = 2 THEN concat(chr(92), 'frac{', CAST(k AS VARCHAR), '}{4}')
+    WHEN form = 3 THEN concat(CAST(25 * k AS VARCHAR), 'e-2 meters') WHEN form = 4 AND k <= 1 THEN concat('$.', lpad(CAST(25 * k AS VARCHAR), 2, '0'), '$') WHEN form = 4 THEN 'there is no match' WHEN form = 5 THEN 'No object' ELSE '' END AS answer FROM v)"""
+
+
+def equal_forms(spark, sf):
+    """Responses that state a number of quarters in five forms, say that there is none, or are empty."""
+    k = F.col("length").cast("int") % 4
+    form = F.col("length").cast("int") % 7
+    cents = F.lpad((25 * k).cast("string"), 2, "0")
+    answer = (
+        F.when(form == 0, F.concat(F.lit("0."), cents)).when(form == 1, F.concat(2 * k, F.lit("/8"))).when(form == 2, F.concat(F.lit("\\frac{"), k, F.lit("}{4}")))
+        .when(form == 3, F.concat(25 * k, F.lit("e-2 meters"))).when((form == 4) & (k <= 1), F.concat(F.lit("$."), cents, F.lit("$")))
+        .when(form == 4, "there is no match").when(form == 5, "No object").otherwise("")
+    )
+    return rollouts(spark, sf).select("uid", "pos", answer.alias("answer"))
+
+
+@query("a29_equal_votes", _w(_FORMS + """, c AS (SELECT uid, CASE WHEN lower(answer) LIKE '%no %' THEN 'no' ELSE class END AS class, count(*) AS n, min(pos) AS first, arg_min(answer, pos) AS answer FROM a WHERE answer <> '' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, first) AS k FROM c), t AS (SELECT uid, count(*) AS total FROM a GROUP BY 1)""") + "SELECT t.uid, coalesce(r.answer, '') AS answer, coalesce(r.n, 0) AS votes, round(coalesce(r.n, 0) * 1.0 / total, 6) AS score FROM t LEFT JOIN r ON r.uid = t.uid AND r.k = 1")
+def a_equal_votes(spark, sf):
+    """Votes over answers of equal value; the twin knows each answer's value, not its text."""
+    return votes.majority(equal_forms(spark, sf), "uid", "pos", "answer").withColumn("score", F.round("score", 6))
+
+
 # The tasks whose accuracy counts in full from a half on.
 ACCURACY_TARGETS = {"absolute_distance": 0.5, "distance_cam_obj": 0.5, "room_size": 0.5}
 _TASKS = "'" + "','".join(t for _, t in TASKS) + "'"
