@@ -9,7 +9,9 @@ from scenery.functions.geometry import tidy
 from scenery.operators import batch, votes
 from scenery.plans.catalogue import query
 from scenery.plans.q_etl import TASKS
+from scenery.session import scratch
 from scenery.sources.adapters import spark_view, with_views
+from scenery.streaming import scheduler
 
 R = with_views("rollouts")
 
@@ -202,10 +204,13 @@ l AS (SELECT * FROM q WHERE NOT is_padding), h AS (SELECT uid, arg_min(task, pos
 t AS (SELECT task, sum(w) AS n, sum(acc * w) AS a, sum(least(1.0, greatest(0.0, least(1.0, greatest(0.0, acc)) / CASE WHEN task IN ('absolute_distance','distance_cam_obj','room_size') THEN 0.5 ELSE 1.0 END)) * w) AS s FROM h WHERE acc IS NOT NULL GROUP BY 1)"""
 
 
-def task_statistics(spark, sf):
+def task_rows(spark, sf):
     name = F.element_at(F.array(*[F.lit(t) for _, t in TASKS]), F.col("task") + 1)
-    r = rollouts(spark, sf).withColumns({"task": name, "accuracy": F.when(F.col("length") % 5 != 0, F.col("score")), "duplicate_weight": (F.col("length") % 4).cast("double"), "is_padding": F.col("length") % 11 == 0})
-    return batch.scheduler_statistics(r, ACCURACY_TARGETS)
+    return rollouts(spark, sf).withColumns({"task": name, "accuracy": F.when(F.col("length") % 5 != 0, F.col("score")), "duplicate_weight": (F.col("length") % 4).cast("double"), "is_padding": F.col("length") % 11 == 0})
+
+
+def task_statistics(spark, sf):
+    return batch.scheduler_statistics(task_rows(spark, sf), ACCURACY_TARGETS)
 
 
 @query("a30_scheduler_stats", _w(_SCHED) + "SELECT task, n, round(a, 5) AS acc_sum, round(s, 5) AS scheduler_acc_sum FROM t")
@@ -214,6 +219,19 @@ def a_scheduler(spark, sf):
     return task_statistics(spark, sf).select("task", "n", F.round("acc_sum", 5).alias("acc_sum"), F.round("scheduler_acc_sum", 5).alias("scheduler_acc_sum"))
 
 
+@query("a30_stream_state", _w(_SCHED + ", k AS (SELECT task, count(*) AS total, count(*) FILTER (is_valid) AS valid FROM q GROUP BY 1), b AS (SELECT k.task, total, valid, coalesce(n, 0) AS n, coalesce(a, 0) AS a, coalesce(s, 0) AS s FROM k LEFT JOIN t ON t.task = k.task)") + "SELECT task, total, valid, n, round(a, 5) AS acc_sum, round(s, 5) AS scheduler_acc_sum, round(greatest(0.05, 1 - (s + 0.35*2)/(n+2)), 6) AS weight FROM b")
+def a_stream(spark, sf):
+    """A25, A30 and R21 over a stream: files of whole questions in micro-batches, a stop in the middle, and on from the checkpoint."""
+    rows = task_rows(spark, sf).select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in scheduler.ROWS.split(", ")])
+    source, out, checkpoint = (scratch(spark, f"scheduler-{k}") for k in ("in", "out", "state"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "uid"), F.lit(2))
+    for k in range(2):
+        rows.where(half == k).repartition(2, "uid").write.mode("append").parquet(source)
+        scheduler.follow(spark, source, out, checkpoint, ACCURACY_TARGETS, buckets=16, files=1).awaitTermination()
+    found = batch.sampling_weights(scheduler.statistics(spark, out))
+    return found.select("task", "total", "valid", "n", F.round("acc_sum", 5).alias("acc_sum"), F.round("scheduler_acc_sum", 5).alias("scheduler_acc_sum"), F.round("weight", 6).alias("weight"))
+
+
 @query("r21_scheduler_weights", _w(_SCHED + ", w AS (SELECT task, greatest(0.05, 1 - (s + 0.35*2)/(n+2)) AS w FROM t)") + "SELECT task, round(w, 6) AS weight, round(w/sum(w) OVER (), 6) AS probability FROM w")
 def r_weights(spark, sf):
     """Smoothed sampling weights of the tasks and their probabilities."""
