@@ -87,16 +87,16 @@ def alignments(spark, sf):
     return a.select(F.regexp_extract("path", r"s(\d+)\.txt$", 1).cast("long").alias("scene_id"), tidy(F.get("axis_align", F.lit(0))).alias("r0"), tidy(F.get("axis_align", F.lit(7))).alias("ty"))
 
 
-@query("s05_points", with_views("objects") + "SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS INT) AS vertex_id, round(x, 3) + 0.0 AS x, round(z, 3) + 0.0 AS z FROM objects")
+@query("s05_points", with_views("objects") + "SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS INT) AS vertex_id, round(x, 3) + 0.0 AS x, round(z, 3) + 0.0 AS z, CAST(object_id % 256 AS INT) AS red FROM objects")
 def point_files(spark, sf):
-    """meshes' vertices from binary PLY files, one a scene."""
+    """meshes' vertices and a colour from binary PLY files, one a scene, by the data source for meshes."""
     folder = scratch(spark, "mesh")
     o = objects(spark, sf).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("object_id", "x", "y", "z"))).alias("v"))
     for r in o.toLocalIterator():
         head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(r['v'])}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nend_header\n"
-        sinks.write_file(spark, f"{folder}/s{r['scene_id']}.ply", head.encode() + b"".join(struct.pack("<fffB", p["x"], p["y"], p["z"], 7) for p in r["v"]))
-    p = readers.points(spark, folder)
-    return p.select(F.regexp_extract("path", r"s(\d+)\.ply$", 1).cast("long").alias("scene_id"), "vertex_id", tidy(F.col("x").cast("double"), 3).alias("x"), tidy(F.col("z").cast("double"), 3).alias("z"))
+        sinks.write_file(spark, f"{folder}/s{r['scene_id']}.ply", head.encode() + b"".join(struct.pack("<fffB", p["x"], p["y"], p["z"], p["object_id"] % 256) for p in r["v"]))
+    p = readers.points(spark, folder, readers.POINTS + ", red int")
+    return p.select(F.regexp_extract("path", r"s(\d+)\.ply$", 1).cast("long").alias("scene_id"), "vertex_id", tidy(F.col("x").cast("double"), 3).alias("x"), tidy(F.col("z").cast("double"), 3).alias("z"), "red")
 
 
 @query("s06_segment_groups", "SELECT CAST(l_orderkey % 20 AS VARCHAR) AS scene_id, CAST(l_partkey % 7 + 1 AS INT) AS object_id, concat('label', CAST(l_partkey % 7 AS VARCHAR)) AS label, CAST(l_suppkey AS INT) AS seg_id, count(DISTINCT l_orderkey) > 0 AS seen FROM lineitem GROUP BY 1,2,3,4")

@@ -67,43 +67,14 @@ def axis_alignment(spark: SparkSession, path: str) -> DataFrame:
 
 
 POINTS = "path string, vertex_id int, x float, y float, z float"
-_PLY = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
-
-
-def parse_ply(data: bytes) -> np.ndarray:
-    """Vertices of a PLY mesh, text or little-endian binary, as rows of x, y, z."""
-    end = data.index(b"end_header")
-    stop = data.index(b"\n", end) + 1
-    header = data[:end].decode().split("\n")
-    form = next(x.split()[1] for x in header if x.startswith("format"))
-    count, fields, inside = 0, [], False
-    for line in header:
-        p = line.split()
-        if p[:2] == ["element", "vertex"]:
-            count, inside = int(p[2]), True
-        elif p[:1] == ["element"]:
-            inside = False
-        elif p[:1] == ["property"] and inside:
-            fields.append((p[2], "<" + _PLY[p[1]]))
-    if form == "ascii":
-        rows = np.array([x.split()[: len(fields)] for x in data[stop:].decode().split("\n")[:count]], dtype=float).reshape(count, len(fields))
-        at = [n for n, _ in fields]
-        return np.stack([rows[:, at.index(k)] for k in "xyz"], axis=1).astype(np.float32)
-    rows = np.frombuffer(data, np.dtype(fields), count, stop)
-    return np.stack([rows[k] for k in "xyz"], axis=1).astype(np.float32)
-
-
-def points(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of all PLY files below a path."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                v = parse_ply(content)
-                yield pd.DataFrame({"path": path, "vertex_id": np.arange(len(v), dtype=np.int32), "x": v[:, 0], "y": v[:, 1], "z": v[:, 2]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, POINTS)
+def points(spark: SparkSession, path: str, schema: str = POINTS, vertices: int = 1_000_000) -> DataFrame:
+    """Vertices of all PLY files below a path, at most `vertices` a task; other properties by the schema."""
+    from scenery.sources.mesh import MeshSource
+
+    spark.dataSource.register(MeshSource)
+    return spark.read.format("mesh").schema(schema).option("vertices", vertices).load(path)
 
 
 def segment_groups(spark: SparkSession, path: str) -> DataFrame:
