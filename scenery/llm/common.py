@@ -118,7 +118,7 @@ def running(
     return out.drop("__bucket", "__b_n", *[f"__b_{k}" for k in sums])
 
 
-def packed(docs: DataFrame, *needed: str) -> DataFrame:
+def packed(docs: DataFrame, *needed: str | Column) -> DataFrame:
     """The rows as one column, `__row`, beside the columns an operator needs.
 
     Whatever the operator adds, no column of the input is lost or mistaken for its own.

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenery.llm.common import materialise
+from scenery.llm.common import materialise, packed, unpacked
 
 WORDS = 5
 PERCENT = 80
@@ -119,6 +119,5 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, doc_id: str
     """The documents that hold no test item, with the columns of the input."""
     bad = contaminated(docs, items, percent, doc_id, text).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__k"), F.col("text_hash").alias("__t")).distinct()
     bad = materialise(bad, "decontaminate-found")
-    columns = docs.columns
-    rows = docs.withColumns({"__k": F.coalesce(F.col(doc_id), F.lit(NO_ID)), "__t": F.xxhash64(text)})
-    return rows.join(bad, ["__k", "__t"], "left_anti").select(*columns)
+    rows = packed(docs, F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("__k"), F.xxhash64(text).alias("__t"))
+    return unpacked(rows.join(bad, ["__k", "__t"], "left_anti"))

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenery.llm.common import discard, materialise
+from scenery.llm.common import discard, materialise, packed, unpacked
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -479,7 +479,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     found = labelled.join(_first_of_class(labelled), "label").select(own.alias("own"), (F.col("first") == own).alias("stays"))
     found = found.groupBy("own").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
     found = materialise(found.select("own.k", "own.t", "stays"), "dedup-found").withColumnsRenamed({"k": "__k", "t": "__t", "stays": "__stays"})
-    rows = docs.withColumns({"__k": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(text)})
+    rows = packed(docs, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__k"), F.xxhash64(text).alias("__t"))
     rest = rows.join(found.drop("__stays"), ["__k", "__t"], "left_anti")
     once = rows.join(found.where("__stays").drop("__stays"), ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"])
-    return rest.unionByName(once).select(*docs.columns)
+    return unpacked(rest.unionByName(once))

@@ -483,3 +483,15 @@ def test_pipeline(spark, sf):
     items = {r["item_id"] for r in decontaminate.contaminated(docs.where(docs.doc_id.isin(list(ids))), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert not items
     assert max(Counter(r["doc_id"] for r in rows).values()) <= 3
+
+
+def test_clean_leaves_other_columns_alone(spark):
+    """Columns with the names of the operators' own helpers come back as they were."""
+    rows = [(i, t, -5 - k, "mine", f"stays {k}", k * 0.5, "row") for k, (i, t, *_) in enumerate(data.rows())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k long, __t string, __stays string, node double, __row string").repartition(3)
+    items = spark.createDataFrame([(1, data.rows()[0][1].split("\n")[2])], "item_id long, text string")
+    whole = set(rows)
+    for kept in (near_dedup.clean(docs), decontaminate.clean(docs, items)):
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert got and len(got) < len(rows) and set(got) <= whole
