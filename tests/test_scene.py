@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenery.functions import geometry as g
 from scenery.operators import checks, lookup, rules
+from scenery.plans import catalogue
 
 ROOM = [
     ("s", 1, "table", 0.0, 0.0, 0.0, -1.0, -1.0, 0.0, 1.0, 1.0, 0.0),
@@ -129,3 +130,24 @@ def test_ties_of_axes(spark):
     assert [one(spark, g.dir6(*lits(*v))) for v in ((1, 1, 1), (0, 1, 1), (0, -2, 1), (0, 0, 0))] == ["right", "front", "up", "left"]
     m = lambda *v: one(spark, g.motion(*lits(0, *v)))
     assert [m(1, 1, 1), m(0, 1, 1), m(1, -1, 0), m(0, 0, 1e-9)] == ["right-front", "front-down", "right-up", "same"]
+
+
+def test_ordered_pairs_meet_in_cells(spark):
+    """Every pair once, whatever the block, gaps, equal orders and nulls; a hot key is spread over tasks."""
+    rows = [("a", 3 * k, k) for k in range(100)] + [("a", 9, -1), ("b", 1, 0), ("b", None, 1), ("b", 5, 2), (None, 1, 0), (None, 2, 1)]
+    df = spark.createDataFrame(rows, "scene string, frame int, v int")
+    want = sorted((s, f, g, v, w) for s, f, v in rows for t, g, w in rows if s and s == t and None not in (f, g) and f < g)
+    for block in (1, 7, 101, 1024):
+        got = lookup.ordered_pairs(df, "scene", "frame", block=block)
+        assert sorted((r["scene"], r["frame_1"], r["frame_2"], r["v_1"], r["v_2"]) for r in got.collect()) == want
+    spread = lookup.ordered_pairs(df.where("scene = 'a'"), "scene", "frame", block=7, most=50).groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert len(spread) > 20 and max(r["count"] for r in spread) < 600
+    assert not lookup.ordered_pairs(df.where("false"), "scene", "frame").collect()
+
+
+def test_camera_pairs_of_a_hot_scene_are_spread(spark, sf):
+    """The queries on pairs of poses join cells of a scene, not whole scenes."""
+    queries = catalogue.queries()
+    for name in ("t10_position_cam_cam", "t11_elevation_cam_cam", "t15_motion_camera", "g19_camera_pair", "j08_frame_range", "p14_answer_rules"):
+        plan = queries[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 2, name
