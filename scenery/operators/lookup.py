@@ -66,6 +66,13 @@ def ordered_pairs(rows: DataFrame, key: str, order: str, block: int = 1024, most
     return a.repartition(tasks, *cell).join(b.repartition(tasks, *cell), cell).where(F.col(f"{order}_1") < F.col(f"{order}_2")).drop("__one", "__two")
 
 
+def matches(left: DataFrame, right: DataFrame, key: str, *more: str) -> DataFrame:
+    """How many pairs of rows a join by the key has for each of the left side's groups: a product of both sides' counts, not a join of rows."""
+    one = left.groupBy(key, *more).agg(F.count(F.lit(1)).alias("__n"))
+    two = right.groupBy(key).agg(F.count(F.lit(1)).alias("__m"))
+    return one.join(two, key).select(key, *more, (F.col("__n") * F.col("__m")).alias("n"))
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: float, ts: str = "ts", keys: tuple[str, ...] = (), payload: str = "payload") -> DataFrame:
     """The nearest right row within a tolerance, the later one of two equally near.
 

@@ -464,8 +464,7 @@ def key_mismatch(spark, sf):
 @query("j19_object_frames", with_views("objects", "poses") + "SELECT p.scene_id, p.frame_id, count(*) AS n FROM poses p JOIN objects o ON o.scene_id = p.scene_id GROUP BY 1,2")
 def object_frames(spark, sf):
     """Every object against every frame of its scene."""
-    p = spark_view(spark, sf, "poses").select("scene_id", "frame_id")
-    return p.join(objects(spark, sf).select("scene_id", "object_id"), "scene_id").groupBy("scene_id", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+    return lookup.matches(spark_view(spark, sf, "poses"), objects(spark, sf), "scene_id", "frame_id")
 
 
 @query("g12_visibility_scores", with_views("objects", rest=_SCORED) + "SELECT object_id, round(score, 6) + 0.0 AS score FROM scored")

@@ -151,3 +151,12 @@ def test_camera_pairs_of_a_hot_scene_are_spread(spark, sf):
     for name in ("t10_position_cam_cam", "t11_elevation_cam_cam", "t15_motion_camera", "g19_camera_pair", "j08_frame_range", "p14_answer_rules"):
         plan = queries[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 2, name
+
+
+def test_matches_are_counted_without_pairs(spark):
+    """A key of 300,000 rows on either side: 90,000,000,000 pairs are counted, not made."""
+    a = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", 1), (None, 1)], "k string, f int")
+    b = spark.createDataFrame([("a",), ("a",), ("a",), (None,), ("c",)], "k string")
+    assert {tuple(r) for r in lookup.matches(a, b, "k", "f").collect()} == {("a", 1, 6), ("a", None, 3)}
+    hot = spark.range(300_000).selectExpr("0 AS k")
+    assert [tuple(r) for r in lookup.matches(hot, hot, "k").collect()] == [(0, 90_000_000_000)]
