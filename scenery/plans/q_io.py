@@ -22,8 +22,7 @@ from scenery.sources.adapters import with_views
 def _files(spark, name: str, rows: DataFrame, path: str, body: str) -> str:
     """A folder with a file for every row, by its columns of path and body."""
     folder = scratch(spark, name)
-    for r in rows.select(path, body).toLocalIterator():
-        sinks.write_file(spark, f"{folder}/{r[0]}", r[1])
+    sinks.write_files(rows, folder, path, body)
     return folder
 
 

@@ -85,7 +85,8 @@ def read_header(path: str, data: bytes) -> Header:
     return Header(form, 0, (), end.end(), 0)
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path within it."""
     if "://" in path or path.startswith("file:"):
         uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", path))
         return fs.FileSystem.from_uri(uri)
@@ -114,7 +115,7 @@ class MeshReader(DataSourceReader):
             self.columns.append((f.name, ARROW[kind]))
 
     def partitions(self) -> list[Range]:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         info = store.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -138,7 +139,7 @@ class MeshReader(DataSourceReader):
         return out + [Range(tuple(pack))] if pack or not out else out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        store, _ = _opened(self.path)
+        store, _ = opened(self.path)
         for path in partition.files:
             with store.open_input_file(path) as f:
                 head = read_header(path, f.read(HEADER))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenery.sources.mesh import opened
+
 
 def append_new(rows: DataFrame, path: str, *keys: str, form: str = "parquet", partition: str | None = None) -> int:
     """Appends the rows whose keys the target lacks; returns how many."""
@@ -47,6 +53,40 @@ def write_file(spark: SparkSession, path: str, body: str | bytes) -> None:
         out.close()
 
 
+def write_files(rows: DataFrame, folder: str, path: str, body: str) -> int:
+    """A file for every row, by its columns of path, below the folder, and body; returns how many.
+
+    Tasks write them, each under a hidden name first, so an attempt that ran twice leaves whole files.
+    Stores that pyarrow doesn't open are written by the driver, a file at a time.
+    """
+    spark = rows.sparkSession
+    try:
+        opened(folder)
+    except (ValueError, OSError, NotImplementedError):
+        n = 0
+        for n, r in enumerate(rows.select(path, body).toLocalIterator(), 1):
+            write_file(spark, f"{folder}/{r[0]}", r[1])
+        return n
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        made = set()
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                place, _, last = f"{base.rstrip('/')}/{name}".rpartition("/")
+                if place not in made:
+                    store.create_dir(place, recursive=True)
+                    made.add(place)
+                hidden = f"{place}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(data.encode() if isinstance(data, str) else data)
+                store.move(hidden, f"{place}/{last}")
+            yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64())})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(path, body).repartition(tasks, path).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def scenes(rows: DataFrame, path: str, overwrite: bool = False) -> int:
     """One JSON file for each scene (or frame) row; those that are there stay unless overwritten. Returns how many were written."""
     if overwrite:

@@ -106,3 +106,16 @@ def test_counters_follow_a_stream(spark, tmp_path):
         counters.follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r["task"]: (r["total"], r["valid"], r["invalid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (3, 2, 1), 2: (1, 0, 1)} == {r["task"]: (r["total"], r["valid"], r["invalid"]) for r in counters.type_counters(spark.read.parquet(str(tmp_path / "in"))).collect()}
+
+
+def test_tasks_write_files(spark, tmp_path, monkeypatch):
+    """Files of rows are written by tasks, never through the driver, with names and bytes as they are."""
+    monkeypatch.setattr(sinks, "write_file", lambda *a: pytest.fail("written by the driver"))
+    rows = spark.createDataFrame([(f"s{k % 3}/{k}.txt", f"é{k}\n" if k else "") for k in range(50)], "p string, b string")
+    for _ in range(2):  # again over what is there
+        assert sinks.write_files(rows, str(tmp_path / "f"), "p", "b") == 50
+    assert sorted(x.name for x in (tmp_path / "f").rglob("*") if x.is_file()) == sorted(f"{k}.txt" for k in range(50))
+    assert (tmp_path / "f/s1/7.txt").read_bytes() == "é7\n".encode() and (tmp_path / "f/s0/0.txt").read_bytes() == b""
+    assert sinks.write_files(rows.where("false"), str(tmp_path / "g"), "p", "b") == 0
+    assert sinks.write_files(spark.createDataFrame([("x/y", bytearray(b"\0\xff"))], "p string, b binary"), f"file://{tmp_path}/h", "p", "b") == 1
+    assert (tmp_path / "h/x/y").read_bytes() == b"\0\xff"
