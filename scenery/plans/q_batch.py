@@ -219,15 +219,22 @@ def a_scheduler(spark, sf):
     return task_statistics(spark, sf).select("task", "n", F.round("acc_sum", 5).alias("acc_sum"), F.round("scheduler_acc_sum", 5).alias("scheduler_acc_sum"))
 
 
+def stream_files(rows: int, most: int = 2_000_000, at_once: int = 8) -> tuple[int, int]:
+    """Files of each half of a stream, two at least and of about `most` rows, and how many make a micro-batch: half of them, up to `at_once`."""
+    count = max(2, -(-rows // (2 * most)))
+    return count, min(at_once, -(-count // 2))
+
+
 @query("a30_stream_state", _w(_SCHED + ", k AS (SELECT task, count(*) AS total, count(*) FILTER (is_valid) AS valid FROM q GROUP BY 1), b AS (SELECT k.task, total, valid, coalesce(n, 0) AS n, coalesce(a, 0) AS a, coalesce(s, 0) AS s FROM k LEFT JOIN t ON t.task = k.task)") + "SELECT task, total, valid, n, round(a, 5) AS acc_sum, round(s, 5) AS scheduler_acc_sum, round(greatest(0.05, 1 - (s + 0.35*2)/(n+2)), 6) AS weight FROM b")
 def a_stream(spark, sf):
     """A25, A30 and R21 over a stream: files of whole questions in micro-batches, a stop in the middle, and on from the checkpoint."""
     rows = task_rows(spark, sf).select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in scheduler.ROWS.split(", ")])
     source, out, checkpoint = (scratch(spark, f"scheduler-{k}") for k in ("in", "out", "state"))
     half = F.pmod(F.xxhash64(F.lit("half"), "uid"), F.lit(2))
+    count, files = stream_files(spark.read.parquet(f"{sf}/lineitem.parquet").count())
     for k in range(2):
-        rows.where(half == k).repartition(2, "uid").write.mode("append").parquet(source)
-        scheduler.follow(spark, source, out, checkpoint, ACCURACY_TARGETS, buckets=16, files=1).awaitTermination()
+        rows.where(half == k).repartition(count, "uid").write.mode("append").parquet(source)
+        scheduler.follow(spark, source, out, checkpoint, ACCURACY_TARGETS, buckets=16, files=files).awaitTermination()
     found = batch.sampling_weights(scheduler.statistics(spark, out))
     return found.select("task", "total", "valid", "n", F.round("acc_sum", 5).alias("acc_sum"), F.round("scheduler_acc_sum", 5).alias("scheduler_acc_sum"), F.round("weight", 6).alias("weight"))
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from scenery.plans.q_batch import stream_files
 from scenery.session import scratch
 from scenery.streaming import scheduler
 
@@ -65,3 +66,12 @@ def test_stops_dies_and_goes_on(spark, monkeypatch):
         assert got.keys() == want.keys()
         for task, sums in want.items():
             assert got[task] == pytest.approx(sums), task
+
+
+def test_files_and_micro_batches_grow_with_the_rows():
+    """Small streams keep two files a half, one at a time; large ones more files, and micro-batches of bounded size."""
+    assert stream_files(0) == stream_files(600_000) == stream_files(8_000_000) == (2, 1)
+    assert stream_files(36_000_000) == (9, 5)
+    for rows in (10**6, 10**8, 10**10):
+        count, files = stream_files(rows)
+        assert count * 2 * 2_000_000 >= rows and 1 <= files <= 8 and rows / 2 / count * files <= 16_000_000
