@@ -34,13 +34,14 @@ from __future__ import annotations
 import ctypes
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +64,11 @@ TOKENS_PER_PARAMETER = 2
 GROUP_NOISE, UNIT_NOISE = 16, 1
 BATCH = 2048
 CHUNK = 512  # contexts that are normalised at once
+BLOCK = 1 << 17  # contexts that are dealt to their groups at once
 RATE = 0.1
 SEED = 7
-PIECE = 4 << 20  # bytes of a text that are split into words at once
+PIECE = 4 << 20  # bytes of texts that are split into words at once
+HELD = 1_000_000  # words and counts that a task adds up before it hands them on
 LN10 = np.log(10.0)
 
 
@@ -99,21 +102,55 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
     yield text[at:].lower().split()
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(c: Counter) -> pa.RecordBatch:
-        tokens = pa.array(list(c.keys()), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([tokens, pa.array(list(c.values()), pa.int64())], names=["token", "c"])
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, bool]]:
+    """Rows of PIECE bytes of text at most, their words, how many each row has, and whether the texts end there.
 
-    counts: Counter = Counter()
+    A longer text comes by itself, in pieces, of which only the last ends it.
+    """
     for batch in batches:
-        for text in batch.column("text").cast(pa.binary()):
-            for words in pieces(text.as_py() or b""):
-                counts.update(words)
-            counts[END.encode()] += 1
-            if len(counts) > 1_000_000:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
+        text = batch.column("text").cast(pa.string()).fill_null("")
+        upto, i = np.cumsum(pc.binary_length(text).to_numpy(), dtype=np.int64), 0
+        while i < len(text):
+            held = upto[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, held + PIECE, "right")))
+            rows = batch.slice(i, j - i)
+            if upto[j - 1] - held <= PIECE:
+                # These split at the same six characters as bytes.split does, but leave empty words at the ends.
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(text.slice(i, j - i)))
+                words, cut = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()
+                full = pc.binary_length(words).to_numpy() > 0
+                yield rows, words.filter(pa.array(full)), np.diff(np.r_[0, np.cumsum(full)][cut - cut[0]]), True
+            else:
+                ahead = pieces(text[i].as_buffer().to_pybytes())
+                now = next(ahead, None)
+                while now is not None:
+                    coming = next(ahead, None)
+                    if now or coming is None:
+                        yield rows, pa.array(now, pa.binary()), np.array([len(now)]), coming is None
+                    now = coming
+            i = j
+
+
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns(["token", "c"])
+
+    def out(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+        return iter(counts.set_column(0, "token", counts.column("token").cast(pa.string())).combine_chunks().to_batches())
+
+    parts, held, ends = [], 0, 0
+    for rows, words, _, last in _words(batches):
+        ends += rows.num_rows * last
+        parts.append(pa.table(words.value_counts().flatten(), names=["token", "c"]))
+        held += parts[-1].num_rows
+        if held > HELD:
+            parts = [added(parts)]
+            # With less than half the room left, sums would be made too often.
+            if parts[0].num_rows > HELD // 2:
+                yield from out(parts.pop())
+            held = sum(p.num_rows for p in parts)
+    parts.append(pa.table([pa.array([END.encode()], pa.binary()), pa.array([ends], pa.int64())], names=["token", "c"]))
+    yield from out(added(parts))
 
 
 def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
@@ -153,7 +190,7 @@ class Vocabulary:
 
     def __init__(self, top: list[tuple[str, int]], n_words: int, buckets: list[tuple[int, int]], n: int, v: int, n_end: int):
         """buckets: for each, how many words it holds that are no units, and how often those occur."""
-        self.index = {END.encode(): 0} | {t.encode(): i + 1 for i, (t, _) in enumerate(top)}
+        self.words = pa.array([END.encode(), *[t.encode() for t, _ in top]], pa.binary())
         self.c = np.array([n_end, *[c for _, c in top]], np.float64)
         self.n, self.v, self.n_words, self.n_buckets = n, v, n_words, len(buckets)
         self.unit = np.arange(len(self.c), dtype=np.int32)
@@ -167,14 +204,20 @@ class Vocabulary:
     def bucket(self, word: bytes) -> int:
         return 1 + self.n_words + zlib.crc32(word) % self.n_buckets
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places among the counts, one past the end for words that aren't there, and units."""
-        at = np.fromiter(map(self.index.get, words, repeat(len(self.c))), np.int32, len(words))
+    def distinct(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The different words, the place of each word among them, and the ids of the different words."""
+        found = words.dictionary_encode()
+        at = pc.index_in(found.dictionary, value_set=self.words).fill_null(len(self.c)).to_numpy()
         units = self.unit[np.minimum(at, len(self.c) - 1)]
         missing = np.flatnonzero(at == len(self.c))
-        codes = np.fromiter(map(zlib.crc32, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
-        units[missing] = 1 + self.n_words + codes % self.n_buckets
-        return at, units
+        others = found.dictionary.take(pa.array(missing)).to_numpy(zero_copy_only=False)
+        units[missing] = 1 + self.n_words + np.fromiter(map(zlib.crc32, others), np.int64, len(missing)) % self.n_buckets
+        return found.dictionary, found.indices.to_numpy(), at, units
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the counts, one past the end for words that aren't there, and units."""
+        _, code, at, units = self.distinct(pa.array(words, pa.binary()))
+        return at[code], units[code]
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
@@ -221,8 +264,8 @@ class Model:
         self.C = np.stack([np.eye(DIM), 0.5 * np.eye(DIM)]).astype(np.float32)
         self.b = np.where(self.noise > 0, np.log(self.own), -np.inf).astype(np.float32)
         self.a = np.log(self.mass).astype(np.float32)
-        #: What each unit adds to the prediction from either place; made when the model is first asked.
-        self.after: tuple[np.ndarray, np.ndarray] | None = None
+        #: What each unit adds to the prediction from either place, and targets by group; made when the model is first asked.
+        self.after: tuple[np.ndarray, ...] | None = None
 
     def size(self) -> int:
         return sum(getattr(self, k).size for k in self.NAMES)
@@ -253,86 +296,115 @@ class Model:
         start = np.r_[0, cum[self.width - 1 :: self.width][:-1]]
         off_group = np.log(GROUP_NOISE * self.mass).astype(np.float32)
         off_unit = np.log(UNIT_NOISE * self.own).astype(np.float32)
-        bias = np.where(np.isfinite(self.b), self.b, 0).astype(np.float32)
-
-        def step(at: np.ndarray, *moved: tuple[str, np.ndarray, np.ndarray]) -> None:
+        #: A unit's bias less its noise; a padding unit that rounding drew has no probability and learns nothing.
+        lift = np.where(np.isfinite(self.b), self.b, 0).astype(np.float32) - off_unit
+        real = (self.noise > 0).astype(np.float32)
+
+        def sort(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Uses in the order of their rows, the rows, where each one's uses begin, and their number."""
+            bits = len(at).bit_length()
+            kind = np.uint32 if len(self.noise) << bits < 1 << 32 else np.uint64
+            # Keys with their places are sorted much faster than places by key.
+            keys = np.sort((at.astype(kind) << kind(bits)) | np.arange(len(at), dtype=kind))
+            order, rows = (keys & kind((1 << bits) - 1)).astype(np.int64), (keys >> kind(bits)).astype(np.int64)
+            first = np.r_[0, np.flatnonzero(rows[1:] != rows[:-1]) + 1]
+            return order, rows.take(first), first, np.diff(np.r_[first, len(rows)]).astype(np.float32)
+
+        def step(k: str, to: np.ndarray, values: np.ndarray, rows: np.ndarray, first: np.ndarray, uses: np.ndarray) -> None:
             """Moves the rows that were used, each by the mean of its gradients; the work is in the uses, not in the table."""
-            # Short integers are sorted by their digits, in linear time.
-            order = np.argsort(at.astype(np.uint16) if len(self.noise) < 1 << 16 else at, kind="stable")
-            rows = at[order]
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            uses = np.diff(np.r_[first, len(rows)]).astype(np.float32)
-            rows = rows[first]
-            for k, to, values in moved:
-                sums = np.add.reduceat(values[order], first, axis=0)
-                g = sums / (uses[:, None] if sums.ndim == 2 else uses)
-                now = seen[k][rows] + g * g
-                seen[k][rows] = now
-                to[rows] += rate * g / np.sqrt(now)
+            if values.ndim == 2:
+                # Two columns are added at once as the parts of a complex number.
+                move = np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
+                move /= uses[:, None]
+            else:
+                move = np.add.reduceat(values, first) / uses
+            now = seen[k].take(rows, axis=0)
+            now += move * move
+            seen[k][rows] = now
+            move *= np.float32(rate)
+            move /= np.sqrt(now, out=now)
+            move += to.take(rows, axis=0)
+            to[rows] = move
 
         for x in batches:
-            w2, w1, t = x[:, 0], x[:, 1], x[:, 2]
-            total += len(x)
-            g = t % groups
-            r1, r2 = self.R[w1], self.R[w2]
-            h = r1 @ self.C[0] + r2 @ self.C[1]
+            n, t = len(x), x[:, 2]
+            total += n
+            g, w = t % groups, x[:, 1::-1].ravel()
+            both = self.C.reshape(2 * DIM, DIM)
+            r = self.R.take(w, axis=0).reshape(n, 2 * DIM)
+            h = r @ both
             k = np.minimum(np.searchsorted(mass, rng.random(GROUP_NOISE)), groups - 1)
-            up = _sigmoid(off_group[g] - np.einsum("ij,ij->i", h, self.G[g]) - self.a[g])
-            down = -_sigmoid(h @ self.G[k].T + self.a[k] - off_group[k])
-            dh = up[:, None] * self.G[g] + down @ self.G[k]
+            own, noise = self.G.take(g, axis=0), self.G.take(k, axis=0)
+            offset = off_group - self.a
+            up = _sigmoid(offset.take(g) - np.einsum("ij,ij->i", h, own))
+            down = -_sigmoid(h @ noise.T - offset.take(k))
+            dh = up[:, None] * own
+            dh += down @ noise
             # Noise groups are shared, so each one's mean over the minibatch stands for as many uses.
-            dg, da = np.concatenate([up[:, None] * h, down.T @ h / len(x)]), np.r_[up, down.mean(axis=0)].astype(np.float32)
-            drawn = start[g][:, None] + rng.random((len(x), UNIT_NOISE)) * self.mass[g][:, None]
+            dg, da = np.empty((n + GROUP_NOISE, DIM), np.float32), np.r_[up, down.mean(axis=0)].astype(np.float32)
+            np.multiply(up[:, None], h, out=dg[:n])
+            dg[n:] = down.T @ h / n
+            drawn = start.take(g)[:, None] + rng.random((n, UNIT_NOISE)) * self.mass.take(g)[:, None]
             last = (g[:, None] + 1) * self.width - 1
-            u = np.concatenate([t[:, None], by_group[np.clip(np.searchsorted(cum, drawn), last - self.width + 1, last)]], axis=1)
-            q = self.Q[u]
-            s = np.einsum("ij,ikj->ik", h, q) + bias[u] - off_unit[u]
-            pull = -_sigmoid(s)
+            u = np.concatenate([t[:, None], by_group.take(np.clip(np.searchsorted(cum, drawn), last - self.width + 1, last))], axis=1)
+            q = self.Q.take(u, axis=0)
+            pull = -_sigmoid(np.einsum("ij,ikj->ik", h, q) + lift.take(u))
             pull[:, 0] += 1
-            # A padding unit that rounding drew has no probability and learns nothing.
-            pull *= self.noise[u] > 0
-            pull = pull.astype(np.float32)
+            pull *= real.take(u)
             dh += np.einsum("ik,ikj->ij", pull, q)
-            step(u.ravel(), ("Q", self.Q, (pull[:, :, None] * h[:, None, :]).reshape(-1, DIM)), ("b", bias, pull.ravel()))
-            step(np.r_[g, k], ("G", self.G, dg.astype(np.float32)), ("a", self.a, da))
-            step(np.r_[w1, w2], ("R", self.R, np.concatenate([dh @ self.C[0].T, dh @ self.C[1].T]).astype(np.float32)))
-            dc = np.stack([r1.T @ dh, r2.T @ dh]).astype(np.float32) / len(x)
+            order, *at = sort(u.ravel())
+            one = pull.ravel().take(order)
+            values = h.take(order // (1 + UNIT_NOISE), axis=0)
+            values *= one[:, None]
+            step("Q", self.Q, values, *at)
+            step("b", lift, one, *at)
+            order, *at = sort(np.r_[g, k])
+            step("G", self.G, dg.take(order, axis=0), *at)
+            step("a", self.a, da.take(order), *at)
+            order, *at = sort(w)
+            step("R", self.R, (dh @ both.T).reshape(-1, DIM).take(order, axis=0), *at)
+            dc = (r.T @ dh).reshape(self.C.shape) / np.float32(n)
             seen["C"] += dc * dc
-            self.C += rate * dc / np.sqrt(seen["C"])
-        self.b = np.where(np.isfinite(self.b), bias, self.b)
+            self.C += np.float32(rate) * dc / np.sqrt(seen["C"])
+        self.b = np.where(np.isfinite(self.b), lift + off_unit, self.b)
         return total
 
     def log10(self, rows: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of units after two others."""
+        return np.concatenate([np.empty(0), *[self._log10(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]])
+
+    def _log10(self, rows: np.ndarray) -> np.ndarray:
         w2, w1, t = rows[:, 0], rows[:, 1], rows[:, 2]
         if self.after is None:
-            self.after = self.R @ self.C[0], self.R @ self.C[1]
-        h = self.after[0][w1] + self.after[1][w2]
+            targets = np.ascontiguousarray(self.Q.reshape(self.width, self.groups, DIM).transpose(1, 2, 0))
+            longest = max(math.sqrt(np.einsum("ij,ij->i", x, x).max()) for x in (self.Q, self.G))
+            self.after = self.R @ self.C[0], self.R @ self.C[1], targets, np.ascontiguousarray(self.b.reshape(self.width, self.groups).T), longest
+        last, second, targets, biases, longest = self.after
+        h = last.take(w1, axis=0)
+        h += second.take(w2, axis=0)
         g, out = t % self.groups, np.empty(len(t), np.float64)
+        room, line = np.empty(CHUNK * max(self.groups, self.width), np.float32), np.arange(CHUNK)
+        # Products are far from the range's ends, as a rule, and then need no bound.
+        far = longest * math.sqrt(np.einsum("ij,ij->i", h, h).max()) > 80
 
-        room = np.empty((CHUNK, max(self.groups, self.width)), np.float32)
-
-        def share(h: np.ndarray, target: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-            logits = room[: len(at), : len(bias)]
+        def share(h: np.ndarray, target: np.ndarray, bias: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits = room[: len(at) * len(bias)].reshape(len(at), len(bias))
             np.matmul(h, target, out=logits)
-            logits += bias
-            own = logits[np.arange(len(at)), at]
-            # Logits are logs of shares and products of short vectors: far from the range's ends.
-            np.exp(np.minimum(logits, 80, out=logits), out=logits)
-            return own - np.log(logits.sum(axis=1))
+            own = logits.ravel().take(line[: len(at)] * len(bias) + at) + bias.take(at)
+            np.exp(np.minimum(logits, 80, out=logits) if far else logits, out=logits)
+            return own - np.log(logits @ weight)
 
-        target = np.ascontiguousarray(self.G.T)
+        target, weight = np.ascontiguousarray(self.G.T), np.exp(self.a)
         for i in range(0, len(t), CHUNK):
-            out[i : i + CHUNK] = share(h[i : i + CHUNK], target, self.a, g[i : i + CHUNK])
+            out[i : i + CHUNK] = share(h[i : i + CHUNK], target, self.a, weight, g[i : i + CHUNK])
         order = np.argsort(g.astype(np.uint16) if self.groups < 1 << 16 else g, kind="stable")
-        cut = np.searchsorted(g[order], np.arange(self.groups + 1))
-        h, place = h[order], (t // self.groups)[order]
+        cut = np.r_[0, np.cumsum(np.bincount(g, minlength=self.groups))]
+        h, place, weights = h.take(order, axis=0), (t // self.groups).take(order), np.exp(biases)
         part = np.empty(len(t))
         for k in range(self.groups):
-            target, bias = np.ascontiguousarray(self.Q[k :: self.groups].T), self.b[k :: self.groups]
             for i in range(cut[k], cut[k + 1], CHUNK):
                 j = min(i + CHUNK, cut[k + 1])
-                part[i:j] = share(h[i:j], target, bias, place[i:j])
+                part[i:j] = share(h[i:j], targets[k], biases[k], weights[k], place[i:j])
         out[order] += part
         return out / LN10
 
@@ -348,37 +420,21 @@ def _contexts(ids: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.nda
     return np.stack([w2, w1, ids], axis=1)
 
 
-def _pieces_of(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, at_once: int) -> Iterator[tuple]:
-    """Batches of about at_once tokens: words, ids, starts of pieces, the ids before them, each piece's text, whether it ends."""
-    words: list[bytes] = []
-    starts, before, owner, last = [], [], [], []
-    number = -1
-    for batch in batches:
-        for text in batch.column("text").cast(pa.binary()):
-            number += 1
-            tail = (END_ID, END_ID)
-            parts = list(pieces(text.as_py() or b"")) if text.is_valid and len(text.as_buffer()) <= PIECE else pieces(text.as_py() or b"")
-            ahead = iter(parts)
-            now = next(ahead)
-            while now is not None:
-                coming = next(ahead, None)
-                if coming is None:
-                    now = [*now, END.encode()]
-                if now:
-                    starts.append(len(words))
-                    before.append(tail)
-                    owner.append(number)
-                    last.append(coming is None)
-                    words += now
-                    if coming is not None:
-                        ids = vocabulary.ids(now[-2:])[1]
-                        tail = (tail[1], ids[0]) if len(ids) == 1 else (ids[0], ids[1])
-                now = coming
-                if len(words) >= at_once:
-                    yield words, np.array(starts), np.array(before, np.int32).reshape(-1, 2), np.array(owner), np.array(last)
-                    words, starts, before, owner, last = [], [], [], [], []
-    if words:
-        yield words, np.array(starts), np.array(before, np.int32).reshape(-1, 2), np.array(owner), np.array(last)
+def _tokens(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple]:
+    """Rows, their tokens' places and units, starts of pieces, the ids before them, unlisted words by piece, whether they end."""
+    tail = np.full(2, END_ID, np.int32)
+    for rows, words, sizes, last in _words(batches):
+        different, code, place, unit = vocabulary.distinct(words)
+        stops = np.cumsum(sizes + last)
+        starts, word = stops - sizes - last, np.ones(stops[-1], bool)
+        if last:
+            word[stops - 1] = False
+        at, units = np.full(len(word), END_ID, np.int32), np.full(len(word), END_ID, np.int32)
+        at[word], units[word] = place.take(code), unit.take(code)
+        before = np.full((len(sizes), 2), END_ID, np.int32)
+        before[0] = tail
+        tail = np.full(2, END_ID, np.int32) if last else np.r_[tail, units][-2:]
+        yield rows, at, units, starts, before, (different, code, np.repeat(np.arange(len(sizes)), sizes)), last
 
 
 PARAMETERS = "part int, n double, v array<float>"
@@ -392,27 +448,29 @@ def _trainer(vocabulary, model, turn: int, batch_size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         v = vocabulary.value
-        ahead = (r for batch in batches for r in (batch.slice(i, 1) for i in range(batch.num_rows)))
-        now = next(ahead, None)
-        while now is not None:
-            shard = now.column(0)[0].as_py()
-
-            def texts() -> Iterator[pa.RecordBatch]:
-                nonlocal now
-                while now is not None and now.column(0)[0].as_py() == shard:  # noqa: B023
-                    yield now
-                    now = next(ahead, None)
-
-            def minibatches() -> Iterator[np.ndarray]:
-                for words, starts, before, _, _ in _pieces_of(texts(), v, 16 * batch_size):  # noqa: B023
-                    rows = _contexts(v.ids(words)[1], starts, before)
-                    for i in range(0, len(rows), batch_size):
-                        yield rows[i : i + batch_size]
 
+        def runs() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                shards = batch.column("shard").to_numpy()
+                cut = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+                yield from ((int(shards[i]), batch.slice(i, j - i)) for i, j in zip(cut, cut[1:], strict=False) if i < j)
+
+        def minibatches(texts: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            """Rows of contexts, as many each time, however the texts come."""
+            rest = np.empty((0, 3), np.int32)
+            for _, _, units, starts, before, _, _ in _tokens(texts, v):
+                rows = np.concatenate([rest, _contexts(units, starts, before)])
+                whole = len(rows) - len(rows) % batch_size
+                yield from (rows[i : i + batch_size] for i in range(0, whole, batch_size))
+                rest = rows[whole:]
+            if len(rest):
+                yield rest
+
+        for shard, texts in groupby(runs(), itemgetter(0)):
             own = Model(v.noise)
             if model is not None:
                 own.load(model.value)
-            n = own.train(minibatches(), shard * ROUNDS + turn, RATE / (1 + turn))
+            n = own.train(minibatches(map(itemgetter(1), texts)), shard * ROUNDS + turn, RATE / (1 + turn))
             values = np.where(np.isfinite(values := own.values()), values, 0.0).astype(np.float32)
             parts = [values[i : i + PART] for i in range(0, len(values), PART)]
             cut = pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32())
@@ -449,7 +507,6 @@ def fit(train: DataFrame, vocabulary, doc_id: str = "doc_id", text: str = "text"
     rows = train.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(key), F.lit(ROUNDS)).alias("turn"), key.alias("key"), F.col(text).alias("text"))
     now = None
     for turn in range(ROUNDS):
-        # One row at a time is taken from a batch, so that the next shard's rows stay for its own run.
         own = rows.where(F.col("turn") == turn).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select("shard", "text")
         parts = materialise(own.mapInArrow(_trainer(vocabulary, now, turn, batch_size), PARAMETERS), "lm-shards")
         done = parts.repartition(F.col("part")).mapInArrow(_sum_parts, PARAMETERS)
@@ -468,58 +525,56 @@ def _scorer(vocabulary, model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         v, scorer = vocabulary.value, model.value
-        heads: list[tuple] = []
         first = TaskContext.get().partitionId() << 40
         known = np.r_[v.c > 0, False]
         log_c = np.r_[np.log10(v.c + 1), 0.0]
         base_part = np.log10(v.n + v.v + 1)
         # A bucket's word has its share of the bucket; its own count comes later if the worker has none.
         other = np.r_[np.zeros(1 + v.n_words), np.log10(v.other)]
-
-        def watched() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                heads.extend(zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), strict=True))
-                yield batch
-
-        open_: dict[int, list] = {}
-        for words, starts, before, owner, last in _pieces_of(watched(), v, 200_000):
-            at, units = v.ids(words)
+        sums, rare = np.zeros(4), []  # of a text's pieces so far
+        for rows, at, units, starts, before, unlisted, last in _tokens(batches, v):
+            own = log_c.take(at)
             p = scorer.log10(_contexts(units, starts, before))
-            p += np.where(units > v.n_words, log_c[at] - other[units], 0.0)
-            sums = [np.add.reduceat(x, starts) for x in (log_c[at] - base_part, p, known[at].astype(np.int64))]
-            size = np.diff(np.r_[starts, len(words)])
-            missing = np.flatnonzero(at == len(v.c))
-            cut = np.searchsorted(missing, np.r_[starts, len(words)])
-            out = []
-            for j, number in enumerate(owner.tolist()):
-                row = open_.setdefault(number, [0, 0, 0.0, 0.0, Counter()])
-                row[0] += int(size[j])
-                row[1] += int(sums[2][j])
-                row[2] += float(sums[0][j])
-                row[3] += float(sums[1][j])
-                if cut[j] < cut[j + 1]:
-                    row[4].update([words[i] for i in missing[cut[j] : cut[j + 1]]])
-                if last[j]:
-                    out.append((number, *open_.pop(number)))
-            yield _scored(out, heads, first)
+            p += np.where(units > v.n_words, own - other.take(units), 0.0)
+            size = np.diff(np.r_[starts, len(units)])
+            found = np.stack([size, *[np.add.reduceat(x, starts) for x in (known.take(at).astype(np.int64), own - base_part, p)]]).astype(np.float64)
+            found[:, 0] += sums
+            rare.append(_unlisted(at, starts, unlisted, len(v.c), last))
+            if not last:
+                sums = found[:, 0]
+                continue
+            yield _scored(rows, found, rare, first)
+            first += rows.num_rows
+            sums, rare = np.zeros(4), []
 
     return run
 
 
-def _scored(out: list[tuple], heads: list[tuple], first: int) -> pa.RecordBatch:
-    cut = np.r_[0, np.cumsum([len(r[5]) for r in out])].astype(np.int32)
-    words = pa.array([w for r in out for w in r[5]], pa.binary()).cast(pa.string())
-    times = pa.array([n for r in out for n in r[5].values()], pa.int32())
+def _unlisted(at: np.ndarray, starts: np.ndarray, unlisted: tuple, n_listed: int, last: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of each piece that have no count at hand: words, how often, and which of them are of which piece."""
+    different, code, piece = unlisted
+    word = np.ones(len(at), bool)
+    if last:
+        word[np.r_[starts[1:], len(at)] - 1] = False
+    missing = np.flatnonzero(at[word] == n_listed)
+    keys, times = np.unique(piece[missing] * len(different) + code[missing], return_counts=True)
+    of, words = np.divmod(keys, max(1, len(different)))
+    return different.take(pa.array(words)), times, np.searchsorted(of, np.arange(len(starts) + 1))
+
+
+def _scored(rows: pa.RecordBatch, found: np.ndarray, rare: list[tuple], first: int) -> pa.RecordBatch:
+    """found: a row's tokens, known ones, base and score; rare: of all pieces that end with these rows, earlier ones being of the first row."""
+    words, times = pa.concat_arrays([r[0] for r in rare]).cast(pa.string()), np.concatenate([r[1] for r in rare])
+    cut = rare[-1][2] + len(times) - len(rare[-1][1])
+    cut = pa.array(np.r_[0, cut[1:]], pa.int32())
     columns = [
-        pa.array([first + r[0] for r in out], pa.int64()),
-        pa.array([heads[r[0]][0] for r in out], pa.int64()),
-        pa.array([heads[r[0]][1] for r in out], pa.bool_()),
-        pa.array([r[1] for r in out], pa.int64()),
-        pa.array([r[2] for r in out], pa.int64()),
-        pa.array([r[3] for r in out], pa.float64()),
-        pa.array([r[4] for r in out], pa.float64()),
-        pa.ListArray.from_arrays(pa.array(cut), words),
-        pa.ListArray.from_arrays(pa.array(cut), times),
+        pa.array(first + np.arange(rows.num_rows), pa.int64()),
+        rows.column("doc_id"),
+        rows.column("held_out"),
+        *[pa.array(x.astype(np.int64)) for x in found[:2]],
+        *[pa.array(x) for x in found[2:]],
+        pa.ListArray.from_arrays(cut, words),
+        pa.ListArray.from_arrays(cut, pa.array(times, pa.int32())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORED.split(", ")])
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -398,3 +399,110 @@ def test_lm_pieces():
         assert [w for p in lm.pieces(text) for w in p] == [b"ab"] * 50
     finally:
         lm.PIECE = old
+
+
+def small_vocabulary():
+    """Thirty listed words; w30 and beyond are in buckets, uncounted."""
+    return lm.Vocabulary([(f"w{i}", 50 - i) for i in range(30)], 20, [(3, 9)] * 4, 5000, 71, 100)
+
+
+def lm_batches(texts, rows):
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "held_out": [False] * len(texts), "text": pa.array(texts, pa.string())})
+    return table.to_batches(max_chunksize=rows)
+
+
+def lm_texts():
+    rng = random.Random(11)
+    texts = [rng.choice(["", " ", "\n"]).join([rng.choice(["\t ", " ", "\x0b"]).join(rng.choice(["W", "w", "é "]) + str(rng.randrange(40)) for _ in range(rng.randrange(0, 60))), ""]) for _ in range(200)]
+    return [*texts, None, "", "  ", "w1", " w1"]
+
+
+def test_lm_works_out_a_word_once(monkeypatch):
+    """An uncounted word costs one hash however often a batch holds it; before, one each time."""
+    calls = []
+    v, crc32 = small_vocabulary(), lm.zlib.crc32
+    monkeypatch.setattr(lm, "zlib", SimpleNamespace(crc32=lambda word: calls.append(word) or crc32(word)))
+    at, units = v.ids([b"w1", b"unseen"] * 500)
+    assert calls == [b"unseen"]
+    assert at.tolist() == [2, 31] * 500 and units.tolist() == [2, v.bucket(b"unseen")] * 500
+
+
+def test_lm_minibatches_are_whole(monkeypatch):
+    """Every minibatch but a shard's last has the same size and the same rows, however its texts come."""
+    import numpy as np
+    import pyarrow as pa
+
+    v, seen = small_vocabulary(), []
+
+    def train(self, batches, seed, rate):
+        seen.append([np.array(x) for x in batches])
+        return sum(map(len, seen[-1]))
+
+    monkeypatch.setattr(lm.Model, "train", train)
+    texts = lm_texts()
+    table = pa.table({"shard": pa.array([0] * 150 + [2] * (len(texts) - 150), pa.int32()), "text": pa.array(texts, pa.string())})
+    got = []
+    for rows, piece in ((1, 1 << 20), (70, 1 << 20), (1000, 1 << 20), (1000, 50)):
+        seen.clear()
+        monkeypatch.setattr(lm, "PIECE", piece)
+        list(lm._trainer(SimpleNamespace(value=v), None, 0, 64)(iter(table.to_batches(max_chunksize=rows))))
+        assert len(seen) == 2 and all(len(x) == 64 for own in seen for x in own[:-1]) and all(0 < len(own[-1]) <= 64 for own in seen)
+        got.append([np.concatenate(own).tolist() for own in seen])
+    assert all(g == got[0] for g in got)
+
+
+def test_lm_long_texts_are_scored_alike(monkeypatch):
+    """Texts in pieces, one by one or many at once: the same tokens, scores and uncounted words, as by plain Python."""
+    import numpy as np
+
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    v, texts, got = small_vocabulary(), lm_texts(), []
+    model = lm.Model(v.noise)
+    model.R *= 40
+    for rows, piece in ((1, 1 << 20), (1000, 1 << 20), (1000, 300), (1000, 10)):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        out = [r for b in lm._scorer(SimpleNamespace(value=v), SimpleNamespace(value=model))(iter(lm_batches(texts, rows))) for r in b.to_pylist()]
+        for r in out:
+            r["rare"] = Counter({w: sum(n for x, n in zip(r["rare"], r["times"], strict=True) if x == w) for w in r["rare"]})
+        got.append(out)
+    for x, text in zip(got[0], texts, strict=True):
+        words = (text or "").encode().lower().split()
+        assert (x["n_tokens"], x["n_known"]) == (len(words) + 1, 1 + sum(w in {f"w{i}".encode() for i in range(30)} for w in words))
+        assert x["rare"] == Counter(w.decode() for w in words if w not in {f"w{i}".encode() for i in range(30)})
+    for other in got[1:]:
+        for x, y in zip(got[0], other, strict=True):
+            assert [x[k] for k in ("rid", "doc_id", "n_tokens", "n_known", "rare")] == [y[k] for k in ("rid", "doc_id", "n_tokens", "n_known", "rare")]
+            assert np.allclose([x["base"], x["score"]], [y["base"], y["score"]], rtol=1e-5)
+
+
+def test_lm_counts_merge(monkeypatch):
+    texts = lm_texts()
+    want = Counter(w for t in texts for w in [*(t or "").encode().lower().split(), b"\n"])
+    for held, piece in ((1_000_000, 1 << 20), (40, 100), (40, 10), (1000, 10)):
+        monkeypatch.setattr(lm, "HELD", held)
+        monkeypatch.setattr(lm, "PIECE", piece)
+        got = Counter()
+        for b in lm._count(iter(lm_batches(texts, 30))):
+            for t, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                got[t.encode()] += c
+        assert got == want
+
+
+def test_lm_far_products_are_normalised():
+    """Products beyond the range of exponentials are bounded; all others come as a plain softmax over groups and units."""
+    import numpy as np
+
+    model = lm.Model(np.arange(1.0, 24.0))
+    rng = np.random.default_rng(3)
+    for scale in (1, 30):
+        model.R, model.after = rng.normal(0, scale, model.R.shape).astype(np.float32), None
+        rows = rng.integers(0, 23, (300, 3)).astype(np.int32)
+        h = (model.R @ model.C[0])[rows[:, 1]] + (model.R @ model.C[1])[rows[:, 0]]
+        g = rows[:, 2] % model.groups
+        groups, units = h @ model.G.T + model.a, h @ model.Q.T + model.b
+        want = [a[k] - np.log(np.exp(a).sum()) + u[t] - np.log(np.exp(u[k :: model.groups]).sum()) for a, u, k, t in zip(groups.astype(float), units.astype(float), g, rows[:, 2], strict=True)]
+        assert np.allclose(model.log10(rows) * lm.LN10, want, rtol=1e-3, atol=1e-3)
+    model.R, model.after = np.full(model.R.shape, 1e4, np.float32), None
+    assert np.isfinite(model.log10(rows)).all()
