@@ -139,15 +139,15 @@ def harmonised(spark, sf):
 
 @query("s11_trajectory", with_views("poses") + "SELECT scene_id, round(frame_id / 3.0, 3) AS ts, round(ax, 6) + 0.0 AS ax, round(tz, 6) + 0.0 AS tz FROM poses")
 def trajectory(spark, sf):
-    """Lines of a time, an angle-axis and a translation."""
+    """Lines of a time, an angle-axis and a translation; numbers are written whole, since a cut one may round to another."""
     p = cameras_raw(spark, sf)
     numbers = ["ts", "ax", "ay", "az", "tx", "ty", "tz"]
-    p = p.withColumn("ts", F.col("frame_id") / 3.0).withColumn("value", F.concat_ws(" ", *[F.format_string("%.9f", F.col(c)) for c in numbers]))
+    p = p.withColumn("ts", F.col("frame_id") / 3.0).withColumn("value", F.concat_ws(" ", *[F.col(c).cast("string") for c in numbers]))
     path = scratch(spark, "trajectory")
     p.select("scene_id", "value").write.partitionBy("scene_id").text(path)
     out = None
     for r in p.select("scene_id").distinct().collect():
-        t = readers.trajectory(spark, f"{path}/scene_id={r[0]}").withColumn("scene_id", F.lit(r[0]))
+        t = readers.trajectory(spark, f"{path}/scene_id={r[0]}").withColumn("scene_id", F.lit(r[0]).cast("long"))
         out = t if out is None else out.unionByName(t)
     return out.select("scene_id", "ts", tidy(F.col("ax")).alias("ax"), tidy(F.col("tz")).alias("tz"))
 

@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from scenery.plans import catalogue
 from scenery.sources import readers, sinks
 from scenery.streaming import counters
 
@@ -52,6 +53,18 @@ def test_trajectory(spark, folder):
         readers.trajectory(spark, str(folder / "bad")).collect()
 
 
+def test_trajectory_numbers_are_written_whole(spark, tmp_path):
+    """Values just beside a half of the sixth digit, which a number cut at nine digits moves across it; small and large ones."""
+    ax = [0.022905750200152397, 0.07995975017547607, -0.01724174991250038, 1.1754943508222875e-38, -3e7]
+    tz = [-0.012601099908351898, -0.20375970005989075, -0.06955830007791519, 0.0, 9.999999974752427e-07]
+    rows = [(20 * k + k % 2, [0.0] * 16 + [a, 0.0, 0.0, 0.0, 0.0, b], 0) for k, (a, b) in enumerate(zip(ax, tz, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.queries()["s11_trajectory"](spark, str(tmp_path))
+    want = [(k % 2, round((k // 2 + 1) / 3, 3), round(a * 2, 6) + 0.0, round(b * 5, 6) + 0.0) for k, (a, b) in enumerate(zip(ax, tz, strict=True))]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert dict(got.dtypes)["scene_id"] == "bigint"
+
+
 def test_ply(spark, folder):
     got = readers.points(spark, str(folder / "mesh")).orderBy("path", "vertex_id").collect()
     assert [(r["x"], r["y"], r["z"]) for r in got] == [(1, 2, 3), (4, 5, 6)] * 2
