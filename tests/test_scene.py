@@ -1,7 +1,9 @@
 """Geometry and scene tasks on a hand-made room, with expectations worked out by hand."""
 
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,48 @@ def test_matches_are_counted_without_pairs(spark):
     assert {tuple(r) for r in lookup.matches(a, b, "k", "f").collect()} == {("a", 1, 6), ("a", None, 3)}
     hot = spark.range(300_000).selectExpr("0 AS k")
     assert [tuple(r) for r in lookup.matches(hot, hot, "k").collect()] == [(0, 90_000_000_000)]
+
+
+def test_fast_rounding_is_sql_rounding(spark):
+    """Halves, values beside them, tiny and no numbers: as DuckDB rounds; huge ones, and where no half is near: as `tidy`."""
+    rng = random.Random(5)
+    values = [k / 128 for k in range(-300, 300)] + [rng.uniform(-20, 20) for _ in range(5000)] + [rng.randint(-(10**7), 10**7) / 1e6 for _ in range(2000)]
+    values += [0.0, -0.0, -1e-9, 0.49999999999999994e-6, 1e15, -3.5e16, 1e300, float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (4, 6):
+        got = df.select("v", g.tidy_fast(F.col("v"), digits).alias("fast"), g.tidy(F.col("v"), digits).alias("slow")).collect()
+        want = [duckdb.execute(f"SELECT round(CAST(? AS DOUBLE), {digits}) + 0.0", [r["v"]]).fetchone()[0] for r in got]
+        assert [r["fast"] for r in got if abs(r["v"] or 0) < 1e9] == [w for r, w in zip(got, want, strict=True) if abs(r["v"] or 0) < 1e9]
+        far = [r for r in got if r["v"] is not None and not (abs(r["v"]) < 1e9 and abs(abs(r["v"] * 10.0**digits) % 1 - 0.5) < 1e-6)]
+        assert len(far) > 5000 and [r["fast"] for r in far] == [r["slow"] for r in far]
+        assert not any(str(r["fast"]) == "-0.0" for r in got)
+    assert math.isnan(one(spark, g.tidy_fast(F.lit(float("nan")))))
+
+
+def test_motion_names_the_strongest_axes(spark):
+    """Against a ranking of the axes in plain Python, ties and vanishing vectors included."""
+
+    def plain(yaw, x, y, z):
+        if abs(yaw) >= 8:
+            return "left" if yaw > 0 else "right"
+        names = ["right" if x > 0 else "left", "front" if z > 0 else "back", "up" if y < 0 else "down"]
+        (a, i), (b, j), _ = sorted(((abs(v), k) for k, v in enumerate((x, z, y))), key=lambda t: (-t[0], t[1]))
+        if a < 1e-8:
+            return "same"
+        if b >= 1e-8 and b / a >= 0.35 and b / math.sqrt(x * x + y * y + z * z) >= 0.25:
+            return "-".join(names[k] for k in sorted((i, j)))
+        return names[i]
+
+    steps = (-2.0, -1.0, -0.35, -0.3, -1e-9, 0.0, 1e-9, 0.3, 0.35, 1.0, 2.0)
+    rows = [(yaw, x, y, z) for yaw in (0.0, 7.9, 8.0, -8.0) for x in steps for y in steps for z in steps]
+    df = spark.createDataFrame(rows, "yaw double, x double, y double, z double")
+    got = df.select("yaw", "x", "y", "z", g.motion(*(F.col(c) for c in ("yaw", "x", "y", "z"))).alias("answer")).collect()
+    assert [r["answer"] for r in got] == [plain(*r[:4]) for r in got]
+
+
+def test_camera_pairs_take_neither_decimals_nor_sorted_arrays(spark, sf):
+    """What every pair of poses goes through is plain arithmetic in generated code; decimals stay for numbers beyond 2^52."""
+    for name, rounded in (("t15_motion_camera", 1),):
+        plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+        assert "array_sort" not in plan and "lambda" not in plan, name
+        assert plan.count("ELSE round(") == rounded == plan.count("round("), name
