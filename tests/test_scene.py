@@ -203,7 +203,7 @@ def test_motion_names_the_strongest_axes(spark):
 
 def test_camera_pairs_take_neither_decimals_nor_sorted_arrays(spark, sf):
     """What every pair of poses goes through is plain arithmetic in generated code; decimals stay for numbers beyond 2^52."""
-    for name, rounded in (("t15_motion_camera", 1),):
+    for name, rounded in (("g19_camera_pair", 6), ("t15_motion_camera", 1)):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
         assert "array_sort" not in plan and "lambda" not in plan, name
         assert plan.count("ELSE round(") == rounded == plan.count("round("), name
